@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.catalog import sql
 from parley.operators import rules, systems
 from parley.sources import given
-from parley.sources.given import table
+from parley.sources.given import table, texts
 
 # The given texts are invented prose, so a few rules on words it holds come first.
 PROSE_RULES = (
@@ -61,7 +61,7 @@ def cluster_names(spark, folder):
 
 
 def keyword_reason(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder, "documents").select("doc_id", "text")
     return docs.withColumns(systems.keyword_decision(F.col("text"), KEYWORDS)).drop("text")
 
 

@@ -8,11 +8,11 @@ from parley.catalog import sql
 from parley.functions import text as tx
 from parley.operators import profile, quality, rules, sampling, threads
 from parley.sources import given
-from parley.sources.given import table
+from parley.sources.given import table, texts
 
 
 def clean_dedup_messages(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = texts(spark, folder, "documents").select(
         "doc_id", tx.clean_text(F.col("text")).alias("text_clean")
     )
     counted = docs.withColumn("word_count", tx.word_count(F.col("text_clean")))
@@ -21,7 +21,7 @@ def clean_dedup_messages(spark, folder):
 
 def clean_links(spark, folder):
     body = F.concat_ws(" ", "url", "html")
-    return table(spark, folder, "pages").select("page_id", tx.clean_text(body).alias("text_clean"))
+    return texts(spark, folder, "pages").select("page_id", tx.clean_text(body).alias("text_clean"))
 
 
 REWRITE_HOSTS = ("spam-farm.example.org", "www.cheap-pills.example.com", "thther.example.org")
@@ -30,7 +30,7 @@ REWRITE_TARGET = "https://support.example.com"
 
 def shortlink_rewrite(spark, folder):
     body = F.concat_ws(" ", "url", "html")
-    return table(spark, folder, "pages").select(
+    return texts(spark, folder, "pages").select(
         "page_id", tx.rewrite_shortlinks(body, REWRITE_HOSTS, REWRITE_TARGET).alias("text")
     )
 
@@ -203,7 +203,7 @@ QUALIFY row_number() OVER (PARTITION BY text_clean ORDER BY doc_id) = 1""",
     "FROM (SELECT page_id, concat_ws(' ', url, html) AS c FROM pages)",
     "shortlink_rewrite": f"""
 SELECT page_id, regexp_replace(concat_ws(' ', url, html),
-  'https?://(?:{"|".join(h.replace(".", "[.]") for h in REWRITE_HOSTS)})/{tx.NON_SPACE}+',
+  'https?://(?:{"|".join(h.replace(".", "[.]") for h in REWRITE_HOSTS)})/{sql.NON_SPACE}+',
   '{REWRITE_TARGET}', 'g') AS text FROM pages""",
     "describe_lengths": """
 SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std,

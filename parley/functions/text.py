@@ -7,26 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, written out because "\s" means ASCII in Java and in RE2.
-_SPACES = (
-    r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Unicode white space; "\\s" alone means ASCII in Java.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + (
+    "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = f"[{_SPACES}]"
-NON_SPACE = f"[^{_SPACES}]"
-LINK = f"http{NON_SPACE}+|www{NON_SPACE}+"
+_SPACE = r"\s\x1C-\x1F"
+_LINK = rf"(?U)http[^{_SPACE}]+|www[^{_SPACE}]+"
+# Every run of white space except a single blank, which would be replaced by itself.
+_UNEVEN = rf"(?U)[{_SPACE}&&[^ ]][{_SPACE}]*| [{_SPACE}]+"
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = WORD + "{2,}"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def clean_text(col: Column) -> Column:
-    """Drop links, collapse white space; null becomes the empty string."""
-    unlinked = F.regexp_replace(F.coalesce(col, F.lit("")), LINK, "")
-    return F.trim(F.regexp_replace(unlinked, f"{SPACE}+", " "))
+    """Drop links, collapse white space; null becomes the empty string.
+
+    Texts without a link skip the link pattern: a substring test is far cheaper.
+    """
+    text = F.coalesce(col, F.lit(""))
+    linked = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www"))
+    unlinked = F.when(linked, F.regexp_replace(text, _LINK, "")).otherwise(text)
+    return F.trim(F.regexp_replace(unlinked, _UNEVEN, " "))
 
 
 def word_count(cleaned: Column) -> Column:
@@ -36,7 +41,7 @@ def word_count(cleaned: Column) -> Column:
 
 def rewrite_shortlinks(col: Column, domains: Sequence[str], target: str) -> Column:
     hosts = "|".join(d.replace(".", r"\.") for d in domains)
-    return F.regexp_replace(col, f"https?://(?:{hosts})/{NON_SPACE}+", target)
+    return F.regexp_replace(col, rf"(?U)https?://(?:{hosts})/[^{_SPACE}]+", target)
 
 
 def straighten_quotes(col: Column) -> Column:

@@ -33,7 +33,7 @@ def fit_kmeans(
     seed: int = 42,
     n_init: int = 10,
     max_iter: int = 300,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> KMeansModel:
     """Best of ``n_init`` seeded fits by training cost; fits share the cluster."""
 
@@ -41,7 +41,7 @@ def fit_kmeans(
         return KMeans(k=k, seed=seed + offset, maxIter=max_iter, featuresCol="features").fit(df)
 
     with ThreadPool(min(parallelism, n_init)) as pool:
-        models = pool.map(inheritable_thread_target(one), range(n_init))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(one), range(n_init))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import rules
+from parley.sources.tables import spread_small
 
 BRAND = "agent"
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, handed to all cores when it is too small to be split."""
+    return spread_small(table(spark, folder, name))
+
+
 def _turn_id(offset: int) -> Column:
     return F.concat_ws("-", "conv_id", F.col("turn") + offset)
 
@@ -41,7 +47,7 @@ def tweets(spark: SparkSession, folder: str) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as customer messages; their vector's label plays the cluster."""
-    docs = table(spark, folder, "documents")
+    docs = texts(spark, folder, "documents")
     clusters = table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster")
     )
