@@ -12,8 +12,8 @@ from parley.sources.given import table, texts
 
 
 def clean_dedup_messages(spark, folder):
-    docs = texts(spark, folder, "documents").select(
-        "doc_id", tx.clean_text(F.col("text")).alias("text_clean")
+    docs = tx.with_clean_text(texts(spark, folder, "documents"), "text", "text_clean").select(
+        "doc_id", "text_clean"
     )
     counted = docs.withColumn("word_count", tx.word_count(F.col("text_clean")))
     return threads.keep_first(counted.where("word_count >= 4"), "text_clean", "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space; "\\s" alone means ASCII in Java.
@@ -34,6 +34,15 @@ def clean_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(unlinked, _UNEVEN, " "))
 
 
+def with_clean_text(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Add the cleaned text as a column that is computed once.
+
+    A filter on a projected column gets a copy of its expression, which would clean every
+    text twice. A row of an exploded one-element array is no expression to copy.
+    """
+    return df.select("*", F.explode(F.array(clean_text(F.col(source)))).alias(name))
+
+
 def word_count(cleaned: Column) -> Column:
     """Words of a text that went through :func:`clean_text`."""
     return F.when(cleaned == "", 0).otherwise(F.size(F.split(cleaned, " ")))

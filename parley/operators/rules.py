@@ -62,9 +62,11 @@ def apply_rules(
 ) -> DataFrame:
     """Add ``is_escalation`` and ``label_notes``."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    lowered = F.lower(tx.straighten_quotes(raw) if normalize_quotes else raw)
+    # Lowered once, as a column: each condition would otherwise lower the text again. The
+    # chain yields a rule number, so each condition appears once in the plan.
+    df = df.withColumn("_low", F.lower(tx.straighten_quotes(raw) if normalize_quotes else raw))
+    lowered = F.col("_low")
     wanted = F.lower(F.coalesce(F.col(intent), F.lit("")))
-    # The chain yields a rule number first, so each condition appears once in the plan.
     number = first_match([(r.condition(lowered, wanted), i) for i, r in enumerate(rules)], len(rules))
     outcomes = [*rules, default]
     flags = F.array(*[F.lit(r.escalate) for r in outcomes])
@@ -77,7 +79,7 @@ def apply_rules(
                 "label_notes": notes[F.col("_rule")],
             }
         )
-        .drop("_rule")
+        .drop("_rule", "_low")
     )
 
 
@@ -127,7 +129,8 @@ def audit(
 
     ``audit_branch`` is the 1-based branch that took the row, 0 for none.
     """
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    lowered = F.col("_low")
     old_intent = F.col(intent)
     flat: list[tuple[int, Outcome | None]] = [(0, None)]
     chain = []
@@ -169,7 +172,7 @@ def audit(
             ~F.col("_intent").eqNullSafe(old_intent) | ~F.col("_flag").eqNullSafe(F.col(flag)),
         )
         .withColumns({intent: F.col("_intent"), flag: F.col("_flag"), note: F.col("_note")})
-        .drop("_case", "_intent", "_flag", "_note")
+        .drop("_low", "_case", "_intent", "_flag", "_note")
     )
 
 

@@ -158,9 +158,7 @@ def rebuild_threads(
 
 def add_clean_columns(threads: DataFrame) -> DataFrame:
     return (
-        threads.withColumn(
-            "first_customer_text_clean", tx.clean_text(F.col("first_customer_text"))
-        )
+        tx.with_clean_text(threads, "first_customer_text", "first_customer_text_clean")
         .withColumn("last_brand_reply_clean", tx.clean_text(F.col("last_brand_reply")))
         .withColumn("customer_word_count", tx.word_count(F.col("first_customer_text_clean")))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, so each reads it once computed.
+    """Write an intermediate that several branches read, so it is computed once.
 
-    Unlike a cache it is kept in the shared folder and survives lost executors.
+    The copy is a Parquet table in the shared folder: lost executors do not lose it, readers
+    prune its columns, and the planner knows its size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
