@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.catalog import sql
 from parley.operators import rules, systems
+from parley.plans import labelling
 from parley.sources import given
 from parley.sources.given import table, texts
 
@@ -70,9 +71,32 @@ def constant_answer(spark, folder):
     return systems.constant_answers(docs, "doc_id", "general_inquiry")
 
 
+def labelling_sheet(spark, folder):
+    """Up to 30 rows per cluster, named, with blank answer columns."""
+    clustered = given.messages(spark, folder).where(F.col("cluster").isNotNull())
+    return labelling.labelling_sheet(clustered).select(
+        "conversation_id", "cluster", "intent_label", "is_escalation", "label_notes"
+    )
+
+
+def annotation_sheet(spark, folder):
+    """Rows for a second opinion: four per audited intent, topped up to 30."""
+    picked = labelling.annotation_sheet(_audited(spark, folder), "conversation_id")
+    return picked.select(*COLUMNS, "pick", *labelling.ANNOTATION_DOMAINS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (rule_labels, rule_audit, audit_changes, cluster_names, keyword_reason, constant_answer)
+    for f in (
+        rule_labels,
+        rule_audit,
+        audit_changes,
+        cluster_names,
+        keyword_reason,
+        constant_answer,
+        labelling_sheet,
+        annotation_sheet,
+    )
 }
 
 
@@ -182,6 +206,22 @@ ORACLE = {
     "rule_audit": f"{_AUDITED} SELECT * FROM audited",
     "audit_changes": f"{_AUDITED} SELECT audit_branch, count(*) AS rows_taken, "
     "count(*) FILTER (WHERE changed) AS rows_changed FROM audited GROUP BY audit_branch",
+    "labelling_sheet": f"""WITH {sql.MESSAGES}
+SELECT conversation_id, cluster, intent_label, '' AS is_escalation, '' AS label_notes FROM messages
+WHERE cluster IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY cluster
+                           ORDER BY md5(conversation_id::VARCHAR || ':42'), conversation_id) <= 30""",
+    "annotation_sheet": f"""{_AUDITED},
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY intent_label ORDER BY conversation_id) AS rn,
+         min(conversation_id) OVER (PARTITION BY intent_label) AS seen FROM audited),
+o AS (
+  SELECT *, row_number() OVER (
+    ORDER BY rn > 4, CASE WHEN rn > 4 THEN conversation_id ELSE seen END, conversation_id) AS pick
+  FROM r)
+SELECT conversation_id, intent_label, is_escalation, label_notes, pick::INTEGER AS pick,
+       '' AS human_expected_escalation, '' AS human_target_accuracy, '' AS human_target_tone
+FROM o WHERE pick <= 30""",
     "cluster_names": f"SELECT vec_id, label, {sql.intent('label')} AS intent_label FROM embeddings",
     "keyword_reason": f"""
 WITH d AS (SELECT doc_id, lower(text) AS low FROM documents),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.catalog import vectors
 from parley.operators import classify, clusters
+from parley.plans import triage
 from parley.sources.given import table
 
 
@@ -17,7 +19,7 @@ def kmeans_assign(spark, folder):
 
 
 def k_sweep(spark, folder):
-    return clusters.sweep(_vectors(spark, folder), "vec_id", n_init=2)
+    return clusters.sweep(_vectors(spark, folder), "vec_id", n_init=4)
 
 
 def silhouette_squared(spark, folder):
@@ -34,7 +36,23 @@ def classify_intents(spark, folder):
     return model.predict(rows).select("vec_id", "label", "intent", "confidence")
 
 
+def triage_prompts(spark, folder):
+    """Classified messages with their past cases and the prompt for a user's model."""
+    cases = vectors.cases(spark, folder)
+    model = classify.fit_classifier(cases, "intent_label")
+    rows = triage.triage_prompts(cases, cases, model)
+    return rows.select("conversation_id", "intent", "confidence", "prompt")
+
+
 QUERIES = {
-    f.__name__: f for f in (kmeans_assign, k_sweep, silhouette_squared, pca_2d, classify_intents)
+    f.__name__: f
+    for f in (
+        kmeans_assign,
+        k_sweep,
+        silhouette_squared,
+        pca_2d,
+        classify_intents,
+        triage_prompts,
+    )
 }
 ORACLE: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.catalog import sql
+from parley.functions import text as tx
 from parley.operators import profile, threads
 from parley.plans import corpus
 from parley.session import stage
@@ -48,6 +49,12 @@ def thread_corpus(spark, folder):
     return corpus.corpus(given.tweets(spark, folder), HANDLE)
 
 
+def reply_edges(spark, folder):
+    """Every reply a tweet lists, with its place in the list."""
+    listed = F.posexplode(tx.split_ids(F.col("response_tweet_id"))).alias("place", "reply_id")
+    return given.tweets(spark, folder).select("tweet_id", listed)
+
+
 def thread_qa_report(spark, folder):
     found = stage(thread_fold(spark, folder))
     return profile.thread_report(found)
@@ -62,6 +69,7 @@ QUERIES = {
     "thread_fold": thread_fold,
     "thread_corpus": thread_corpus,
     "thread_qa_report": thread_qa_report,
+    "reply_edges": reply_edges,
 }
 
 _CLEAN = f"""
@@ -88,6 +96,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY first_customer_text_clean
                                         ORDER BY conversation_id) AS rn
            FROM counted WHERE customer_word_count >= 4)
 SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1""",
+    "reply_edges": """
+SELECT concat_ws('-', conv_id, turn) AS tweet_id, (step - 1)::INTEGER AS place,
+       concat_ws('-', conv_id, turn + step) AS reply_id
+FROM conversations, (VALUES (1), (2)) s(step)""",
     "thread_qa_report": f"""{sql.FOLD}
 SELECT count(*) AS conversations,
        count(*) - count(DISTINCT conversation_id) AS duplicate_ids,

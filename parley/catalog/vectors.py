@@ -28,7 +28,7 @@ def cosine_topk(spark, folder):
 
 def cell_topk(spark, folder):
     points = similarity.dense(_vectors(spark, folder), "vec_id", "embedding")
-    return similarity.cell_topk(points, points, 3, exclude_self=True, cells=8)
+    return similarity.cell_topk(points, points, 3, exclude_self=True)
 
 
 def centroids(spark, folder):
@@ -55,7 +55,7 @@ def class_weights(spark, folder):
     return found.withColumn("weight", F.round("weight", 6))
 
 
-def _cases(spark, folder):
+def cases(spark, folder):
     """Messages that have a vector, with the last reply of the conversation of that id."""
     turns = table(spark, folder, "conversations").where(F.col("role") == "assistant")
     replies = turns.groupBy(F.col("conv_id").alias("conversation_id")).agg(
@@ -69,13 +69,12 @@ def _cases(spark, folder):
 
 
 def _hits(spark, folder):
-    cases = _cases(spark, folder)
-    queries = cases.select("conversation_id", "embedding")
-    return retrieval.hits(cases, queries)
+    corpus = cases(spark, folder)
+    return retrieval.hits(corpus, corpus.select("conversation_id", "embedding"))
 
 
 def reply_corpus(spark, folder):
-    return _cases(spark, folder).select("conversation_id", "last_brand_reply_clean")
+    return cases(spark, folder).select("conversation_id", "last_brand_reply_clean")
 
 
 def retrieved_cases(spark, folder):
@@ -89,12 +88,12 @@ def topk_context(spark, folder):
 
 
 def prompt_text(spark, folder):
-    cases = _cases(spark, folder).select(
+    known = cases(spark, folder).select(
         "conversation_id", "first_customer_text_clean", "intent_label"
     )
     hits = _hits(spark, folder)
     best = hits.where("rank = 1").select(F.col("query_id").alias("conversation_id"), "similarity")
-    rows = retrieval.with_context(cases.join(best, "conversation_id"), hits)
+    rows = retrieval.with_context(known.join(best, "conversation_id"), hits)
     return rows.select(
         "conversation_id",
         retrieval.prompt(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.clusters import features
+from parley.session import stage
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -52,7 +53,9 @@ def fit_classifier(
     ``c`` is the inverse penalty on the summed loss; Spark averages the loss, hence 1/(c n).
     """
     named = df.where(F.col(label).isNotNull()).withColumn("_name", F.col(label).cast("string"))
-    weighted = features(named.join(class_weights(named, "_name").drop("n"), "_name"), vec)
+    # Staged, so the planner knows how few the classes are and does not shuffle the rows.
+    weights = stage(class_weights(named, "_name").drop("n"))
+    weighted = features(named.join(weights, "_name"), vec)
     indexer = StringIndexer(
         inputCol="_name", outputCol="_label", stringOrderType="alphabetAsc"
     ).fit(weighted)

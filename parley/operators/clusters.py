@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vectors as vx
 from parley.operators.sampling import exact_sample
+from parley.session import stage
 
 
 def features(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -27,22 +28,37 @@ def features(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(vx.unit(F.col(vec))))
 
 
-def fit_kmeans(
+def fit_many(
     df: DataFrame,
-    k: int = 7,
+    ks: Sequence[int],
     seed: int = 42,
     n_init: int = 10,
     max_iter: int = 300,
-    parallelism: int = 8,
-) -> KMeansModel:
-    """Best of ``n_init`` seeded fits by training cost; fits share the cluster."""
+    parallelism: int = 10,
+) -> dict[int, KMeansModel]:
+    """Per k the best of ``n_init`` seeded fits by training cost.
+
+    The fits are independent jobs, so several run on the cluster at once.
+    """
+
+    def one(task: tuple[int, int]) -> KMeansModel:
+        k, start = task
+        return KMeans(
+            k=k, seed=start, maxIter=max_iter, featuresCol="features", solver="block"
+        ).fit(df)
+
+    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(one), tasks, chunksize=1)
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(tasks, models):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
-    def one(offset: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + offset, maxIter=max_iter, featuresCol="features").fit(df)
 
-    with ThreadPool(min(parallelism, n_init)) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(one), range(n_init))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(df: DataFrame, k: int = 7, **options) -> KMeansModel:
+    return fit_many(df, [k], **options)[k]
 
 
 def assign(df: DataFrame, model: KMeansModel, column: str = "cluster") -> DataFrame:
@@ -76,7 +92,7 @@ def sweep(
     points = features(df, vec)
     kept = points.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = {k: fit_kmeans(kept, k, seed=seed, **options) for k in ks}
+        models = fit_many(kept, list(ks), seed=seed, **options)
         sample = exact_sample(points.select(key, F.col(vec)), key, sample_size, seed)
         labelled = features(sample, vec)
         for k, model in models.items():
@@ -131,7 +147,9 @@ def representatives(
     df: DataFrame, key: str, label: str, vec: str = "embedding", n: int = 3, digits: int = 6
 ) -> DataFrame:
     """The ``n`` rows per label with the largest dot product with its centroid."""
-    scored = df.join(centroids(df, label, vec).select(label, "centroid"), label).select(
+    # Staged, so the planner knows the centroids' size and broadcasts them when they are few.
+    centers = stage(centroids(df, label, vec).select(label, "centroid"))
+    scored = df.join(centers, label).select(
         label,
         key,
         F.round(vx.dot(vx.unit(F.col(vec)), F.col("centroid")), digits).alias("score"),

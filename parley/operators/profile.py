@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,13 +42,13 @@ def kept_share(kept: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def order_statistics(
-    df: DataFrame, column: str, quantiles: Sequence[float], buckets: int = 64
+    df: DataFrame, column: str, quantiles: Sequence[float], buckets: int = 256
 ) -> DataFrame:
-    """Exact quantiles (linear interpolation) as one row ``q0, q1, …``.
+    """Exact quantiles (linear interpolation) as one row ``q0, q1, ...``.
 
     Equal values are counted first, so a value held by a third of the rows is one row.
-    Distinct values are then ranked bucket by bucket, never in one task: approximate
-    split points give the buckets, bucket totals give the rank each bucket starts at.
+    Approximate split points cut the distinct values into buckets; bucket totals tell which
+    buckets hold the wanted ranks, and only those are sorted, each in its own task.
     """
     value = F.col(column).cast("double")
     counts = (
@@ -58,22 +59,23 @@ def order_statistics(
     placed = counts.withColumn("splits", splits).select(
         "v", "n", F.size(F.filter("splits", lambda s: s < F.col("v"))).alias("bucket")
     )
-    # At most one row per bucket reaches this window.
-    starts = (
-        placed.groupBy("bucket")
-        .agg(F.sum("n").alias("held"))
-        .select(
-            F.col("bucket"),
-            (F.sum("held").over(W.orderBy("bucket")) - F.col("held")).alias("start"),
-        )
+    total = counts.agg(F.sum("n")).scalar()
+    spots = [F.lit(float(q)) * (F.col("total") - 1) for q in quantiles]
+    ranks = [rank for spot in spots for rank in (F.floor(spot), F.ceil(spot))]
+    # One row per bucket reaches this window and the broadcast below.
+    held = placed.groupBy("bucket").agg(F.sum("n").alias("held")).withColumn("total", total)
+    upto = F.sum("held").over(W.orderBy("bucket"))
+    wanted = reduce(
+        lambda a, b: a | b,
+        [(r >= F.col("start")) & (r < F.col("start") + F.col("held")) for r in ranks],
     )
+    starts = held.withColumn("start", upto - F.col("held")).where(wanted)
     within = F.sum("n").over(W.partitionBy("bucket").orderBy("v"))
-    ranked = placed.join(starts, "bucket").select("v", (F.col("start") + within).alias("upto"))
-    total = counts.agg(F.sum("n")).scalar()
-    ranked = ranked.withColumn("total", total)
+    ranked = placed.join(F.broadcast(starts), "bucket").select(
+        "v", "total", (F.col("start") + within).alias("upto")
+    )
     picks = []
-    for position, q in enumerate(quantiles):
-        spot = F.lit(float(q)) * (F.col("total") - 1)
+    for position, spot in enumerate(spots):
         low = F.min(F.when(F.col("upto") > F.floor(spot), F.col("v")))
         high = F.min(F.when(F.col("upto") > F.ceil(spot), F.col("v")))
         fraction = F.max(spot - F.floor(spot))

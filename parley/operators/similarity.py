@@ -31,6 +31,7 @@ from parley.session import stage
 DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 SCORE_CELLS = 4_000_000  # scores held at once by one task
+MAX_CELLS = 1024
 
 
 def dense(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -238,7 +239,7 @@ def cell_topk(
     queries: DataFrame,
     k: int = 3,
     exclude_self: bool = False,
-    cells: int = 64,
+    cells: int | None = None,
     rows_per_block: int = 4096,
     seed: int = 42,
 ) -> DataFrame:
@@ -247,9 +248,11 @@ def cell_topk(
     Each corpus row joins the cell of its nearest pivot. A query first searches the cells
     nearest to it, which bounds its k-th similarity, and then only the cells whose nearest
     possible member lies within that bound. A full cell is cut into blocks, so no task ever
-    holds a whole cell.
+    holds a whole cell. ``cells`` defaults to the square root of the corpus size, at most
+    MAX_CELLS, which bounds the pivots that reach the driver and every task.
     """
     spark = corpus.sparkSession
+    cells = min(cells or max(1, math.isqrt(corpus.count())), MAX_CELLS)
     sample = exact_sample(corpus, "id", cells, seed).toArrow().combine_chunks()
     if sample.num_rows == 0:
         schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)

@@ -35,6 +35,16 @@ def stage_parquet(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Write a table bucketed by its key: later joins on the key do not shuffle it.
+
+    Worth it for raw tweets, whose text otherwise moves once per join on the tweet id.
+    """
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
 

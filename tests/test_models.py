@@ -203,6 +203,8 @@ def test_default_reply(spark):
     threads = spark.createDataFrame([(1, "hello")], "conversation_id long, last_brand_reply_clean string")
     got = {r["conversation_id"]: r["last_brand_reply_clean"] for r in retrieval.build_corpus(sample, threads).collect()}
     assert got == {1: "hello", 2: retrieval.DEFAULT_REPLY}
+    bare = retrieval.build_corpus(sample, None).select("last_brand_reply_clean").distinct().collect()
+    assert [r[0] for r in bare] == [retrieval.NO_REPLIES]
 
 
 def decide(row):

@@ -177,6 +177,20 @@ def test_parquet_stage_prunes_columns(spark, tmp_path):
     assert "first_customer_text_clean" not in plan
 
 
+def test_bucketed_table_joins_without_a_shuffle_of_its_own(spark, tmp_path):
+    rows = spark.range(100).selectExpr("cast(id as string) as tweet_id", "id as n")
+    table = tables.stage_bucketed(rows, "bucketed_tweets", str(tmp_path / "b"), "tweet_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = table.join(table.select("tweet_id").where("n < 50"), "tweet_id", "left_semi")
+        assert joined.count() == 50
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_tweets")
+
+
 def test_report_and_keyed_table(spark, tmp_path):
     metrics = spark.createDataFrame(
         [("a", "f1", 12.345), ("b", "f1", None)], "system string, metric string, value double"
