@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,45 +41,54 @@ def kept_share(kept: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def order_statistics(
-    df: DataFrame, column: str, quantiles: Sequence[float], buckets: int = 256
+    df: DataFrame, column: str, quantiles: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) as one row ``q0, q1, ...``.
 
-    Equal values are counted first, so a value held by a third of the rows is one row.
-    Approximate split points cut the distinct values into buckets; bucket totals tell which
-    buckets hold the wanted ranks, and only those are sorted, each in its own task.
+    Approximate quantiles a little below and above each wanted one bracket its rank. Equal
+    values are counted first, so a value held by a third of the rows is one row; only the
+    few values inside a bracket are sorted, each bracket in its own task. The margin is ten
+    times the sketch's error; a rank outside its bracket would yield null, never another
+    value.
     """
-    value = F.col(column).cast("double")
-    counts = (
-        df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    )
-    steps = [F.lit(i / buckets) for i in range(1, buckets)]
-    splits = counts.agg(F.percentile_approx("v", F.array(*steps), 10_000).alias("s")).scalar()
-    placed = counts.withColumn("splits", splits).select(
-        "v", "n", F.size(F.filter("splits", lambda s: s < F.col("v"))).alias("bucket")
-    )
-    total = counts.agg(F.sum("n")).scalar()
-    spots = [F.lit(float(q)) * (F.col("total") - 1) for q in quantiles]
-    ranks = [rank for spot in spots for rank in (F.floor(spot), F.ceil(spot))]
-    # One row per bucket reaches this window and the broadcast below.
-    held = placed.groupBy("bucket").agg(F.sum("n").alias("held")).withColumn("total", total)
-    upto = F.sum("held").over(W.orderBy("bucket"))
-    wanted = reduce(
-        lambda a, b: a | b,
-        [(r >= F.col("start")) & (r < F.col("start") + F.col("held")) for r in ranks],
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    counts = values.groupBy("v").agg(F.count("*").alias("n"))
+    margin = 10 / accuracy
+    edges = [min(1.0, max(0.0, q + side)) for q in quantiles for side in (-margin, margin)]
+    sketch = F.percentile_approx("v", F.array(*map(F.lit, edges)), F.lit(accuracy))
+    near = counts.withColumn("edges", values.agg(sketch).scalar())
+    picked = range(len(quantiles))
+    low = [F.col("edges")[2 * i] for i in picked]
+    high = [F.col("edges")[2 * i + 1] for i in picked]
+    below = near.agg(
+        F.struct(
+            F.sum("n").alias("total"),
+            F.array(
+                *[F.coalesce(F.sum(F.when(F.col("v") < low[i], F.col("n"))), F.lit(0)) for i in picked]
+            ).alias("below"),
+        )
+    ).scalar()
+    inside = F.array_compact(
+        F.array(*[F.when(F.col("v").between(low[i], high[i]), F.lit(i)) for i in picked])
     )
-    starts = held.withColumn("start", upto - F.col("held")).where(wanted)
-    within = F.sum("n").over(W.partitionBy("bucket").orderBy("v"))
-    ranked = placed.join(F.broadcast(starts), "bucket").select(
-        "v", "total", (F.col("start") + within).alias("upto")
+    held = F.sum("n").over(W.partitionBy("i").orderBy("v"))
+    ranked = (
+        near.select("v", "n", F.explode(inside).alias("i"))
+        .withColumn("held", held)
+        .withColumn("s", below)
+        .withColumn("upto", F.col("held") + F.col("s.below")[F.col("i")])
     )
-    picks = []
-    for position, spot in enumerate(spots):
-        low = F.min(F.when(F.col("upto") > F.floor(spot), F.col("v")))
-        high = F.min(F.when(F.col("upto") > F.ceil(spot), F.col("v")))
-        fraction = F.max(spot - F.floor(spot))
-        picks.append((low + (high - low) * fraction).alias(f"q{position}"))
-    return ranked.agg(*picks)
+    parts = []
+    for i, q in enumerate(quantiles):
+        spot = F.lit(float(q)) * (F.col("s.total") - 1)
+
+        def at(rank: Column) -> Column:
+            here = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+            return F.min(F.when((F.col("i") == i) & here, F.col("v")))
+
+        first, second = at(F.floor(spot)), at(F.ceil(spot))
+        parts.append((first + (second - first) * F.max(spot - F.floor(spot))).alias(f"q{i}"))
+    return ranked.agg(*parts)
 
 
 def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
