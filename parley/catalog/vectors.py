@@ -127,8 +127,9 @@ _CENTERS = f"""WITH {sql.UNIT},
 parts AS (SELECT vec_id, label, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS pos FROM unit),
 centers AS (SELECT label, pos, avg(x) AS c, count(*) AS n FROM parts GROUP BY label, pos)
 """
-_TOPK = f"WITH {sql.COSINE} SELECT query_id, id, similarity, rank::INTEGER AS rank FROM near"
-_HITS = f"""WITH {sql.COSINE}, {sql.MESSAGES}, {sql.CASES},
+_TOPK = f"WITH {sql.cosine('SELECT * FROM unit')} SELECT query_id, id, similarity, rank::INTEGER AS rank FROM near"
+_KNOWN = "SELECT * FROM unit WHERE vec_id IN (SELECT doc_id FROM documents)"
+_HITS = f"""WITH {sql.cosine(_KNOWN)}, {sql.MESSAGES}, {sql.CASES},
 hits AS (
   SELECT n.query_id, n.rank::INTEGER AS rank, n.similarity, n.id AS conversation_id,
          c.text AS customer_text, c.brand_reply, c.intent_label, c.cluster, c.is_resolved
