@@ -234,6 +234,25 @@ def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
 
+def _cells_to_search(
+    angles: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, bound: np.ndarray | None
+) -> np.ndarray:
+    """Which cells each query searches, from its angles to the pivots.
+
+    Without a bound: the nearest cells that together hold more than ``k`` rows. With one:
+    those others whose nearest possible member is no farther than the bound.
+    """
+    least = np.maximum(angles - radius, 0.0)
+    least[:, size == 0] = np.inf
+    order = np.argsort(least, axis=1, kind="stable")
+    held = np.cumsum(size[order], axis=1)
+    home = np.zeros_like(least, dtype=bool)
+    np.put_along_axis(home, order, held - size[order] < k + 1, axis=1)
+    if bound is None:
+        return home & np.isfinite(least)
+    return ~home & (least <= bound[:, None])
+
+
 def cell_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -291,16 +310,9 @@ def cell_topk(
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                least = np.maximum(_angles(_matrix(batch, None), pivots.value) - radius, 0.0)
-                least[:, size == 0] = np.inf
-                order = np.argsort(least, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1)
-                home = np.zeros_like(least, dtype=bool)
-                np.put_along_axis(home, order, held - size[order] < k + 1, axis=1)
-                chosen = home & np.isfinite(least)
-                if far:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)
-                    chosen = ~home & (least <= bound[:, None])
+                angles = _angles(_matrix(batch, None), pivots.value)
+                bound = batch.column("bound").to_numpy(zero_copy_only=False) if far else None
+                chosen = _cells_to_search(angles, radius, size, k, bound)
                 at, cell = np.nonzero(chosen)
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,12 +74,30 @@ def roots(pool: DataFrame) -> DataFrame:
     )
 
 
-def walk(pool: DataFrame, max_turns: int = 10) -> DataFrame:
+def _follow(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add the next turn to each path, or end the thread."""
+    found = F.col("k").isNotNull() & ~F.array_contains("path", F.col("k"))
+    return (
+        state.withColumn("probe", spread_null(F.col("next_id"), F.col("root_id")))
+        .join(edges, F.col("probe") == F.col("k"), "left")
+        .select(
+            "root_id",
+            F.when(found, F.array_append("path", F.col("k"))).otherwise(F.col("path")).alias("path"),
+            F.when(found, F.col("k_next")).alias("next_id"),
+        )
+    )
+
+
+def walk(
+    pool: DataFrame, max_turns: int = 10, set_aside: Sequence[int] = (2, 4)
+) -> DataFrame:
     """Follow each root's first reply: rows ``(root_id, turn_index, tweet_id)``.
 
     A thread stops at an id outside the pool, at an id it already holds, and at
     ``max_turns``. One slim row per root is widened by joins on the reply id; text joins
-    only afterwards. Ended threads get a key of their own, so they spread over all tasks.
+    only afterwards. Most threads are short, so after the joins listed in ``set_aside`` the
+    ended ones are put by and only the others go on. Between those points an ended thread
+    gets a key of its own, so they spread over all tasks.
     """
     edges = pool.select(
         F.col("tweet_id").alias("k"),
@@ -85,20 +106,15 @@ def walk(pool: DataFrame, max_turns: int = 10) -> DataFrame:
     state = roots(pool).select(
         F.col("tweet_id").alias("root_id"), F.array("tweet_id").alias("path"), "next_id"
     )
-    for _ in range(max_turns - 1):
-        found = F.col("k").isNotNull() & ~F.array_contains("path", F.col("k"))
-        state = (
-            state.withColumn("probe", spread_null(F.col("next_id"), F.col("root_id")))
-            .join(edges, F.col("probe") == F.col("k"), "left")
-            .select(
-                "root_id",
-                F.when(found, F.array_append("path", F.col("k")))
-                .otherwise(F.col("path"))
-                .alias("path"),
-                F.when(found, F.col("k_next")).alias("next_id"),
-            )
-        )
-    return state.select("root_id", F.posexplode("path").alias("turn_index", "tweet_id"))
+    ended = []
+    for joins in range(1, max_turns):
+        state = _follow(state, edges)
+        if joins in set_aside and joins < max_turns - 1:
+            state = stage(state)
+            ended.append(state.where("next_id is null"))
+            state = state.where("next_id is not null")
+    paths = reduce(DataFrame.unionByName, ended, state)
+    return paths.select("root_id", F.posexplode("path").alias("turn_index", "tweet_id"))
 
 
 def role_of(author: Column, brand: Column, brand_role: str = "BRAND") -> Column:

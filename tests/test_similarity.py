@@ -73,6 +73,18 @@ def test_clustered_points_skip_cells(spark):
     assert rows_of(hits) == brute(matrix, matrix, 2, True)
 
 
+def test_far_cells_are_ruled_out():
+    angles = np.array([[0.1, 1.4, 1.5, 0.6]])
+    radius = np.array([0.2, 0.2, 0.2, 0.2])
+    size = np.array([10, 10, 10, 0])
+    home = sim._cells_to_search(angles, radius, size, 3, None)
+    assert home.tolist() == [[True, False, False, False]]
+    assert not sim._cells_to_search(angles, radius, size, 3, np.array([0.5])).any()
+    more = sim._cells_to_search(angles, radius, size, 3, np.array([1.25]))
+    assert more.tolist() == [[False, True, False, False]]
+    assert sim._cells_to_search(angles, radius, size, 25, None).tolist() == [[True, True, True, False]]
+
+
 def test_fewer_rows_than_k(spark):
     corpus = frame(spark, np.eye(2))
     for hits in (sim.topk(corpus, corpus, 5, exclude_self=True), sim.cell_topk(corpus, corpus, 5, True)):
