@@ -32,6 +32,7 @@ DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 SCORE_CELLS = 4_000_000  # scores held at once by one task
 MAX_CELLS = 1024
+PROBE_ROWS = 16_384  # most rows one Arrow batch of cell searches may hold
 
 
 def dense(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -303,26 +304,26 @@ def cell_topk(
     for row in stats:
         radius[row["cell"]], size[row["cell"]] = row["radius"], row["n"]
 
+    step = max(1, PROBE_ROWS // n_cells)
+
     def probe(far: bool):
         """Cells to search per query: the nearest ones, or the others within its bound."""
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                angles = _angles(_matrix(batch, None), pivots.value)
-                bound = batch.column("bound").to_numpy(zero_copy_only=False) if far else None
-                chosen = _cells_to_search(angles, radius, size, k, bound)
-                at, cell = np.nonzero(chosen)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(take),
-                        batch.column("vec").take(take),
-                        pa.array(cell.astype("int32")),
-                    ],
-                    names=["id", "vec", "cell"],
-                )
+                for start in range(0, batch.num_rows, step):
+                    rows = batch.slice(start, step)
+                    angles = _angles(_matrix(rows, None), pivots.value)
+                    bound = rows.column("bound").to_numpy(zero_copy_only=False) if far else None
+                    at, cell = np.nonzero(_cells_to_search(angles, radius, size, k, bound))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column("id").take(pa.array(at)),
+                            rows.column("vec").take(pa.array(at)),
+                            pa.array(cell.astype("int32")),
+                        ],
+                        names=["id", "vec", "cell"],
+                    )
 
         return assign
 

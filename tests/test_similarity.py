@@ -50,6 +50,21 @@ def test_broadcast_search(spark, points, exclude_self):
     assert got == brute(points, points, 4, exclude_self)
 
 
+def test_small_chunks_change_nothing(spark, points, monkeypatch):
+    monkeypatch.setattr(sim, "SCORE_CELLS", 900)
+    monkeypatch.setattr(sim, "PROBE_ROWS", 40)
+    corpus = frame(spark, points)
+    wanted = brute(points, points, 3, True)
+    assert rows_of(sim.topk(corpus, corpus, 3, exclude_self=True)) == wanted
+    assert rows_of(sim.cell_topk(corpus, corpus, 3, True, cells=9)) == wanted
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string").coalesce(1)
+    vocabulary = tfidf.fit(docs)
+    vectors = reference_vectors(TEXTS, vocabulary)
+    monkeypatch.setattr(sim, "SCORE_CELLS", 2 * len(vocabulary.terms))
+    hits = tfidf.nearest(docs, docs, "id", "text", vocabulary=vocabulary, exclude_self=True)
+    assert rows_of(hits) == brute(vectors, vectors, 1, True)
+
+
 @pytest.mark.parametrize("cells, block", [(1, 7), (6, 16), (240, 4096)])
 def test_cell_search(spark, points, cells, block):
     corpus = frame(spark, points)
