@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parley.catalog import sql
 from parley.functions import text as tx
 from parley.functions import vectors as vx
 from parley.operators import classify, clusters, retrieval, similarity
+from parley.session import shared_dir
 from parley.sources import given
 from parley.sources.given import table
+from parley.streaming import triage
 
 
 def _vectors(spark, folder):
@@ -105,9 +109,25 @@ def prompt_text(spark, folder):
     )
 
 
+def stream_retrieval(spark, folder):
+    """Vectors read as a file stream; each micro-batch looks up its nearest stored vectors."""
+    stored = _vectors(spark, folder)
+    corpus = similarity.dense(stored, "vec_id", "embedding")
+    stream = triage.read_messages(spark, folder, stored.schema, "embeddings.parquet")
+
+    def look_up(batch):
+        queries = similarity.dense(batch, "vec_id", "embedding")
+        return similarity.topk(corpus, queries, 3, exclude_self=True)
+
+    place = f"{shared_dir(spark)}/stream_retrieval_{uuid.uuid4().hex}"
+    triage.write_batches(stream, f"{place}/out", f"{place}/state", look_up).awaitTermination()
+    return spark.read.parquet(f"{place}/out").drop("batch")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        stream_retrieval,
         unit_vectors,
         cosine_topk,
         cell_topk,
@@ -149,6 +169,7 @@ ORACLE = {
 SELECT vec_id, (generate_subscripts(u, 1) - 1)::INTEGER AS pos, round(unnest(u), 6) AS value FROM unit""",
     "cosine_topk": _TOPK,
     "cell_topk": _TOPK,
+    "stream_retrieval": _TOPK,
     "centroids": f"{_CENTERS} SELECT label, n, pos::INTEGER AS pos, round(c, 6) AS value FROM centers",
     "inertia": f"""{_CENTERS}
 SELECT count(DISTINCT label) AS labels, (SELECT count(*) FROM unit) AS n,
@@ -188,11 +209,11 @@ SELECT e.vec_id AS conversation_id, coalesce(context, 'No historical resolutions
 FROM embeddings e LEFT JOIN contexts c ON c.query_id = e.vec_id""",
     "prompt_text": f"""{_HITS}
 SELECT c.conversation_id,
-       'INCOMING CUSTOMER TWEET:' || chr(10) || '"' || c.text || '"' || chr(10) || chr(10)
-       || 'PREDICTED INTENT (Confidence: ' || {sql.two_places('h.similarity')} || '): '
-       || c.intent_label || chr(10) || chr(10) || x.context || chr(10) || chr(10)
-       || 'Decide from the customer''s issue and the resolutions above. Answer with reasoning, '
-       || 'predicted_intent, is_escalation, escalation_reason, draft_reply.' AS prompt
+       'A customer wrote:' || chr(10) || c.text || chr(10) || chr(10) || 'Likely intent: '
+       || c.intent_label || ' (confidence ' || {sql.two_places('h.similarity')} || ')'
+       || chr(10) || chr(10) || x.context || chr(10) || chr(10)
+       || 'Return JSON with reasoning, predicted_intent, is_escalation, '
+       || 'escalation_reason and draft_reply.' AS prompt
 FROM cases c JOIN hits h ON h.query_id = c.conversation_id AND h.rank = 1
      JOIN contexts x ON x.query_id = c.conversation_id""",
 }

@@ -231,7 +231,7 @@ def test_triage_end_to_end(spark, tmp_path):
 
 
 def judge(row):
-    if '"poison"' in row["prompt"]:
+    if "poison" in row["prompt"]:
         raise RuntimeError("judge is down")
     names = [f.name for f in schemas.JUDGE_GRADES.fields]
     return json.dumps(dict.fromkeys(names, "incorrect") | {"rag_escalation": "correct_no_escalation"})
