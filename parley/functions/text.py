@@ -96,15 +96,34 @@ def keyword_hits(lowered: Column, words: Sequence[str]) -> Column:
     )
 
 
+def _is_whole_word(pattern: str) -> bool:
+    """Bounded by word boundaries on both sides, with no alternative outside brackets."""
+    depth = 0
+    for char in pattern:
+        depth += {"(": 1, ")": -1}.get(char, 0)
+        if char == "|" and depth == 0:
+            return False
+    return pattern.startswith(r"\b") and pattern.endswith(r"\b")
+
+
+def _first_letters(words: Sequence[str]) -> str:
+    """Lookahead for the letter each pattern must begin with; empty if one has no such letter."""
+    if all(w[:1].isalnum() and w[1:2] not in ("?", "*", "{") for w in words):
+        return f"(?=[{''.join(sorted({w[0] for w in words}))}])"
+    return ""
+
+
 def matches_any(lowered: Column, patterns: Sequence[str]) -> Column:
     """One regex pass for all patterns that lead to the same outcome.
 
     Only a line feed ends a line for ``.``. Patterns of whole words share one test of the
-    word boundary, which is spelled out because what ``\\b`` means depends on the JVM.
+    word boundary, which is spelled out because what ``\\b`` means depends on the JVM. Most
+    places in a text are ruled out by their letter alone.
     """
-    if all(p.startswith(r"\b") and p.endswith(r"\b") for p in patterns):
-        inner = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns)
-        return lowered.rlike(rf"(?d)(?<!{WORD})(?:{inner})(?!{WORD})")
+    if all(_is_whole_word(p) for p in patterns):
+        words = [p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns]
+        start = f"{_first_letters(words)}(?<!{WORD})"
+        return lowered.rlike(rf"(?d){start}(?:{'|'.join(words)})(?!{WORD})")
     return lowered.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))
 
 

@@ -41,12 +41,12 @@ class Rule:
     keywords: Sequence[str] = ()
     intents: Sequence[str] = ()
 
-    def condition(self, lowered: Column, intent: Column) -> Column:
+    def condition(self, lowered: Column, intent: Column, any_pattern: Column) -> Column:
         test = F.lit(True)
         if self.intents:
             test = test & intent.isin(*self.intents)
         if self.patterns:
-            test = test & tx.matches_any(lowered, self.patterns)
+            test = test & any_pattern & tx.matches_any(lowered, self.patterns)
         if self.keywords:
             test = test & tx.contains_any(lowered, self.keywords)
         return F.coalesce(test, F.lit(False))
@@ -62,12 +62,15 @@ def apply_rules(
 ) -> DataFrame:
     """Add ``is_escalation`` and ``label_notes``."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    # Lowered once, as a column: each condition would otherwise lower the text again. The
-    # chain yields a rule number, so each condition appears once in the plan.
+    # Lowered once, as a column: each condition would otherwise lower the text again. One
+    # pass over all patterns spares most texts a pass per rule. The chain yields a rule
+    # number, so each condition appears once in the plan.
+    patterns = [p for rule in rules for p in rule.patterns]
     df = df.withColumn("_low", F.lower(tx.straighten_quotes(raw) if normalize_quotes else raw))
+    df = df.withColumn("_any", tx.matches_any(F.col("_low"), patterns) if patterns else F.lit(False))
     lowered = F.col("_low")
     wanted = F.lower(F.coalesce(F.col(intent), F.lit("")))
-    number = first_match([(r.condition(lowered, wanted), i) for i, r in enumerate(rules)], len(rules))
+    number = first_match([(r.condition(lowered, wanted, F.col("_any")), i) for i, r in enumerate(rules)], len(rules))
     outcomes = [*rules, default]
     flags = F.array(*[F.lit(r.escalate) for r in outcomes])
     notes = F.array(*[F.lit(r.note) for r in outcomes])
@@ -79,7 +82,7 @@ def apply_rules(
                 "label_notes": notes[F.col("_rule")],
             }
         )
-        .drop("_rule", "_low")
+        .drop("_rule", "_low", "_any")
     )
 
 

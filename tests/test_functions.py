@@ -105,6 +105,15 @@ def test_patterns_match_whole_words(spark):
     assert not hit("hacking") and not hit("éhack") and not hit("hack_1")
     assert not hit("charged\nnot free")
     assert hit("charged \x85 not free")
+    for text, wanted in [("foo x", True), ("x bar", True), ("xbar", True), ("xfoo", False)]:
+        assert one(spark, text, lambda c: tx.matches_any(c, (r"\bfoo|bar\b",))) is wanted
+
+
+def test_first_letters_only_when_every_pattern_has_one():
+    assert tx._first_letters(["hack(ed)?", "charged .* x", "check your dms?"]) == "(?=[ch])"
+    for words in (["s?foo"], ["(a|b)c"], ["", "x"], [r"\d+"], ["x*y"]):
+        assert tx._first_letters(words) == ""
+    assert tx._first_letters(["changed my (email|password)"]) == "(?=[c])"
 
 
 def test_tokens(spark):
