@@ -1,10 +1,10 @@
-"""Registered queries on fitted models. Their numbers depend on a solver, so no SQL."""
+"""Registered queries on fitted models, whose numbers depend on a solver and have no SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.catalog import vectors
+from parley.catalog import sql, vectors
 from parley.operators import classify, clusters
 from parley.plans import triage
 from parley.sources.given import table
@@ -23,7 +23,8 @@ def k_sweep(spark, folder):
 
 
 def silhouette_squared(spark, folder):
-    return clusters.squared_silhouette(_vectors(spark, folder), "label")
+    found = clusters.squared_silhouette(_vectors(spark, folder), "label")
+    return found.select(F.round("squared_silhouette", 6).alias("squared_silhouette"))
 
 
 def pca_2d(spark, folder):
@@ -55,4 +56,16 @@ QUERIES = {
         triage_prompts,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "silhouette_squared": f"""WITH {sql.UNIT},
+gaps AS (
+  SELECT a.vec_id, a.label AS own, b.label, pow(list_distance(a.u, b.u), 2) AS d
+  FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+per_label AS (SELECT vec_id, own, label, avg(d) AS d FROM gaps GROUP BY ALL),
+per_row AS (
+  SELECT vec_id, max(CASE WHEN label = own THEN d END) AS a,
+         min(CASE WHEN label <> own THEN d END) AS b
+  FROM per_label GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS squared_silhouette
+FROM per_row""",
+}
