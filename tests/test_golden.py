@@ -19,7 +19,7 @@ def sheet(spark, messages_path):
 
 @pytest.fixture(scope="module")
 def audited(sheet):
-    return labelling.audited(labelling.labelled(sheet), "spotify").cache()
+    return labelling.audited(labelling.labelled(sheet), "acme").cache()
 
 
 def test_input_shape(sheet):
@@ -62,6 +62,15 @@ def test_second_opinion_rows_in_order(spark, audited, second_opinion_path):
     assert [r["label_notes"] for r in picked] == [r["label_notes"] for r in wanted]
 
 
+def test_text_flags_are_parsed(spark, second_opinion_path):
+    rows = read_csv(spark, second_opinion_path, schemas.HUMAN_BENCHMARK)
+    parsed = labelling.with_parsed_flag(rows)
+    counts = {r[0]: r[1] for r in parsed.groupBy("is_escalation").count().collect()}
+    assert counts == {True: 10, False: 20}
+    first = sampling.preview(parsed, "conversation_id", 3).collect()
+    assert len(first) == 3 and first[0]["conversation_id"] <= first[1]["conversation_id"]
+
+
 def test_second_opinion_is_valid(spark, second_opinion_path):
     rows = read_csv(spark, second_opinion_path, schemas.HUMAN_BENCHMARK)
     assert labelling.annotation_checks(rows).count() == 0
