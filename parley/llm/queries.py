@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, tokencount
+from parley.llm import bpe, language, quality, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.captures(table(spark, folder, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = tokencount.count_tokens(
         table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
@@ -29,11 +33,22 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
+        op3_warc,
         op4_token_counts,
         op5_bpe_round_trip,
+        op8_language_id,
+        op10_quality_rules,
     )
 }
 ORACLE: dict[str, str] = {}
