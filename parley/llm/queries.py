@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, language, quality, tokencount, warc
+from parley.llm import bpe, decontaminate, language, quality, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.captures(table(spark, folder, "pages"))
 
@@ -44,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op2_decontamination,
         op3_warc,
         op4_token_counts,
         op5_bpe_round_trip,
@@ -51,4 +58,4 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
