@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontaminate, language, quality, tokencount, warc
+from parley.llm import bpe, decontaminate, language, quality, repeats, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -39,6 +39,10 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.report(table(spark, folder, "documents"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
         op3_warc,
         op4_token_counts,
         op5_bpe_round_trip,
+        op7_suffix_dedup,
         op8_language_id,
         op10_quality_rules,
     )
