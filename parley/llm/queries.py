@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontaminate, language, quality, repeats, tokencount, warc
+from parley.llm import bpe, decontaminate, language, nearcopies, quality, repeats, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.components_of(table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -54,6 +58,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_minhash_dedup,
         op2_decontamination,
         op3_warc,
         op4_token_counts,
@@ -63,4 +68,7 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": nearcopies.ORACLE,
+    "op2_decontamination": decontaminate.ORACLE,
+}
