@@ -41,6 +41,45 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def solve_groups(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    schema: str,
+    solve: Callable[[list[dict]], Iterator[tuple]],
+) -> DataFrame:
+    """Deal rows by keys, and solve the rows of each key, which are of bounded number, at once."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array(c, f.type) for c, f in zip(zip(*out), target)]
+        return pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name, out = [], None, []
+        for batch in batches:
+            for part in split(batch):
+                for row in part.to_pylist():
+                    own = tuple(row[k] for k in keys)
+                    if held and own != name:
+                        out.extend(solve(held))
+                        held = []
+                        if len(out) > 10_000:
+                            yield batch_of(out)
+                            out = []
+                    held.append(row)
+                    name = own
+        if held:
+            out.extend(solve(held))
+        if out:
+            yield batch_of(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def split(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes, never less than a row."""
     if batch.num_rows == 0:

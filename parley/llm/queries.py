@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontaminate, language, nearcopies, quality, repeats, tokencount, warc
+from parley.llm import bpe, decontaminate, extract, language, nearcopies, quality, repeats, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -43,6 +43,10 @@ def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.main_text(table(spark, folder, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.report(table(spark, folder, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
         op3_warc,
         op4_token_counts,
         op5_bpe_round_trip,
+        op6_html_extraction,
         op7_suffix_dedup,
         op8_language_id,
         op10_quality_rules,
