@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontaminate, extract, language, nearcopies, quality, repeats, tokencount, warc
+from parley.llm import bpe, decontaminate, dialogue, extract, language, nearcopies, quality, repeats, tokencount, warc
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -55,6 +55,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.repair(table(spark, folder, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op6_html_extraction,
         op7_suffix_dedup,
         op8_language_id,
+        op9_chat_formatting,
         op10_quality_rules,
     )
 }
