@@ -128,18 +128,21 @@ def overlaps(
     span: int = SPAN,
     gram: int = GRAM,
 ) -> DataFrame:
-    """``id, text, n_words, items, hit``: items with windows in a text, places of hit words."""
+    """``row, n_words, items, hit``: items with windows in a text, places of hit words.
+
+    ``row`` holds all columns of the document.
+    """
     items = _items(benchmark, item_col, item_text_col, span, gram)
     sizes = items.where(F.size("parts") < span).select(F.size("parts").alias("n")).distinct()
     short = sorted(r.n for r in sizes.collect())  # fewer than ``span`` lengths
-    source = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("body"))
-    source = source.withColumn("digest", F.md5(F.coalesce("body", F.lit(""))))
+    body = F.col("row")[text_col]
+    source = docs.select(F.struct("*").alias("row")).select(
+        "row", F.col("row")[id_col].alias("doc"), F.md5(F.coalesce(body, F.lit(""))).alias("digest")
+    )
     prints = source.select(
         "doc",
         "digest",
-        F.explode(
-            let(words(F.col("body")), lambda w: fingerprints(w, span, gram, short))
-        ).alias("mark"),
+        F.explode(let(words(body), lambda w: fingerprints(w, span, gram, short))).alias("mark"),
     )
     marks = stage(items.select(F.explode("marks").alias("mark"), "name"))
     hits = prints.join(marks, "mark").groupBy("doc", "digest", "name").agg(
@@ -195,19 +198,22 @@ def overlaps(
             ),
         )
 
-    out = joined.select(
-        F.col("doc").alias(id_col),
-        F.col("body").alias(text_col),
-        F.explode(F.array(let(words(F.col("body")), result))).alias("result"),
-    )
-    return out.select(id_col, text_col, "result.*")
+    found = F.explode(F.array(let(words(body), result))).alias("result")
+    return joined.select("row", found).select("row", "result.*")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def report(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
+) -> DataFrame:
     """``id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
-    found = overlaps(docs, benchmark, **options)
+    slim = docs.select(docs[id_col], docs[text_col])
+    found = overlaps(slim, benchmark, id_col=id_col, text_col=text_col, **options)
     return found.select(
-        options.get("id_col", "doc_id"),
+        F.col("row")[id_col].alias(id_col),
         F.col("n_words").cast("bigint").alias("n_words"),
         F.size("hit").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),
@@ -216,6 +222,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents without any window of the benchmark, all columns."""
+    return overlaps(docs, benchmark, **options).where(F.size("hit") == 0).select("row.*")
+
+
 #: The same rows in SQL: all windows of both sides joined as text.
 ORACLE = r"""
 WITH doc AS (
