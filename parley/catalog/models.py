@@ -19,7 +19,7 @@ def kmeans_assign(spark, folder):
 
 
 def k_sweep(spark, folder):
-    return clusters.sweep(_vectors(spark, folder), "vec_id", n_init=4)
+    return clusters.sweep(_vectors(spark, folder), "vec_id")
 
 
 def silhouette_squared(spark, folder):

@@ -8,11 +8,11 @@ from parley.catalog import sql
 from parley.functions import text as tx
 from parley.operators import profile, quality, rules, sampling, threads
 from parley.sources import given
-from parley.sources.given import table, texts
+from parley.sources.given import table
 
 
 def clean_dedup_messages(spark, folder):
-    docs = tx.with_clean_text(texts(spark, folder, "documents"), "text", "text_clean").select(
+    docs = tx.with_clean_text(table(spark, folder, "documents"), "text", "text_clean").select(
         "doc_id", "text_clean"
     )
     counted = docs.withColumn("word_count", tx.word_count(F.col("text_clean")))
@@ -21,7 +21,7 @@ def clean_dedup_messages(spark, folder):
 
 def clean_links(spark, folder):
     body = F.concat_ws(" ", "url", "html")
-    return texts(spark, folder, "pages").select("page_id", tx.clean_text(body).alias("text_clean"))
+    return table(spark, folder, "pages").select("page_id", tx.clean_text(body).alias("text_clean"))
 
 
 REWRITE_HOSTS = ("spam-farm.example.org", "www.cheap-pills.example.com", "thther.example.org")
@@ -30,7 +30,7 @@ REWRITE_TARGET = "https://support.example.com"
 
 def shortlink_rewrite(spark, folder):
     body = F.concat_ws(" ", "url", "html")
-    return texts(spark, folder, "pages").select(
+    return table(spark, folder, "pages").select(
         "page_id", tx.rewrite_shortlinks(body, REWRITE_HOSTS, REWRITE_TARGET).alias("text")
     )
 
@@ -61,6 +61,46 @@ def crosstab_margins(spark, folder):
     return profile.crosstab(rows, "lang", "toxic", (0, 1))
 
 
+def crosstab_with_nulls(spark, folder):
+    """Documents without a label hold nulls, and one quality is not among the listed values."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return profile.crosstab(rows, "source", "quality", (1,))
+
+
+def share_with_nulls(spark, folder):
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return profile.shares(rows, "quality")
+
+
+def describe_similarity(spark, folder):
+    """Quantiles of doubles that are nearly all different."""
+    first = table(spark, folder, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"))
+    return profile.describe(first, "x")
+
+
+def missing_key(spark, folder):
+    """Checks on a sheet that lost its key and its notes."""
+    sheet = _label_sheet(spark, folder).drop("conversation_id")
+    return quality.annotation_violations(
+        sheet, "conversation_id", {"intent_label": rules.INTENTS}, required=("notes",)
+    )
+
+
+def row_count(spark, folder):
+    return quality.row_count_warning(table(spark, folder, "labels"), 200)
+
+
+def both_verdicts(spark, folder):
+    """One verdict over the violations of two sheets."""
+    return quality.verdict(
+        violations(spark, folder).unionByName(annotation_violations(spark, folder))
+    )
+
+
+def first_violations(spark, folder):
+    return quality.first_violations(violations(spark, folder), 10)
+
+
 def count_by_two(spark, folder):
     return profile.value_counts(given.messages(spark, folder), "cluster", "intent_label")
 
@@ -142,6 +182,13 @@ QUERIES = {
         share_by_value,
         top_sources,
         crosstab_margins,
+        crosstab_with_nulls,
+        share_with_nulls,
+        describe_similarity,
+        missing_key,
+        row_count,
+        both_verdicts,
+        first_violations,
         count_by_two,
         label_summary,
         exact_sample,
@@ -193,6 +240,21 @@ found AS (
   FROM sheet WHERE {_BLANK_TEXT})
 """
 
+_ANNOTATIONS = """SELECT conversation_id::VARCHAR AS row_key, 'unfilled' AS rule,
+       concat_ws(', ', CASE WHEN quality IS NULL THEN 'quality' END,
+                       CASE WHEN is_escalation IS NULL THEN 'is_escalation' END) AS value,
+       'Missing ' || concat_ws(', ', CASE WHEN quality IS NULL THEN 'quality' END,
+                       CASE WHEN is_escalation IS NULL THEN 'is_escalation' END) AS message
+FROM sheet WHERE quality IS NULL OR is_escalation IS NULL
+UNION ALL
+SELECT conversation_id::VARCHAR, 'domain_quality', quality,
+       'Invalid quality ''' || quality || '''. Must be one of: 1'
+FROM sheet WHERE quality IS NOT NULL AND is_escalation IS NOT NULL AND quality <> '1'
+UNION ALL
+SELECT conversation_id::VARCHAR, 'domain_is_escalation', is_escalation,
+       'Invalid is_escalation ''' || is_escalation || '''. Must be one of: 0'
+FROM sheet WHERE quality IS NOT NULL AND is_escalation IS NOT NULL AND is_escalation <> '0'"""
+
 ORACLE = {
     "clean_dedup_messages": f"""
 WITH c AS (SELECT doc_id, {sql.clean('text')} AS text_clean FROM documents),
@@ -222,12 +284,33 @@ FROM documents GROUP BY source""",
     "top_sources": "SELECT source, count(*) AS n FROM documents GROUP BY source "
     "ORDER BY n DESC, source LIMIT 5",
     "crosstab_margins": """
-SELECT CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang,
+SELECT CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang, grouping(lang) = 1 AS is_margin,
        count(*) FILTER (WHERE toxic = 0) AS "0", count(*) FILTER (WHERE toxic = 1) AS "1",
        count(*) AS "All"
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""",
     "count_by_two": f"WITH {sql.MESSAGES} SELECT cluster, intent_label, count(*) AS n "
-    "FROM messages GROUP BY ALL",
+    "FROM messages WHERE cluster IS NOT NULL AND intent_label IS NOT NULL GROUP BY ALL",
+    "crosstab_with_nulls": """
+SELECT CASE WHEN grouping(source) = 1 THEN 'All' ELSE source END AS source,
+       grouping(source) = 1 AS is_margin, count(*) AS "1", count(*) AS "All"
+FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND source IS NOT NULL
+GROUP BY ROLLUP (source)""",
+    "share_with_nulls": """
+SELECT quality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1)::DOUBLE AS share_pct
+FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality""",
+    "describe_similarity": """
+WITH v AS (SELECT embedding[1]::DOUBLE AS x FROM embeddings)
+SELECT count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min,
+       round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50,
+       round(quantile_cont(x, 0.75), 6) AS p75, max(x) AS max FROM v""",
+    "missing_key": """
+SELECT NULL::VARCHAR AS row_key, 'required_column' AS rule, c AS value,
+       concat('Missing required column: ', chr(39), c, chr(39)) AS message
+FROM (VALUES ('conversation_id'), ('notes')) t(c)""",
+    "row_count": """
+SELECT NULL::VARCHAR AS row_key, 'row_count' AS rule, count(*)::VARCHAR AS value,
+       'Row count is ' || count(*) || ', expected 200.' AS message
+FROM labels HAVING count(*) <> 200""",
     "label_summary": """
 SELECT count(DISTINCT lang) AS labels, count(*) AS total, sum(toxic)::BIGINT AS flagged,
        round(avg(toxic) * 100, 1) AS flagged_pct
@@ -249,21 +332,11 @@ o AS (SELECT doc_id, lang,
 SELECT doc_id, lang, pick::INTEGER AS pick FROM o WHERE pick <= 30""",
     "violations": f"{_VIOLATIONS} SELECT * FROM found",
     "violation_verdict": f"{_VIOLATIONS} SELECT count(*) AS violations, count(*) = 0 AS passed FROM found",
-    "annotation_violations": f"""{_SHEET}
-SELECT conversation_id::VARCHAR AS row_key, 'unfilled' AS rule,
-       concat_ws(', ', CASE WHEN quality IS NULL THEN 'quality' END,
-                       CASE WHEN is_escalation IS NULL THEN 'is_escalation' END) AS value,
-       'Missing ' || concat_ws(', ', CASE WHEN quality IS NULL THEN 'quality' END,
-                       CASE WHEN is_escalation IS NULL THEN 'is_escalation' END) AS message
-FROM sheet WHERE quality IS NULL OR is_escalation IS NULL
-UNION ALL
-SELECT conversation_id::VARCHAR, 'domain_quality', quality,
-       'Invalid quality ''' || quality || '''. Must be one of: 1'
-FROM sheet WHERE quality IS NOT NULL AND is_escalation IS NOT NULL AND quality <> '1'
-UNION ALL
-SELECT conversation_id::VARCHAR, 'domain_is_escalation', is_escalation,
-       'Invalid is_escalation ''' || is_escalation || '''. Must be one of: 0'
-FROM sheet WHERE quality IS NOT NULL AND is_escalation IS NOT NULL AND is_escalation <> '0'""",
+    "annotation_violations": f"{_SHEET} {_ANNOTATIONS}",
+    "both_verdicts": f"""{_VIOLATIONS}, annotated AS ({_ANNOTATIONS}),
+every AS (SELECT rule FROM found UNION ALL SELECT rule FROM annotated)
+SELECT count(*) AS violations, count(*) = 0 AS passed FROM every""",
+    "first_violations": f"{_VIOLATIONS} SELECT * FROM found ORDER BY rule, row_key LIMIT 10",
     "unfilled_fields": f"""{_SHEET},
 b AS (
   SELECT conversation_id AS row_key,

@@ -14,26 +14,26 @@ from parley.catalog.labels import KEYWORDS
 from parley.operators import enrich, rules, tfidf
 from parley.session import shared_dir
 from parley.sources import given
-from parley.sources.given import table, texts
+from parley.sources.given import table
 from parley.streaming import triage
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def tfidf_vocabulary(spark, folder):
-    stats = tfidf.term_statistics(texts(spark, folder, "documents"))
+    stats = tfidf.term_statistics(table(spark, folder, "documents"))
     return stats.orderBy(F.desc("tf"), "term").limit(2000)
 
 
 def tfidf_weights(spark, folder):
-    docs = texts(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     rows = tfidf.weights(docs, "doc_id", "text", tfidf.fit(docs))
     return rows.select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 def tfidf_nn(spark, folder):
     """Nearest document of every benchmark text."""
-    docs = texts(spark, folder, "documents").select(F.col("doc_id").alias("key"), "text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("key"), "text")
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("key"), "text")
     return tfidf.nearest(docs, queries, "key", "text").select(
         F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "similarity"
@@ -51,7 +51,7 @@ def letter_shares():
 
 
 def embed_batch(spark, folder):
-    docs = texts(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     found = enrich.embed(docs, "text", letter_shares)
     return found.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.round(F.col("value").cast("double"), 4)
@@ -87,7 +87,7 @@ def answer_length(row: dict) -> str:
 
 def cached_answers(spark, folder):
     """Labelled documents are asked first; the second run asks only the others."""
-    docs = texts(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
     labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("key"))
     path = f"{shared_dir(spark)}/answers_{uuid.uuid4().hex}"
     enrich.answers(docs.join(labels, "key", "left_semi"), path, answer_length)

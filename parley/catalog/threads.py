@@ -15,9 +15,9 @@ from parley.sources import given
 HANDLE = "the"
 
 
-def _pool(spark: SparkSession, folder: str) -> DataFrame:
+def _pool(spark: SparkSession, folder: str, rows=threads.brand_pool) -> DataFrame:
     tweets = given.tweets(spark, folder)
-    return threads.brand_pool(tweets, threads.brand_author(tweets, HANDLE).select("author_id").scalar())
+    return rows(tweets, threads.brand_author(tweets, HANDLE).select("author_id").scalar())
 
 
 def brand_mode(spark, folder):
@@ -30,7 +30,8 @@ def outbound_authors(spark, folder):
 
 
 def pool_share(spark, folder):
-    return profile.kept_share(_pool(spark, folder), given.tweets(spark, folder))
+    """Share of the pool before its duplicates go."""
+    return profile.kept_share(_pool(spark, folder, threads.brand_rows), given.tweets(spark, folder))
 
 
 def thread_roots(spark, folder):
@@ -83,9 +84,12 @@ FROM folded
 ORACLE = {
     "brand_mode": f"{sql.TWEETS} SELECT author_id, n FROM mentions ORDER BY n DESC, author_id LIMIT 1",
     "outbound_authors": f"{sql.TWEETS} SELECT author_id, n FROM mentions ORDER BY n DESC, author_id LIMIT 5",
-    "pool_share": f"""{sql.POOL}
-SELECT (SELECT count(*) FROM pool) AS kept, (SELECT count(*) FROM tw) AS total,
-       round((SELECT count(*) FROM pool) * 100.0 / (SELECT count(*) FROM tw), 1)::DOUBLE AS kept_pct""",
+    "pool_share": f"""{sql.POOL},
+taken AS (
+  SELECT (SELECT count(*) FROM replies) + (SELECT count(*) FROM tw WHERE tweet_id IN
+    (SELECT parent FROM replies WHERE parent IS NOT NULL)) AS kept)
+SELECT kept, (SELECT count(*) FROM tw) AS total,
+       round(kept * 100.0 / (SELECT count(*) FROM tw), 1)::DOUBLE AS kept_pct FROM taken""",
     "thread_roots": f"{sql.POOL} SELECT tweet_id FROM roots",
     "thread_walk": f"{sql.WALK} SELECT root_id, turn_index, tweet_id FROM walk",
     "thread_fold": f"{sql.FOLD} SELECT * FROM folded",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -99,7 +100,8 @@ def keyword_hits(lowered: Column, words: Sequence[str]) -> Column:
 def _is_whole_word(pattern: str) -> bool:
     """Bounded by word boundaries on both sides, with no alternative outside brackets."""
     depth = 0
-    for char in pattern:
+    plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]", "", pattern, flags=re.DOTALL)  # no escapes, no classes
+    for char in plain:
         depth += {"(": 1, ")": -1}.get(char, 0)
         if char == "|" and depth == 0:
             return False

@@ -87,25 +87,27 @@ def sweep(
 ) -> DataFrame:
     """``(k, inertia, silhouette)`` per number of clusters.
 
-    Inertia is over all rows, the silhouette over one seeded sample that all k share.
+    Inertia is over all rows, the silhouette over one seeded sample of ``silhouette_rows``
+    rows that all k share.
     """
     points = features(df, vec)
     kept = points.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = fit_many(kept, list(ks), seed=seed, **options)
-        sample = exact_sample(points.select(key, F.col(vec)), key, sample_size, seed)
-        labelled = features(sample, vec)
+        labelled = exact_sample(kept, key, sample_size, seed)
+        labelled = labelled.withColumn(vec, vector_to_array("features"))
         for k, model in models.items():
             labelled = assign(labelled, model, f"k{k}")
         costs = [(k, float(m.summary.trainingCost)) for k, m in models.items()]
         scores = {
-            r["labeling"]: r["silhouette"]
+            r["labeling"]: (r["silhouette"], r["n"])
             for r in silhouette(labelled, key, vec, [f"k{k}" for k in ks]).collect()
         }
     finally:
         kept.unpersist()
-    rows = [(k, cost, scores.get(f"k{k}")) for k, cost in costs]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    rows = [(k, cost, *scores.get(f"k{k}", (None, 0))) for k, cost in costs]
+    schema = "k int, inertia double, silhouette double, silhouette_rows bigint"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def best_k(swept: DataFrame) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.session import stage
 
-def value_counts(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+def value_counts(df: DataFrame, *columns: str, nulls: bool = False) -> DataFrame:
+    """Rows per value; rows with a null in any of the columns count only if asked for."""
+    kept = df if nulls else df.dropna(subset=list(columns))
+    return kept.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
 def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
@@ -22,12 +26,11 @@ def mode(df: DataFrame, column: str) -> DataFrame:
     return top_values(df, column, 1).select(column)
 
 
-def shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
-    """Counts and their percentage of all rows."""
-    total = df.agg(F.count("*")).scalar()
-    return value_counts(df, column).withColumn(
-        "share_pct", F.round(F.col("n") * 100.0 / total, digits)
-    )
+def shares(df: DataFrame, column: str, digits: int = 1, nulls: bool = False) -> DataFrame:
+    """Counts and their percentage of all rows counted; nulls as in :func:`value_counts`."""
+    counts = value_counts(df, column, nulls=nulls)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("share_pct", F.round(F.col("n") * 100.0 / total, digits))
 
 
 def kept_share(kept: DataFrame, whole: DataFrame) -> DataFrame:
@@ -40,55 +43,41 @@ def kept_share(kept: DataFrame, whole: DataFrame) -> DataFrame:
     )
 
 
-def order_statistics(
-    df: DataFrame, column: str, quantiles: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
+def order_statistics(df: DataFrame, column: str, quantiles: Sequence[float]) -> DataFrame:
     """Exact quantiles (linear interpolation) as one row ``q0, q1, ...``.
 
-    Approximate quantiles a little below and above each wanted one bracket its rank. Equal
-    values are counted first, so a value held by a third of the rows is one row; only the
-    few values inside a bracket are sorted, each bracket in its own task. The margin is ten
-    times the sketch's error; a rank outside its bracket would yield null, never another
-    value.
+    Equal values are counted first, so a value held by a third of the rows is one row. The
+    distinct values are dealt by ranges and lie in the shared folder with the number of their
+    range; counts per range tell which ranges hold the wanted ranks, and only these are sorted,
+    each in a task of its own. Without values every quantile is null.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
     counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    margin = 10 / accuracy
-    edges = [min(1.0, max(0.0, q + side)) for q in quantiles for side in (-margin, margin)]
-    sketch = F.percentile_approx("v", F.array(*map(F.lit, edges)), F.lit(accuracy))
-    near = counts.withColumn("edges", values.agg(sketch).scalar())
-    picked = range(len(quantiles))
-    low = [F.col("edges")[2 * i] for i in picked]
-    high = [F.col("edges")[2 * i + 1] for i in picked]
-    below = near.agg(
-        F.struct(
-            F.sum("n").alias("total"),
-            F.array(
-                *[F.coalesce(F.sum(F.when(F.col("v") < low[i], F.col("n"))), F.lit(0)) for i in picked]
-            ).alias("below"),
-        )
-    ).scalar()
-    inside = F.array_compact(
-        F.array(*[F.when(F.col("v").between(low[i], high[i]), F.lit(i)) for i in picked])
+    ranged = stage(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    # one row per range from here on, until the ranges that matter are read again
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(W.orderBy("part")) - F.col("size")
+    sizes = sizes.withColumn("before", before)
+    total = sizes.agg(F.sum("size").alias("total"))
+    ranks = total.select(
+        F.posexplode(F.array(*[F.lit(float(q)) * (F.col("total") - 1) for q in quantiles]))
+    ).select(F.col("pos").alias("i"), F.col("col").alias("spot"))
+    ranks = ranks.select(
+        "i", "spot", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))).alias("rank")
     )
-    held = F.sum("n").over(W.partitionBy("i").orderBy("v"))
-    ranked = (
-        near.select("v", "n", F.explode(inside).alias("i"))
-        .withColumn("held", held)
-        .withColumn("s", below)
-        .withColumn("upto", F.col("held") + F.col("s.below")[F.col("i")])
+    held = ranks.join(
+        F.broadcast(sizes), (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("size"))
+    )
+    wanted = held.select("part", "before").distinct()
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("v"))
+    near = ranged.join(F.broadcast(wanted), "part").withColumn("upto", upto)
+    found = held.select("i", "spot", "rank", "part").join(near.select("part", "v", "n", "upto"), "part")
+    found = found.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    one = found.groupBy("i").agg((low + (high - low) * F.max(F.col("spot") - F.floor("spot"))).alias("q"))
+    return one.agg(
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(quantiles))]
     )
-    parts = []
-    for i, q in enumerate(quantiles):
-        spot = F.lit(float(q)) * (F.col("s.total") - 1)
-
-        def at(rank: Column) -> Column:
-            here = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-            return F.min(F.when((F.col("i") == i) & here, F.col("v")))
-
-        first, second = at(F.floor(spot)), at(F.ceil(spot))
-        parts.append((first + (second - first) * F.max(spot - F.floor(spot))).alias(f"q{i}"))
-    return ranked.agg(*parts)
 
 
 def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
@@ -136,22 +125,23 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
     """Counts by two columns with margins; ``All`` names the margin row and column.
 
-    Cells are counted before the cube, so the cube multiplies cells and not input rows.
-    ``values`` lists the column values, which fixes the result's columns.
+    ``values`` lists the column values, which fixes the result's columns; rows with another
+    value, or a null in either column, are not counted anywhere. Cells are counted before
+    the rollup. ``is_margin`` tells the margin row from a row value that reads ``All``.
     """
-    cells = df.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n"))
-    cube = cells.cube("r", "c").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
-    by_row = F.when(F.col("g").bitwiseAND(2) == 2, F.lit("All")).otherwise(F.col("r").cast("string"))
-    margin = F.col("g").bitwiseAND(1) == 1
+    kept = df.where(F.col(rows).isNotNull() & F.col(columns).isin(*values))
+    cells = kept.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").alias("n"))
     cells_of = [
-        F.coalesce(
-            F.sum(F.when(~margin & F.col("c").eqNullSafe(F.lit(v)), F.col("n"))), F.lit(0)
-        ).alias(str(v))
+        F.coalesce(F.sum(F.when(F.col("c") == F.lit(v), F.col("n"))), F.lit(0)).alias(str(v))
         for v in values
     ]
-    return (
-        cube.groupBy(by_row.alias(rows))
-        .agg(*cells_of, F.sum(F.when(margin, F.col("n"))).alias("All"))
+    found = cells.rollup("r").agg(
+        F.grouping("r").alias("g"), *cells_of, F.coalesce(F.sum("n"), F.lit(0)).alias("All")
+    )
+    is_margin = F.col("g") == 1
+    name = F.when(is_margin, F.lit("All")).otherwise(F.col("r").cast("string"))
+    return found.select(
+        name.alias(rows), is_margin.alias("is_margin"), *[F.col(f"`{v}`") for v in values], "All"
     )
 
 

@@ -43,12 +43,14 @@ def label_violations(
     domains: Mapping[str, Sequence[str]],
     flags: Sequence[str] = (),
     texts: Sequence[str] = (),
+    required: Sequence[str] = (),
 ) -> DataFrame:
     """Rows ``(row_key, rule, value, message)`` for bad enums, flags and blank texts.
 
-    A missing column is one violation of its own and stops the row checks.
+    A missing column, the key and the ``required`` ones included, is one violation of its own
+    and stops the row checks.
     """
-    missing = missing_columns(df, [*domains, *flags, *texts])
+    missing = missing_columns(df, [key, *domains, *flags, *texts, *required])
     if missing:
         return df.sparkSession.createDataFrame(
             [(None, "required_column", c, f"Missing required column: '{c}'") for c in missing],
@@ -88,13 +90,12 @@ def unfilled_fields(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
 
 
 def annotation_violations(
-    df: DataFrame, key: str, domains: Mapping[str, Sequence[str]]
+    df: DataFrame, key: str, domains: Mapping[str, Sequence[str]], required: Sequence[str] = ()
 ) -> DataFrame:
     """Unfilled rows yield one violation and skip the domain checks."""
     fields = list(domains)
-    missing = missing_columns(df, fields)
-    if missing:
-        return label_violations(df, key, domains)
+    if missing_columns(df, [key, *fields, *required]):
+        return label_violations(df, key, domains, required=required)
     unfilled = F.lit(False)
     for name in fields:
         unfilled = unfilled | tx.is_blank(F.col(name))
@@ -134,14 +135,16 @@ def first_violations(violations: DataFrame, n: int = 10) -> DataFrame:
 
 
 def coverage(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Keys found in only one of the two tables, counted by side."""
-    left = rows.select(F.col(key).alias("k"), F.lit(1).alias("in_rows"))
-    right = vectors.select(F.col(key).alias("k"), F.lit(1).alias("in_vectors"))
-    return (
-        left.join(right, "k", "full_outer")
-        .agg(
-            F.count_if(F.col("in_rows").isNotNull() & F.col("in_vectors").isNotNull()).alias("matched"),
-            F.count_if(F.col("in_vectors").isNull()).alias("rows_without_vector"),
-            F.count_if(F.col("in_rows").isNull()).alias("vectors_without_row"),
-        )
+    """Keys found in only one of the two tables, counted by side.
+
+    Keys are counted on each side before they meet, so neither nulls nor repeated keys gather
+    rows in one task; a null key matches nothing.
+    """
+    left = rows.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("a"))
+    right = vectors.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("b"))
+    a, b = (F.coalesce(F.col(c), F.lit(0)) for c in "ab")
+    return left.join(right, "k", "full_outer").agg(
+        F.coalesce(F.sum(a * b), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum(F.when(b == 0, a)), F.lit(0)).alias("rows_without_vector"),
+        F.coalesce(F.sum(F.when(a == 0, b)), F.lit(0)).alias("vectors_without_row"),
     )

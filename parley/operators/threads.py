@@ -42,8 +42,8 @@ def keep_first(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     return df.withColumn("_first", rank).where("_first = 1").drop("_first")
 
 
-def brand_pool(tweets: DataFrame, brand: Column | str) -> DataFrame:
-    """The brand's tweets and the tweets they answer, one row per id.
+def brand_rows(tweets: DataFrame, brand: Column | str) -> DataFrame:
+    """The brand's tweets and the tweets they answer; a tweet may be both.
 
     The parent ids are made distinct before their shuffle, so a tweet answered by very
     many replies is one key.
@@ -56,9 +56,14 @@ def brand_pool(tweets: DataFrame, brand: Column | str) -> DataFrame:
         .distinct()
     )
     customers = tweets.join(parents, "tweet_id", "left_semi").select(*tweets.columns)
-    both = replies.withColumn("_source", F.lit(0)).unionByName(
+    return replies.withColumn("_source", F.lit(0)).unionByName(
         customers.withColumn("_source", F.lit(1))
     )
+
+
+def brand_pool(tweets: DataFrame, brand: Column | str) -> DataFrame:
+    """The brand's tweets and the tweets they answer, one row per id."""
+    both = brand_rows(tweets, brand)
     return keep_first(both, "tweet_id", "_source", "created_at", "text").drop("_source")
 
 

@@ -49,18 +49,6 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
 
 
-def spread_small(df: DataFrame, limit: int = 256 * 1024 * 1024) -> DataFrame:
-    """Rows of a small table on all cores.
-
-    A small Parquet file is often one row group and so one task, whatever the work per row.
-    A table whose files exceed ``limit`` keeps the scan's own splits and is not shuffled.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def attach_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Vectors are matched to rows by key, never by position."""
     return rows.join(vectors, key)

@@ -253,7 +253,7 @@ def test_judged_comparison(spark, tmp_path):
     both = rows.withColumn("human", F.lit(None).cast("string"))
     row = evaluation.agreement(both, "human", "rag_judge_escalation", "ground_truth_escalation").first()
     assert (row["n"], row["agreement_pct"]) == (1, 100.0)
-    failed = evaluate.failures(rows, "rag_judge_accuracy", "rag_judge_escalation").collect()
+    failed = evaluate.failures(rows, "rag_judge_accuracy", "rag_judge_escalation", "id").collect()
     assert [r["id"] for r in failed] == [2]
 
 
@@ -262,7 +262,7 @@ def test_failures_fall_back_to_the_lowest_grades(spark):
         [(i, g, "correct_escalation") for i, g in enumerate(["fully_correct"] * 7 + ["JUDGE_FAILED"])],
         "id long, g string, e string",
     )
-    assert [r["id"] for r in evaluate.failures(rows, "g", "e").orderBy("id").collect()] == [0, 1, 2, 3, 4]
+    assert [r["id"] for r in evaluate.failures(rows, "g", "e", "id").orderBy("id").collect()] == [0, 1, 2, 3, 4]
 
 
 def test_kappa(spark):

@@ -46,7 +46,31 @@ def test_crosstab(spark):
         [("a", True), ("a", True), ("b", False), (None, True)], "k string, f boolean"
     )
     got = {r["k"]: (r["true"], r["false"], r["All"]) for r in _named(profile.crosstab(rows, "k", "f", (True, False)))}
-    assert got == {"a": (2, 0, 2), "b": (0, 1, 1), None: (1, 0, 1), "All": (3, 1, 4)}
+    assert got == {"a": (2, 0, 2), "b": (0, 1, 1), "All": (2, 1, 3)}
+
+
+def test_crosstab_margins_are_sums_of_cells(spark):
+    """A row value that reads All, a column value that is not listed, nulls on both sides."""
+    rows = spark.createDataFrame(
+        [("All", "x"), ("a", "x"), ("a", "y"), ("a", "z"), (None, "x"), ("b", None), ("c", "z")],
+        "k string, v string",
+    )
+    got = sorted(tuple(r) for r in profile.crosstab(rows, "k", "v", ("x", "y")).collect())
+    assert got == [("All", False, 1, 0, 1), ("All", True, 2, 1, 3), ("a", False, 1, 1, 2)]
+
+
+def test_order_statistics_are_never_missing(spark):
+    values = [float(v) for v in range(1000)] + [500.0] * 3000
+    frame = numbers(spark, values).repartition(7)
+    got = profile.order_statistics(frame, "x", (0.0, 0.1, 0.5, 0.93, 1.0)).first()
+    assert list(got) == [pytest.approx(np.quantile(values, q)) for q in (0.0, 0.1, 0.5, 0.93, 1.0)]
+    assert list(profile.order_statistics(numbers(spark, []), "x", (0.5,)).first()) == [None]
+
+
+def test_counts_drop_nulls_unless_asked(spark):
+    rows = spark.createDataFrame([("a",), (None,), ("a",)], "k string")
+    assert [tuple(r) for r in profile.shares(rows, "k").collect()] == [("a", 2, 100.0)]
+    assert {tuple(r) for r in profile.shares(rows, "k", nulls=True).collect()} == {("a", 2, 66.7), (None, 1, 33.3)}
 
 
 def _named(frame):
@@ -209,10 +233,3 @@ def test_report_and_keyed_table(spark, tmp_path):
         "conversation_id",
     )
     assert joined.count() == 1
-
-
-def test_small_tables_are_spread(spark):
-    rows = spark.range(100).coalesce(1)
-    assert tables.spread_small(rows).rdd.getNumPartitions() == 8
-    assert tables.spread_small(rows, limit=1).rdd.getNumPartitions() == 1
-    assert tables.spread_small(rows).where(F.col("id") < 50).count() == 50
