@@ -153,9 +153,9 @@ def overlaps(
     )
     met = stage(met)
     same = F.col("doc").eqNullSafe(F.col("met_doc")) & (F.col("digest") == F.col("met_digest"))
-    joined = source.join(
-        met.withColumnsRenamed({"doc": "met_doc", "digest": "met_digest"}), same, "left"
-    )
+    # one plan for every size: texts are dealt by document, whatever the number of hits
+    met = met.withColumnsRenamed({"doc": "met_doc", "digest": "met_digest"}).hint("merge")
+    joined = source.join(met, same, "left")
 
     def windows(own: Column) -> Column:
         return let(
