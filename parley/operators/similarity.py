@@ -31,15 +31,32 @@ from parley.session import stage
 DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 SCORE_CELLS = 4_000_000  # scores held at once by one task
-MAX_CELLS = 1024
 PROBE_ROWS = 16_384  # most rows one Arrow batch of cell searches may hold
 
 
+def _whole(vec: F.Column) -> F.Column:
+    """No null and no NaN among the values; NaN is the greatest value there is."""
+    return (F.size(F.array_compact(vec)) == F.size(vec)) & ~F.isnan(F.coalesce(F.array_max(vec), F.lit(0.0)))
+
+
 def dense(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """``(id, vec)`` rows; rows without a vector have no neighbours."""
-    return df.where(F.col(vec).isNotNull()).select(
-        F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")
+    """``(id, vec)`` rows; rows without a vector, or with a NaN or null in it, have no neighbours.
+
+    :func:`unusable` lists them. Vectors of different lengths end the search with an error.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    return rows.where(F.col("vec").isNotNull() & _whole(F.col("vec")))
+
+
+def unusable(df: DataFrame, key: str, vec: str, width: int) -> DataFrame:
+    """``(id, reason)`` of rows whose vector is missing, holds NaN or null, or has another length."""
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    reason = (
+        F.when(F.col("vec").isNull(), "missing")
+        .when(F.size("vec") != width, "length")
+        .when(~_whole(F.col("vec")), "not a number")
     )
+    return rows.select("id", reason.alias("reason")).where("reason is not null")
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -55,6 +72,10 @@ def _matrix(batch: pa.RecordBatch, width: int | None) -> np.ndarray:
     """Rows of an Arrow batch as unit vectors, from ``vec`` or ``indices, values``."""
     if width is None:
         column = batch.column("vec")
+        lengths = _list_lengths(column)
+        if batch.num_rows and (lengths != lengths[0]).any():
+            other = batch.column("id").filter(pa.array(lengths != lengths[0]))[:5].to_pylist()
+            raise ValueError(f"vectors of different lengths, for example those of {other}")
         flat = column.flatten().to_numpy(zero_copy_only=False)
         return _unit_rows(flat.reshape(batch.num_rows, -1))
     lengths = _list_lengths(batch.column("indices"))
@@ -140,9 +161,45 @@ def topk(
     some = queries.limit(room + 1).toArrow()
     if some.num_rows <= room:
         return _merge(_scan(corpus, queries, some, k, width, exclude_self), k)
-    if width is None:
-        return cell_topk(corpus, queries, k, exclude_self)
-    return _merge(_grid_search(corpus, queries, k, width, exclude_self), k)
+    return distinct_topk(corpus, queries, k, width, exclude_self)
+
+
+def distinct_topk(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = 3,
+    width: int | None = None,
+    exclude_self: bool = False,
+) -> DataFrame:
+    """Exact top-k for query sets of any size; equal rows are searched once.
+
+    Of equal corpus rows only the lowest ``k + 1`` ids can be among anybody's ``k``; equal
+    queries share their hits. So a vector that a third of the rows have is one row here.
+    """
+    kind = ["vec"] if width is None else ["indices", "values"]
+    name = F.sha2(F.concat_ws(";", *[F.concat_ws(",", F.col(c).cast("array<string>")) for c in kind]), 256)
+    few = k + 1
+    turn = F.row_number().over(W.partitionBy("name").orderBy("id"))
+    named = corpus.withColumn("name", name).withColumn("turn", turn).where(F.col("turn") <= few)
+    # equal rows go by their lowest id, so that ties between them go to it too
+    named = stage(named.withColumn("lowest", F.min("id").over(W.partitionBy("name"))))
+    asked = stage(queries.withColumn("name", name))
+    first = F.row_number().over(W.partitionBy("name").orderBy("id"))
+    one = asked.withColumn("turn", first).where("turn = 1").select(F.col("name").alias("id"), *kind)
+    rows = named.where("turn = 1").select("id", *kind)
+    found = (
+        cell_topk(rows, one, few)
+        if width is None
+        else _merge(_grid_search(rows, one, few, width, False), few)
+    )
+    held = found.select(F.col("query_id").alias("asked"), F.col("id").alias("lowest"), "similarity")
+    near = held.join(named.select("lowest", "id"), "lowest").select("asked", "id", "similarity")
+    best = W.partitionBy("asked").orderBy(F.desc("similarity"), "id")
+    near = near.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= few)
+    hits = asked.select(F.col("id").alias("query_id"), F.col("name").alias("asked")).join(near, "asked")
+    if exclude_self:
+        hits = hits.where("query_id <> id")
+    return _merge(hits.select("query_id", "id", "similarity"), k)
 
 
 def _scan(
@@ -268,11 +325,12 @@ def cell_topk(
     Each corpus row joins the cell of its nearest pivot. A query first searches the cells
     nearest to it, which bounds its k-th similarity, and then only the cells whose nearest
     possible member lies within that bound. A full cell is cut into blocks, so no task ever
-    holds a whole cell. ``cells`` defaults to the square root of the corpus size, at most
-    MAX_CELLS, which bounds the pivots that reach the driver and every task.
+    holds a whole cell. ``cells`` defaults to the square root of the corpus size; only the
+    size of the pivots, which every task holds, bounds it.
     """
     spark = corpus.sparkSession
-    cells = min(cells or max(1, math.isqrt(corpus.count())), MAX_CELLS)
+    room = max(1, BROADCAST_BYTES // (8 * _width_of(corpus, None)))
+    cells = min(cells or max(1, math.isqrt(corpus.count())), room)
     sample = exact_sample(corpus, "id", cells, seed).toArrow().combine_chunks()
     if sample.num_rows == 0:
         schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)

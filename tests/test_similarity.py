@@ -191,3 +191,31 @@ def test_null_vectors_have_no_neighbours(spark):
     assert sim.dense(rows, "k", "e").count() == 1
     assert sim.dense(rows, "k", "e").schema["vec"].dataType.elementType.simpleString() == "double"
     assert F is not None
+
+
+def test_ragged_and_nan_vectors(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [nan, 1.0]), (4, None), (5, [0.6, 0.8]), (6, [1.0, None])],
+        "i int, v array<double>",
+    )
+    points = sim.dense(rows, "i", "v")
+    got = sim.topk(points, points.where("id = 1"), 2, exclude_self=True).collect()
+    assert [(r["id"], r["similarity"]) for r in got] == [(5, 0.6), (2, 0.0)]
+    bad = {(r["id"], r["reason"]) for r in sim.unusable(rows, "i", "v", 2).collect()}
+    assert bad == {(3, "not a number"), (4, "missing"), (6, "not a number")}
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 0.0])], "i int, v array<double>")
+    points = sim.dense(ragged.coalesce(1), "i", "v")
+    with pytest.raises(Exception, match="different lengths"):
+        sim.topk(points, points, 1).collect()
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_equal_rows_are_searched_once(spark, exclude_self):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 5))
+    rows = [(i, base[i % 12 if i > 60 else 0].tolist()) for i in range(120)]
+    points = sim.dense(spark.createDataFrame(rows, "i int, v array<double>"), "i", "v")
+    plain = sim.topk(points, points, 3, exclude_self=exclude_self)
+    other = sim.distinct_topk(points, points, 3, exclude_self=exclude_self)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, other.collect()))
