@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parley.catalog import sql, vectors
+from parley.functions import vectors as vx
 from parley.operators import classify, clusters
 from parley.plans import triage
 from parley.sources.given import table
@@ -45,11 +47,69 @@ def triage_prompts(spark, folder):
     return rows.select("conversation_id", "intent", "confidence", "prompt")
 
 
+def kmeans_facts(spark, folder):
+    """What holds for any k-means result: rows lie at their nearest centre, costs add up."""
+    points = clusters.features(_vectors(spark, folder)).select("vec_id", "features")
+    model = clusters.fit_kmeans(points, n_init=2)
+    centers = [F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()]
+    gaps = F.array(
+        *[
+            F.aggregate(
+                F.zip_with(vector_to_array("features"), center, lambda x, y: F.pow(x - y, 2)),
+                F.lit(0.0),
+                lambda total, x: total + x,
+            )
+            for center in centers
+        ]
+    )
+    rows = clusters.assign(points, model).select("cluster", gaps.alias("gaps"))
+    own = F.col("gaps")[F.col("cluster")]
+    cost = float(model.summary.trainingCost)
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(own > F.array_min("gaps") + 1e-9).alias("misplaced"),
+        (F.abs(F.sum(own) - cost) < 1e-6 * cost).alias("costs_agree"),
+    )
+
+
+def pca_facts(spark, folder):
+    """What holds for any two principal components: centred, uncorrelated, of the stated share."""
+    found = pca_2d(spark, folder)
+    units = _vectors(spark, folder).select(F.posexplode(vx.unit(F.col("embedding"))).alias("pos", "x"))
+    spread = units.groupBy("pos").agg(F.var_samp("x").alias("v")).agg(F.sum("v")).scalar()
+    share = (F.var_samp("pc1") + F.var_samp("pc2")) / spread * 100
+    return found.agg(
+        F.count("*").alias("n"),
+        (F.abs(F.avg("pc1")) + F.abs(F.avg("pc2")) < 1e-6).alias("centred"),
+        (F.abs(F.covar_samp("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+        (F.var_samp("pc1") >= F.var_samp("pc2")).alias("ordered"),
+        (F.abs(share - F.max("explained_pct")) < 0.02).alias("share_agrees"),
+    )
+
+
+def classifier_facts(spark, folder):
+    """At the fitted optimum every class's mean probability is its share, both weighted."""
+    rows = _vectors(spark, folder)
+    model = classify.fit_classifier(rows, "label")
+    scored = model.predict(rows).join(classify.class_weights(rows, "label").drop("n"), "label")
+    names = scored.select("weight", F.col("label").cast("string"), F.explode("probabilities").alias("name", "p"))
+    per_class = names.groupBy("name").agg(
+        (F.sum(F.col("weight") * F.col("p")) / F.sum("weight")).alias("mean"),
+        (F.sum(F.when(F.col("label") == F.col("name"), F.col("weight"))) / F.sum("weight")).alias("share"),
+    )
+    return per_class.agg(
+        F.count("*").alias("classes"), F.max(F.abs(F.col("mean") - F.col("share")) < 1e-3).alias("means_agree")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         kmeans_assign,
         k_sweep,
+        kmeans_facts,
+        pca_facts,
+        classifier_facts,
         silhouette_squared,
         pca_2d,
         classify_intents,
@@ -57,6 +117,10 @@ QUERIES = {
     )
 }
 ORACLE = {
+    "kmeans_facts": "SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS costs_agree FROM embeddings",
+    "pca_facts": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, "
+    "true AS share_agrees FROM embeddings",
+    "classifier_facts": "SELECT count(DISTINCT label) AS classes, true AS means_agree FROM embeddings",
     "silhouette_squared": f"""WITH {sql.UNIT},
 gaps AS (
   SELECT a.vec_id, a.label AS own, b.label, pow(list_distance(a.u, b.u), 2) AS d

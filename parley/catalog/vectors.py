@@ -35,6 +35,29 @@ def cell_topk(spark, folder):
     return similarity.cell_topk(points, points, 3, exclude_self=True)
 
 
+SHIFT = 1_000_000
+
+
+def _doubled(spark, folder):
+    """Every vector twice, the copy under a number of its own."""
+    own = _vectors(spark, folder).select("vec_id", "embedding")
+    copy = own.withColumn("vec_id", F.col("vec_id") + SHIFT)
+    return similarity.dense(own.unionByName(copy), "vec_id", "embedding")
+
+
+def copies_topk(spark, folder):
+    """The search for any number of queries, on a table where every row has a copy."""
+    points = _doubled(spark, folder)
+    return similarity.distinct_topk(points, points, 3, exclude_self=True)
+
+
+def unusable_vectors(spark, folder):
+    """Documents without a vector, and what is wrong with the vectors of others."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"))
+    rows = docs.join(_vectors(spark, folder).select("vec_id", "embedding"), "vec_id", "left")
+    return similarity.unusable(rows, "vec_id", "embedding", 64)
+
+
 def centroids(spark, folder):
     found = clusters.centroids(_vectors(spark, folder), "label")
     return found.select("label", "n", F.posexplode("centroid").alias("pos", "value")).withColumn(
@@ -131,6 +154,8 @@ QUERIES = {
         unit_vectors,
         cosine_topk,
         cell_topk,
+        copies_topk,
+        unusable_vectors,
         centroids,
         inertia,
         representatives,
@@ -170,6 +195,13 @@ SELECT vec_id, (generate_subscripts(u, 1) - 1)::INTEGER AS pos, round(unnest(u),
     "cosine_topk": _TOPK,
     "cell_topk": _TOPK,
     "stream_retrieval": _TOPK,
+    "copies_topk": _TOPK.replace(
+        "SELECT * FROM unit",
+        f"SELECT vec_id, u FROM unit UNION ALL SELECT vec_id + {SHIFT}, u FROM unit",
+    ),
+    "unusable_vectors": "SELECT doc_id AS id, CASE WHEN vec_id IS NULL THEN 'missing' ELSE 'length' END "
+    "AS reason FROM documents LEFT JOIN embeddings ON vec_id = doc_id "
+    "WHERE vec_id IS NULL OR len(embedding) <> 64",
     "centroids": f"{_CENTERS} SELECT label, n, pos::INTEGER AS pos, round(c, 6) AS value FROM centers",
     "inertia": f"""{_CENTERS}
 SELECT count(DISTINCT label) AS labels, (SELECT count(*) FROM unit) AS n,

@@ -34,20 +34,41 @@ def embed(
 
 
 def embed_missing(
-    df: DataFrame, key: str, text: str, path: str, make_model: Callable, batch_size: int = 128
+    df: DataFrame,
+    key: str,
+    text: str,
+    path: str,
+    make_model: Callable,
+    batch_size: int = 128,
+    model: str = "default",
 ) -> DataFrame:
-    """Vectors from the keyed table at ``path``; only rows it lacks are embedded."""
+    """Vectors from the keyed table at ``path``; only rows it lacks are embedded.
+
+    A vector belongs to an id, a text and a model: another text or ``model`` name is embedded
+    anew. Rows without an id get no vector.
+    """
+    names = ["key", "print", "model"]
     schema = T.StructType(
-        [T.StructField("key", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]
+        [
+            *(T.StructField(name, T.StringType()) for name in names),
+            T.StructField("embedding", T.ArrayType(T.FloatType())),
+        ]
     )
-    keyed = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    print_of = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keyed = df.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), print_of.alias("print"), F.lit(model).alias("model"),
+        F.col(text).alias("text"),
+    )
     known = read_keyed(df.sparkSession, path, schema)
-    missing = keep_first(keyed.join(known.select("key"), "key", "left_anti"), "key", "text")
+    missing = keyed.join(known.select(*names), names, "left_anti").dropDuplicates(names)
     append_keyed(embed(missing, "text", make_model, batch_size=batch_size).drop("text"), path)
-    vectors = keep_first(read_keyed(df.sparkSession, path, schema), "key", "embedding")
-    return df.join(
-        vectors.withColumnRenamed("key", "_key"), F.col(key).cast("string") == F.col("_key"), "left"
-    ).drop("_key")
+    stored = read_keyed(df.sparkSession, path, schema).where(F.col("model") == model)
+    asked = stored.join(keyed.select(*names).distinct(), names, "left_semi")
+    vectors = asked.dropDuplicates(names).select(
+        F.col("key").alias("_key"), F.col("print").alias("_print"), "embedding"
+    )
+    same = (F.col(key).cast("string") == F.col("_key")) & (print_of == F.col("_print"))
+    return df.join(vectors, same, "left").drop("_key", "_print")
 
 
 def cached(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -89,20 +110,26 @@ def answers(
     path: str,
     call: Callable[[dict], str],
     retry_failures: bool = False,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """``(key, raw, error)`` for every request key, calling only for unknown keys.
 
     New answers are written by key before anything reads them, so a job that starts again
-    sends only what is still missing.
+    sends only what is still missing. With a ``schema``, an answer that does not parse into
+    it is an error like a failed call, and is asked for again when failures are retried.
     """
     spark = requests.sparkSession
+    wanted = requests.select("key").distinct()
     known = read_keyed(spark, path, RAW_ANSWERS)
     if retry_failures:
         known = known.where(F.col("error").isNull())
-    append_keyed(ask(uncached(requests, known, "key"), call), path)
-    table = read_keyed(spark, path, RAW_ANSWERS)
-    best = keep_first(table, "key", F.col("error").isNotNull(), "raw")
-    return best.join(requests.select("key").distinct(), "key", "left_semi")
+    fresh = ask(uncached(requests, known, "key"), call)
+    if schema is not None:
+        unread = F.col("error").isNull() & parse_answer(F.col("raw"), schema).isNull()
+        fresh = fresh.withColumn("error", F.when(unread, "unreadable answer").otherwise(F.col("error")))
+    append_keyed(fresh, path)
+    table = read_keyed(spark, path, RAW_ANSWERS).join(wanted, "key", "left_semi")
+    return keep_first(table, "key", F.col("error").isNotNull(), "raw")
 
 
 def parse_answer(raw: Column, schema: T.StructType) -> Column:

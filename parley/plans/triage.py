@@ -44,7 +44,7 @@ def triage(
     Only messages without a cached answer are sent.
     """
     requests = prompts.select(F.col(key).cast("string").alias("key"), "prompt")
-    raw = enrich.answers(requests, cache, call)
+    raw = enrich.answers(requests, cache, call, schema=schemas.AGENT_DECISION)
     parsed = enrich.with_parsed(raw, "raw", schemas.AGENT_DECISION, failed).drop("raw", "error")
     return (
         prompts.withColumnsRenamed({"intent": "classifier_intent", "confidence": "classifier_confidence"})

@@ -146,3 +146,10 @@ def test_grades(spark):
     ]
     for kappa, start in [(0.9, "Near"), (0.7, "Subst"), (0.4, "Moder"), (0.1, "Fair agreement (Kappa = 0.100)")]:
         assert one(spark, kappa, grades.agreement_strength, "double").startswith(start)
+
+
+def test_whole_words_skip_escapes_and_classes(spark):
+    rows = spark.createDataFrame([("xb",), ("a(",), ("zz",)], "s string")
+    got = [r[0] for r in rows.select(tx.matches_any(F.col("s"), [r"\ba\(|b\b"])).collect()]
+    assert got == [True, True, False]
+    assert tx._is_whole_word(r"\b(?:a|[|)]b)\b") and not tx._is_whole_word(r"\ba[(]|b\b")

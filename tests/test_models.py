@@ -171,7 +171,36 @@ def test_embedding_cache(spark, tmp_path):
     assert got == {1: [2.0, 2.0], 2: [0.0, 0.0]}
     more = spark.createDataFrame([(1, "changed"), (3, "b")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in enrich.embed_missing(more, "id", "text", path, lengths).collect()}
-    assert got == {1: [2.0, 2.0], 3: [1.0, 0.0]}
+    assert got == {1: [7.0, 1.0], 3: [1.0, 0.0]}  # a changed text has a vector of its own
+    other = enrich.embed_missing(rows, "id", "text", path, ones, model="ones")
+    assert {r["id"]: r["embedding"] for r in other.collect()} == {1: [1.0], 2: [1.0]}
+
+
+def ones():
+    def predict(texts):
+        return np.ones((len(texts), 1), dtype="float32")
+
+    return predict
+
+
+def test_unreadable_answers_are_retried(spark, tmp_path):
+    kind = schemas._struct(("a", schemas.STR))
+    rows = spark.createDataFrame([("1", "x")], "key string, text string")
+    path = str(tmp_path / "cache")
+    first = enrich.answers(rows, path, lambda row: "no json", schema=kind).first()
+    assert (first["raw"], first["error"]) == ("no json", "unreadable answer")
+    again = enrich.answers(rows, path, lambda row: '{"a": "y"}', retry_failures=True, schema=kind).first()
+    assert (again["raw"], again["error"]) == ('{"a": "y"}', None)
+
+
+def test_missing_answers_do_not_raise_recall(spark):
+    rows = spark.createDataFrame(
+        [("s", "a", "a", True, True), ("s", "a", None, True, None)],
+        "system string, true_intent string, predicted_intent string, true_escalation boolean, "
+        "predicted_escalation boolean",
+    )
+    row = evaluate.system_metrics(rows).first()
+    assert (row["fn"], row["escalation_recall"]) == (1, 50.0)
 
 
 def cases(spark):
