@@ -181,10 +181,9 @@ hits AS (
   FROM near n JOIN cases c ON c.conversation_id = n.id),
 contexts AS (
   SELECT query_id,
-         string_agg('[Historical Example ' || rank || ' | Intent: ' || intent_label || ' | Sim: '
-                    || {sql.two_places('similarity')} || ']' || chr(10)
-                    || 'Customer Query: ' || customer_text || chr(10)
-                    || 'Verified Resolution: ' || brand_reply,
+         string_agg('Case ' || rank || ' (' || intent_label || ', similarity '
+                    || {sql.two_places('similarity')} || ')' || chr(10)
+                    || 'Asked: ' || customer_text || chr(10) || 'Answered: ' || brand_reply,
                     chr(10) || chr(10) ORDER BY rank) AS context
   FROM hits GROUP BY query_id)
 """

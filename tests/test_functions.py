@@ -79,13 +79,13 @@ def test_flags_and_blanks(spark):
 
 
 def test_shortlinks(spark):
-    hosts = ("spoti.fi", "t.co")
+    hosts = ("shr.tn", "t.co")
     out = one(
         spark,
-        "see https://t.co/abc, or http://spoti.fi/x and https://t.com/y https://spotixfi/z",
+        "see https://t.co/abc, or http://shr.tn/x and https://t.com/y https://shrxtn/z",
         lambda c: tx.rewrite_shortlinks(c, hosts, "https://help"),
     )
-    assert out == "see https://help or https://help and https://t.com/y https://spotixfi/z"
+    assert out == "see https://help or https://help and https://t.com/y https://shrxtn/z"
 
 
 def test_keywords(spark):

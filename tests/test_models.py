@@ -223,7 +223,7 @@ def test_hits_and_context(spark):
     queries = spark.createDataFrame([(1,), (99,)], "conversation_id long")
     got = {r["conversation_id"]: r["context"] for r in retrieval.with_context(queries, hits).collect()}
     assert got[99] == retrieval.NO_CONTEXT
-    assert got[1].startswith("[Historical Example 1 | Intent: app_bug | Sim: 0.99]\nCustomer Query: song is gone\n")
+    assert got[1].startswith("Case 1 (app_bug, similarity 0.99)\nAsked: song is gone\n")
     assert got[1].count("\n\n") == 1
 
 
