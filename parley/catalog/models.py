@@ -41,7 +41,7 @@ def classify_intents(spark, folder):
 
 def triage_prompts(spark, folder):
     """Classified messages with their past cases and the prompt for a user's model."""
-    cases = vectors.cases(spark, folder)
+    cases = vectors.cases(spark, folder).where("embedding is not null")
     model = classify.fit_classifier(cases, "intent_label")
     rows = triage.triage_prompts(cases, cases, model)
     return rows.select("conversation_id", "intent", "confidence", "prompt")

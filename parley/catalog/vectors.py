@@ -83,14 +83,17 @@ def class_weights(spark, folder):
 
 
 def cases(spark, folder):
-    """Messages that have a vector, with the last reply of the conversation of that id."""
+    """All messages, with the last reply of the conversation of that id.
+
+    A message without a vector stays; it is nobody's neighbour and has none.
+    """
     turns = table(spark, folder, "conversations").where(F.col("role") == "assistant")
     replies = turns.groupBy(F.col("conv_id").alias("conversation_id")).agg(
         tx.clean_text(F.max_by("text", "turn")).alias("last_brand_reply_clean")
     )
     known = replies.select("conversation_id", F.lit(True).alias("is_resolved"))
     vectors = given.vectors(spark, folder).select("conversation_id", "embedding")
-    messages = given.messages(spark, folder).join(vectors, "conversation_id")
+    messages = given.messages(spark, folder).join(vectors, "conversation_id", "left")
     corpus = retrieval.build_corpus(messages, replies)
     return corpus.join(known, "conversation_id", "left")
 
@@ -109,7 +112,7 @@ def retrieved_cases(spark, folder):
 
 
 def topk_context(spark, folder):
-    queries = given.vectors(spark, folder).select("conversation_id")
+    queries = cases(spark, folder).select("conversation_id")
     found = retrieval.with_context(queries, _hits(spark, folder))
     return found.select("conversation_id", "context")
 
@@ -120,13 +123,13 @@ def prompt_text(spark, folder):
     )
     hits = _hits(spark, folder)
     best = hits.where("rank = 1").select(F.col("query_id").alias("conversation_id"), "similarity")
-    rows = retrieval.with_context(known.join(best, "conversation_id"), hits)
+    rows = retrieval.with_context(known.join(best, "conversation_id", "left"), hits)
     return rows.select(
         "conversation_id",
         retrieval.prompt(
             F.col("first_customer_text_clean"),
             F.col("intent_label"),
-            F.col("similarity"),
+            F.coalesce("similarity", F.lit(0.0)),
             F.col("context"),
         ).alias("prompt"),
     )
@@ -236,15 +239,16 @@ FROM embeddings GROUP BY label""",
     "SELECT conversation_id, brand_reply AS last_brand_reply_clean FROM cases",
     "retrieved_cases": f"{_HITS} SELECT * FROM hits",
     "topk_context": f"""{_HITS}
-SELECT e.vec_id AS conversation_id, coalesce(context, 'No historical resolutions found.') AS context
-FROM embeddings e LEFT JOIN contexts c ON c.query_id = e.vec_id""",
+SELECT e.conversation_id, coalesce(context, 'No historical resolutions found.') AS context
+FROM cases e LEFT JOIN contexts c ON c.query_id = e.conversation_id""",
     "prompt_text": f"""{_HITS}
 SELECT c.conversation_id,
        'A customer wrote:' || chr(10) || c.text || chr(10) || chr(10) || 'Likely intent: '
-       || c.intent_label || ' (confidence ' || {sql.two_places('h.similarity')} || ')'
-       || chr(10) || chr(10) || x.context || chr(10) || chr(10)
+       || c.intent_label || ' (confidence ' || {sql.two_places('coalesce(h.similarity, 0)')} || ')'
+       || chr(10) || chr(10) || coalesce(x.context, 'No historical resolutions found.')
+       || chr(10) || chr(10)
        || 'Return JSON with reasoning, predicted_intent, is_escalation, '
        || 'escalation_reason and draft_reply.' AS prompt
-FROM cases c JOIN hits h ON h.query_id = c.conversation_id AND h.rank = 1
-     JOIN contexts x ON x.query_id = c.conversation_id""",
+FROM cases c LEFT JOIN hits h ON h.query_id = c.conversation_id AND h.rank = 1
+     LEFT JOIN contexts x ON x.query_id = c.conversation_id""",
 }
