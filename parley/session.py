@@ -41,13 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read, so it is computed once.
 
     The copy is a Parquet table in the shared folder: lost executors do not lose it, readers
-    prune its columns, and the planner knows its size.
+    prune its columns, and the planner knows its size. :func:`release` removes the copies.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the staged copies of this program, once its results are written."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGED:
+        path = files.Path(_STAGED.pop())
+        removed += path.getFileSystem(settings).delete(path, True)
+    return removed

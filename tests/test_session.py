@@ -2,6 +2,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from parley import session
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 SCRIPT = """
@@ -30,3 +34,12 @@ def test_stage_keeps_rows_and_an_empty_table(spark):
     assert sorted(stage(rows).collect()) == sorted(rows.collect())
     empty = stage(rows.where("id < 0"))
     assert empty.count() == 0 and empty.columns == rows.columns
+
+
+def test_staged_copies_are_released(spark):
+    kept = session.stage(spark.range(5))
+    assert kept.count() == 5
+    assert session.release(spark) >= 1
+    assert session.release(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        kept.count()
