@@ -14,9 +14,11 @@ values. Without labels of both kinds a model rejects nothing. Other columns are
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ MAX_REPEATED = 50  # percent of words in repeated windows
 WINDOW = 3
 SYMBOLS = b"#*$%&|<>"  # fixed value: characters counted as symbols
 BITS = 23
-LETTERS = range(3, 7)  # sizes of the character n-grams
-SAMPLE_ROWS = 6000  # labelled rows learned from
+LETTERS = range(4, 7)  # sizes of the character n-grams
+SAMPLE_ROWS = 4000  # labelled rows learned from
 FEW = 5  # rows of the sample that must hold a slot for it to count
 KEPT = 1000  # slots that a model weighs, those that part its classes best
 STEPS, RATE, DECAY = 150, 0.1, 1e-4
@@ -206,15 +208,13 @@ def train(
         return work
 
     schema = "turn bigint, id string, slots binary, quality int, toxic int"
-    found = map_rows(picked, schema, make).collect()
-    found.sort(key=lambda r: (r.turn, r.id, r.slots))
-    rows = [np.frombuffer(r.slots, "<u4") for r in found]
+    found = map_rows(picked, schema, make).toArrow()
+    order = sorted(range(found.num_rows), key=lambda i: tuple(found[c][i].as_py() for c in ("turn", "id")))
+    rows = [np.frombuffer(found["slots"][i].as_buffer(), "<u4") for i in order]
+    good, bad = (np.array(found[c].to_pylist(), float)[order] for c in ("quality", "toxic"))
     if not rows:
         return {"low_quality": None, "toxic": None}
-    return {
-        "low_quality": fit(rows, np.array([1.0 - (r.quality > 0) for r in found])),
-        "toxic": fit(rows, np.array([1.0 * (r.toxic > 0) for r in found])),
-    }
+    return {"low_quality": fit(rows, 1.0 - (good > 0)), "toxic": fit(rows, 1.0 * (bad > 0))}
 
 
 def score(
@@ -257,6 +257,35 @@ def score(
     ).withColumnRenamed("key", id_col)
 
 
+def passes(text: str | None, models: dict[str, Model | None], tables: dict[str, np.ndarray]) -> bool:
+    """Whether a text passes the counted rules and both thresholds."""
+    n_words, *_, repeated = counted(text)
+    if n_words < MIN_WORDS or 100 * repeated > MAX_REPEATED * n_words:
+        return False
+    found = slots(text)
+    limits = {"low_quality": LOW_QUALITY, "toxic": TOXIC}
+    return all(
+        m.probability(m.margin(tables[name], found)) <= limits[name]
+        for name, m in models.items()
+        if m
+    )
+
+
+def keep(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents that pass, all columns; judged where they lie, without a shuffle."""
+    models = train(docs, labels, id_col, text_col)
+
+    @F.pandas_udf("boolean")
+    def passed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = {name: model.table() for name, model in models.items() if model}
+        for texts in batches:
+            yield pd.Series([passes(t, models, tables) for t in texts], dtype=bool)
+
+    return docs.where(passed(docs[text_col]))
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
