@@ -58,15 +58,20 @@ def order_statistics(df: DataFrame, column: str, quantiles: Sequence[float]) ->
     sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))
     before = F.sum("size").over(W.orderBy("part")) - F.col("size")
     sizes = sizes.withColumn("before", before)
-    total = sizes.agg(F.sum("size").alias("total"))
-    ranks = total.select(
-        F.posexplode(F.array(*[F.lit(float(q)) * (F.col("total") - 1) for q in quantiles]))
-    ).select(F.col("pos").alias("i"), F.col("col").alias("spot"))
-    ranks = ranks.select(
-        "i", "spot", F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))).alias("rank")
+    ranges = sizes.agg(
+        F.sum("size").alias("total"), F.collect_list(F.struct("part", "before", "size")).alias("ranges")
     )
-    held = ranks.join(
-        F.broadcast(sizes), (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("size"))
+    spots = F.array(*[F.lit(float(q)) * (F.col("total") - 1) for q in quantiles])
+    ranks = ranges.select("ranges", F.posexplode(spots).alias("i", "spot")).select(
+        "ranges", "i", "spot",
+        F.explode(F.array_distinct(F.array(F.floor("spot"), F.ceil("spot")))).alias("rank"),
+    )
+
+    def holds(r: Column) -> Column:
+        return (r["before"] <= F.col("rank")) & (F.col("rank") < r["before"] + r["size"])
+
+    held = ranks.select("i", "spot", "rank", F.explode(F.filter("ranges", holds)).alias("r")).select(
+        "i", "spot", "rank", "r.part", "r.before"
     )
     wanted = held.select("part", "before").distinct()
     upto = F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("v"))
