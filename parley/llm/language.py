@@ -30,6 +30,7 @@ SIZES = range(1, 5)
 BITS = 15
 PER_LANGUAGE = 400  # labelled rows learned from, for each language
 SAMPLE_ROWS = 4000  # and in all
+PARTS = 64  # parts into which the rows of a language are dealt to be ranked
 LANDMARKS = 160
 RIDGE = 1e-3
 BATCH = 128  # texts of one matrix product
@@ -78,10 +79,11 @@ def sample_ids(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
         docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.sha2(docs[text_col], 256).alias("name")
     ).where("lang is not null and name is not null")
     slim = slim.where(F.crc32(F.col("id").cast("string")) % FOLDS != 0)
-    ranked = slim.withColumn(
-        "rank", F.row_number().over(W.partitionBy("lang").orderBy(*order, "name"))
-    ).where(F.col("rank") <= PER_LANGUAGE)
-    return ranked.orderBy("rank", *order, "lang", "name").limit(SAMPLE_ROWS)
+    part = F.pmod(F.xxhash64("id", "name"), F.lit(PARTS))
+    for groups in (["lang", part], ["lang"]):  # a common language is not ranked by one task
+        turn = F.row_number().over(W.partitionBy(*groups).orderBy(*order, "name"))
+        slim = slim.withColumn("rank", turn).where(F.col("rank") <= PER_LANGUAGE)
+    return slim.orderBy("rank", *order, "lang", "name").limit(SAMPLE_ROWS)
 
 
 def train(
