@@ -318,7 +318,8 @@ def _sorted(nodes: DataFrame, span: int) -> DataFrame:
 
 def _sized(nodes: DataFrame) -> DataFrame:
     """Nodes with the number of contexts of their group; those alone are left out."""
-    sizes = nodes.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    # counted on its own, so that the join is free to split the rows of a crowded group
+    sizes = stage(nodes.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"))
     return stage(nodes.join(sizes, "group"))
 
 
@@ -348,7 +349,7 @@ def _compare(contexts: DataFrame, span: int, gram: int) -> DataFrame:
         crowded = nodes.where(F.col("members") > BLOCK)
         if crowded.isEmpty():
             break
-        nodes = _sized(_halves(crowded, span))
+        nodes = _sized(stage(_halves(crowded, span)))
         single = F.col("low") == F.col("high")
         runs = F.array(F.struct("a", "b")).alias("runs")
         found.append(nodes.where(single).select("mark", "name", runs))
@@ -384,6 +385,7 @@ def analyse(
     wanted = (
         met.groupBy("digest").agg(F.collect_set("mark").alias("marks")).join(copies, "digest")
     ).select(F.col("digest").alias("wanted"), "rep", "cut", "marks")
+    wanted = wanted.hint("merge")  # one plan for every size
     one = (F.col("digest") == F.col("wanted")) & F.col("key").eqNullSafe(F.col("rep"))
     texts = stage(source.join(wanted, one).select("digest", "text", "cut", "marks"))
     contexts = stage(_contexts(texts, span, gram))
@@ -476,7 +478,7 @@ def cut(
 
     rows = docs.select(F.struct("*").alias("row"), F.md5(text_bytes(text_col)).alias("digest"))
     text = F.col(f"row.{text_col}")
-    rows = rows.join(facts, "digest", "left").select(
+    rows = rows.join(facts.hint("merge"), "digest", "left").select(
         F.col("row").withField(text_col, freed(text, "cut", "copied")).alias("row")
     )
     return rows.select("row.*")
