@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from parley.catalog import sql, vectors
 from parley.functions import vectors as vx
 from parley.operators import classify, clusters
 from parley.plans import triage
+from parley.session import shared_dir, stage
 from parley.sources.given import table
+from parley.streaming import triage as messages
 
 
 def _vectors(spark, folder):
@@ -47,6 +51,26 @@ def triage_prompts(spark, folder):
     return rows.select("conversation_id", "intent", "confidence", "prompt")
 
 
+def stream_messages(spark, folder):
+    """The whole flow on a stream: classifier and case index are built once, batches use both."""
+    corpus = stage(vectors.cases(spark, folder).where("embedding is not null"))
+    model = classify.fit_classifier(corpus, "intent_label")
+    schema = _vectors(spark, folder).schema
+    stream = messages.read_messages(spark, folder, schema, "embeddings.parquet")
+
+    def answer(batch):
+        own = batch.select(F.col("vec_id").alias("conversation_id"))
+        found = triage.triage_prompts(
+            corpus.join(own, "conversation_id", "left_semi"), corpus, model
+        )
+        told = F.contains("prompt", F.col("intent")) & F.contains("prompt", F.col("context"))
+        return found.select("conversation_id", "context", told.alias("told"))
+
+    place = f"{shared_dir(spark)}/stream_messages_{uuid.uuid4().hex}"
+    messages.write_batches(stream, f"{place}/out", f"{place}/state", answer).awaitTermination()
+    return spark.read.parquet(f"{place}/out").drop("batch")
+
+
 def kmeans_facts(spark, folder):
     """What holds for any k-means result: rows lie at their nearest centre, costs add up."""
     points = clusters.features(_vectors(spark, folder)).select("vec_id", "features")
@@ -107,6 +131,7 @@ QUERIES = {
     for f in (
         kmeans_assign,
         k_sweep,
+        stream_messages,
         kmeans_facts,
         pca_facts,
         classifier_facts,
@@ -117,6 +142,10 @@ QUERIES = {
     )
 }
 ORACLE = {
+    "stream_messages": vectors.ORACLE["topk_context"].replace("FROM cases e", "FROM known_cases e").replace(
+        "hits AS (",
+        "known_cases AS (SELECT * FROM cases WHERE conversation_id IN (SELECT vec_id FROM embeddings)),\nhits AS (",
+    ).replace(" AS context\nFROM known", " AS context, true AS told\nFROM known"),
     "kmeans_facts": "SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS costs_agree FROM embeddings",
     "pca_facts": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, "
     "true AS share_agrees FROM embeddings",

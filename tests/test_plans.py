@@ -7,7 +7,10 @@ from parley.operators import profile, sampling, threads
 from parley.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"kmeans_assign", "k_sweep", "classify_intents", "pca_2d", "triage_prompts"}
+FITTED = {
+    "kmeans_assign", "k_sweep", "classify_intents", "pca_2d", "triage_prompts",
+    "kmeans_facts", "pca_facts", "classifier_facts", "stream_messages",
+}
 
 
 def plan_of(frame):
