@@ -126,6 +126,20 @@ def classifier_facts(spark, folder):
     )
 
 
+def probability_facts(spark, folder):
+    """Every row's probabilities add up to one, and its intent is the likeliest class."""
+    rows = _vectors(spark, folder)
+    scored = classify.fit_classifier(rows, "label").predict(rows)
+    shares = F.map_values("probabilities")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+    own = F.col("probabilities")[F.col("intent")]
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.abs(total - 1) > 1e-3).alias("off_total"),
+        F.count_if((own < F.array_max(shares)) | (own != F.col("confidence"))).alias("off_intent"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -135,6 +149,7 @@ QUERIES = {
         kmeans_facts,
         pca_facts,
         classifier_facts,
+        probability_facts,
         silhouette_squared,
         pca_2d,
         classify_intents,
@@ -149,6 +164,7 @@ ORACLE = {
     "kmeans_facts": "SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS costs_agree FROM embeddings",
     "pca_facts": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, "
     "true AS share_agrees FROM embeddings",
+    "probability_facts": "SELECT count(*) AS n, 0::BIGINT AS off_total, 0::BIGINT AS off_intent FROM embeddings",
     "classifier_facts": "SELECT count(DISTINCT label) AS classes, true AS means_agree FROM embeddings",
     "silhouette_squared": f"""WITH {sql.UNIT},
 gaps AS (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parley.catalog import sql
 from parley.functions import text as tx
-from parley.operators import profile, quality, rules, sampling, threads
-from parley.sources import given
+from parley.operators import evaluate, profile, quality, rules, sampling, tfidf, threads
+from parley.session import shared_dir
+from parley.sources import given, sinks, tables
 from parley.sources.given import table
 
 
@@ -24,6 +27,7 @@ def clean_links(spark, folder):
     return table(spark, folder, "pages").select("page_id", tx.clean_text(body).alias("text_clean"))
 
 
+STOP_WORDS = ("the", "of", "and", "is", "de", "que", "le", "der")
 REWRITE_HOSTS = ("spam-farm.example.org", "www.cheap-pills.example.com", "thther.example.org")
 REWRITE_TARGET = "https://support.example.com"
 
@@ -101,6 +105,28 @@ def first_violations(spark, folder):
     return quality.first_violations(violations(spark, folder), 10)
 
 
+def csv_round_trip(spark, folder):
+    """Turns written as CSV with a byte order mark, and read again with their line breaks."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    path = f"{shared_dir(spark)}/csv_{uuid.uuid4().hex}"
+    sinks.write_csv(turns, path, bom=True)
+    return tables.read_csv(spark, path, turns.schema)
+
+
+def failures_fallback(spark, folder):
+    """Nothing is graded wrong, so the rows with the lowest grades stand in."""
+    good = table(spark, folder, "labels").where("quality = 1").select(
+        "doc_id", F.lit("fully_correct").alias("accuracy"), F.lit("correct_escalation").alias("escalation")
+    )
+    return evaluate.failures(good, "accuracy", "escalation", "doc_id")
+
+
+def stop_words(spark, folder):
+    found = tfidf.fit(table(spark, folder, "documents"), stop_words=STOP_WORDS)
+    rows = [(term, round(idf, 6)) for term, idf in zip(found.terms, found.idf)]
+    return spark.createDataFrame(rows, "term string, idf double")
+
+
 def count_by_two(spark, folder):
     return profile.value_counts(given.messages(spark, folder), "cluster", "intent_label")
 
@@ -182,6 +208,9 @@ QUERIES = {
         share_by_value,
         top_sources,
         crosstab_margins,
+        csv_round_trip,
+        failures_fallback,
+        stop_words,
         crosstab_with_nulls,
         share_with_nulls,
         describe_similarity,
@@ -290,6 +319,16 @@ SELECT CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang, grouping(l
 FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""",
     "count_by_two": f"WITH {sql.MESSAGES} SELECT cluster, intent_label, count(*) AS n "
     "FROM messages WHERE cluster IS NOT NULL AND intent_label IS NOT NULL GROUP BY ALL",
+    "csv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
+    "failures_fallback": "SELECT doc_id, 'fully_correct' AS accuracy, 'correct_escalation' AS escalation "
+    "FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 5",
+    "stop_words": f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
+kept AS (
+  SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM words
+  WHERE term NOT IN ({sql.texts(STOP_WORDS)}) GROUP BY term ORDER BY tf DESC, term LIMIT 2000)
+SELECT term, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM kept""",
     "crosstab_with_nulls": """
 SELECT CASE WHEN grouping(source) = 1 THEN 'All' ELSE source END AS source,
        grouping(source) = 1 AS is_margin, count(*) AS "1", count(*) AS "All"

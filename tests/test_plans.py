@@ -9,7 +9,7 @@ from parley.sources import tables
 FOLDER = "/root/testdata/sf0.001"
 FITTED = {
     "kmeans_assign", "k_sweep", "classify_intents", "pca_2d", "triage_prompts",
-    "kmeans_facts", "pca_facts", "classifier_facts", "stream_messages",
+    "kmeans_facts", "pca_facts", "classifier_facts", "probability_facts", "stream_messages",
 }
 
 
