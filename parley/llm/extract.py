@@ -58,7 +58,7 @@ NAMES = frozenset(
     "tracking widget widgets".split()
 )
 WHOLE = frozenset(("html", "body", *MAIN))  # not dropped by their class or id
-BLANKS = re.compile(r"\s+")
+BLANKS, NOT_LETTERS = re.compile(r"\s+"), re.compile(r"[^a-z]+")
 
 
 class Lines(HTMLParser):
@@ -73,7 +73,13 @@ class Lines(HTMLParser):
     def state(self) -> tuple[bool, bool]:
         return self.open[-1][1:] if self.open else (False, False)
 
+    def updatepos(self, i, j):
+        """Line numbers are not asked for."""
+        return j
+
     def end_line(self) -> None:
+        if not self.words:
+            return
         text = BLANKS.sub(" ", "".join(self.words)).strip()
         if text:
             self.lines.append((text, *self.state()))
@@ -92,7 +98,8 @@ class Lines(HTMLParser):
         dropped, main = self.state()
         if tag in MAIN and dropped and all(name == "form" for name in self.droppers()):
             dropped = False  # the form wraps the page
-        own = self.unwanted(tag, dict(attrs), main)
+        own = tag in DROPPED or (tag == "header" and not main)
+        own = own or bool(attrs) and not dropped and self.unwanted(tag, dict(attrs))
         if own and tag in INLINE:
             self.end_line()
         self.open.append((tag, dropped or own, main or tag in MAIN))
@@ -106,9 +113,7 @@ class Lines(HTMLParser):
             before = dropped
         return out
 
-    def unwanted(self, tag: str, attrs: dict, main: bool) -> bool:
-        if tag in DROPPED or (tag == "header" and not main):
-            return True
+    def unwanted(self, tag: str, attrs: dict) -> bool:
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
         if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
@@ -118,7 +123,7 @@ class Lines(HTMLParser):
         if (attrs.get("role") or "").lower() in ROLES:
             return True
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        return not NAMES.isdisjoint(re.split(r"[^a-z]+", names))
+        return not NAMES.isdisjoint(NOT_LETTERS.split(names))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
@@ -242,28 +247,32 @@ def _aligned(pages: DataFrame, schema: str, seams: bool) -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
-def shared_lines(source: DataFrame) -> DataFrame:
-    """``page, print, shared``: places of the lines that a page shares with a neighbour.
+def _parsed(source: DataFrame, kind: str) -> DataFrame:
+    """Each page once: its lines' hashes, and the lines that make its text.
 
-    Only lines that the markup leaves open are listed: neither dropped nor in a main part.
+    ``open`` holds the places of lines that the markup leaves open, neither dropped nor in a
+    main part; where there is a main part, none are, and ``parts`` are its lines.
     """
-    kind = source.schema["key"].dataType.simpleString()
-    page = PAGE.format(kind=kind)
 
     def make():
         def work(rows):
             for key, url, markup, digest in zip(*(rows[c] for c in ("key", "url", "markup", "digest"))):
                 lines = lines_of(markup)
-                open_lines = [i for i, (_, dropped, main) in enumerate(lines) if not dropped and not main]
-                if any(main and not dropped for _, dropped, main in lines):
-                    open_lines = []
-                yield (*place(url), key, digest, _hashes(lines), open_lines)
+                has_main = any(main and not dropped for _, dropped, main in lines)
+                own = [] if has_main else [i for i, (_, dropped, _) in enumerate(lines) if not dropped]
+                yield (*place(url), key, digest, _hashes(lines), own, url, chosen(lines, set()))
 
         return work
 
+    return map_rows(source, f"{PAGE.format(kind=kind)}, url string, parts array<string>", make)
+
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """``page, print, shared``: places of the open lines that a page shares with a neighbour."""
+    kind = pages.schema["key"].dataType.simpleString()
     order = ["host", "path", "key", "digest"]
-    schema = f"{page}, task int, shared array<int>"
-    slim = stage(map_rows(source, page, make))
+    schema = f"{PAGE.format(kind=kind)}, task int, shared array<int>"
+    slim = pages.select(*order, "lines", "open")
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stage(_aligned(ranged, schema, seams=False))
     ends = found.where("shared is null").drop("shared").dropDuplicates([*order, "task"])
@@ -282,19 +291,12 @@ def main_text(
     source = pages.select(
         pages[id_col].alias("key"), pages[url_col].alias("url"), pages[html_col].alias("markup")
     ).withColumn("digest", F.md5(F.concat_ws("\n", "url", "markup")))
-    kind = source.schema["key"].dataType.simpleString()
-    shared = stage(shared_lines(source))
+    rows = stage(_parsed(source, source.schema["key"].dataType.simpleString()))
+    shared = stage(shared_lines(rows))
     same = F.col("key").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("print"))
-    joined = source.join(shared, same, "left").select("key", "url", "markup", "shared")
-
-    def make():
-        def work(rows):
-            for key, url, markup, places in zip(*(rows[c] for c in ("key", "url", "markup", "shared"))):
-                text = " ".join(chosen(lines_of(markup), set(places or ())))
-                yield key, url, text, len(text)
-
-        return work
-
-    return map_rows(
-        joined, f"key {kind}, url string, text string, n_chars bigint", make
-    ).withColumnRenamed("key", id_col)
+    joined = rows.select("key", "digest", "url", "open", "parts").join(shared, same, "left")
+    own = F.filter("parts", lambda _, i: ~F.array_contains("shared", F.get("open", i)))
+    left = F.when(F.col("shared").isNull(), F.col("parts")).otherwise(own)
+    return joined.select(
+        F.col("key").alias(id_col), "url", F.array_join(left, " ").alias("text")
+    ).withColumn("n_chars", F.length("text").cast("bigint"))
