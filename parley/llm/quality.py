@@ -115,12 +115,12 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def parting(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def parting(rows: list[bytes], y: np.ndarray) -> np.ndarray:
     """The slots whose presence parts the classes best, by the chi-square of each."""
-    held = np.zeros((2, 1 << BITS), np.int32)
+    held = np.zeros((2, 1 << BITS), np.uint16)  # the sample has fewer rows than that holds
     for row, label in zip(rows, y):
-        held[int(label), row] += 1
-    places = np.flatnonzero(held.sum(0) >= FEW)
+        held[int(label), unpacked(row)] += 1
+    places = np.flatnonzero(held[0] + held[1] >= FEW)
     yes, both, share = held[1, places], held[:, places].sum(0), y.mean()
     spread = both * share * (1 - share) * (1 - both / len(y))
     strength = np.where(spread > 0, (yes - both * share) ** 2 / np.maximum(spread, 1e-9), 0)
@@ -160,26 +160,40 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(line[0], 1e-3)), float(line[1])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model | None:
-    """Fit on two rows of three, calibrate on the third; rows are in sample order."""
+def packed(found: np.ndarray) -> bytes:
+    """Distinct slots of a row in a few bytes each, as they travel to the driver and lie there."""
+    steps = np.diff(np.unique(found), prepend=0).astype("<u4")
+    return zlib.compress(steps.tobytes(), 1)
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(row), "<u4"), dtype=np.int64)
+
+
+def fit(packed_rows: list[bytes], y: np.ndarray) -> Model | None:
+    """Fit on two rows of three, calibrate on the third; rows are in sample order.
+
+    Rows stay packed and are opened one at a time.
+    """
     learn = np.arange(len(y)) % 3 != 2
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
         return None
-    learned = [row for row, used in zip(rows, learn) if used]
+    learned = [row for row, used in zip(packed_rows, learn) if used]
     places = parting(learned, y[learn])
-    index = np.full(1 << BITS, -1, np.int32)
+    index = np.full(1 << BITS, -1, np.int16)  # there are fewer places than that holds
     index[places] = np.arange(len(places))
     columns, lengths = [], []
     for row in learned:
-        own = index[row]
+        own = index[unpacked(row)]
         own = np.append(own[own >= 0], len(places))
         columns.append(own)
         lengths.append(len(own))
     weights, bias = descend(np.concatenate(columns), np.array(lengths), y[learn], len(places))
     model = Model(places, weights.astype(np.float32), bias)
     table = model.table()
-    held = [row for row, used in zip(rows, learn) if not used]
-    model.line = calibrate(np.array([model.margin(table, row) for row in held]), y[~learn])
+    held = [row for row, used in zip(packed_rows, learn) if not used]
+    margins = [model.margin(table, unpacked(row)) for row in held]
+    model.line = calibrate(np.array(margins), y[~learn])
     return model
 
 
@@ -202,16 +216,16 @@ def train(
         def work(rows):
             for key, text, good, bad in zip(*(rows[c] for c in ("id", "text", "quality", "toxic"))):
                 if text is not None:
-                    found = np.unique(slots(text)).astype("<u4").tobytes()
-                    yield zlib.crc32(str(key).encode()), str(key), found, good, bad
+                    yield zlib.crc32(str(key).encode()), str(key), packed(slots(text)), good, bad
 
         return work
 
     schema = "turn bigint, id string, slots binary, quality int, toxic int"
     found = map_rows(picked, schema, make).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: tuple(found[c][i].as_py() for c in ("turn", "id")))
-    rows = [np.frombuffer(found["slots"][i].as_buffer(), "<u4") for i in order]
+    rows = [found["slots"][i].as_py() for i in order]
     good, bad = (np.array(found[c].to_pylist(), float)[order] for c in ("quality", "toxic"))
+    del found
     if not rows:
         return {"low_quality": None, "toxic": None}
     return {"low_quality": fit(rows, 1.0 - (good > 0)), "toxic": fit(rows, 1.0 * (bad > 0))}

@@ -124,7 +124,7 @@ def test_classifier_on_rows_it_has_not_seen():
         words = rnd.choices(plain, k=80) + (rnd.choices(["nasty", "vile", "awful"], k=3) if bad else [])
         rnd.shuffle(words)
         rows.append((quality.slots(" ".join(words)), float(bad)))
-    model = quality.fit([np.unique(s) for s, _ in rows[:600]], np.array([y for _, y in rows[:600]]))
+    model = quality.fit([quality.packed(s) for s, _ in rows[:600]], np.array([y for _, y in rows[:600]]))
     table = model.table()
     odds = [model.probability(model.margin(table, s)) for s, _ in rows[600:]]
     right = [(p > 0.5) == (y > 0) for p, (_, y) in zip(odds, rows[600:])]
