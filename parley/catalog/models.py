@@ -44,26 +44,30 @@ def classify_intents(spark, folder):
 
 
 def triage_prompts(spark, folder):
-    """Classified messages with their past cases and the prompt for a user's model."""
-    cases = vectors.cases(spark, folder).where("embedding is not null")
-    model = classify.fit_classifier(cases, "intent_label")
+    """All messages, classified, with their past cases and the prompt for a user's model.
+
+    The classifier learns from messages with a vector; the others have no intent and no cases.
+    """
+    cases = vectors.cases(spark, folder)
+    model = classify.fit_classifier(cases.where("embedding is not null"), "intent_label")
     rows = triage.triage_prompts(cases, cases, model)
     return rows.select("conversation_id", "intent", "confidence", "prompt")
 
 
-def stream_messages(spark, folder):
+def _streamed(spark, folder, name, key):
     """The whole flow on a stream: classifier and case index are built once, batches use both."""
-    corpus = stage(vectors.cases(spark, folder).where("embedding is not null"))
-    model = classify.fit_classifier(corpus, "intent_label")
-    schema = _vectors(spark, folder).schema
-    stream = messages.read_messages(spark, folder, schema, "embeddings.parquet")
+    corpus = stage(vectors.cases(spark, folder))
+    model = classify.fit_classifier(corpus.where("embedding is not null"), "intent_label")
+    schema = table(spark, folder, name).schema
+    stream = messages.read_messages(spark, folder, schema, f"{name}.parquet")
 
     def answer(batch):
-        own = batch.select(F.col("vec_id").alias("conversation_id"))
+        own = batch.select(F.col(key).alias("conversation_id"))
         found = triage.triage_prompts(
             corpus.join(own, "conversation_id", "left_semi"), corpus, model
         )
-        told = F.contains("prompt", F.col("intent")) & F.contains("prompt", F.col("context"))
+        intent = F.coalesce("intent", F.lit("unknown"))
+        told = F.contains("prompt", intent) & F.contains("prompt", F.col("context"))
         return found.select("conversation_id", "context", told.alias("told"))
 
     place = f"{shared_dir(spark)}/stream_messages_{uuid.uuid4().hex}"
@@ -71,6 +75,16 @@ def stream_messages(spark, folder):
     return spark.read.parquet(f"{place}/out").drop("batch")
 
 
+def stream_messages(spark, folder):
+    """The flow on the stream of vectors: messages that come with one."""
+    return _streamed(spark, folder, "embeddings", "vec_id")
+
+
+def stream_all_messages(spark, folder):
+    """The flow on the stream of documents: every message, with a vector or without."""
+    return _streamed(spark, folder, "documents", "doc_id")
+
+
 def kmeans_facts(spark, folder):
     """What holds for any k-means result: rows lie at their nearest centre, costs add up."""
     points = clusters.features(_vectors(spark, folder)).select("vec_id", "features")
@@ -146,6 +160,7 @@ QUERIES = {
         kmeans_assign,
         k_sweep,
         stream_messages,
+        stream_all_messages,
         kmeans_facts,
         pca_facts,
         classifier_facts,
@@ -161,6 +176,7 @@ ORACLE = {
         "hits AS (",
         "known_cases AS (SELECT * FROM cases WHERE conversation_id IN (SELECT vec_id FROM embeddings)),\nhits AS (",
     ).replace(" AS context\nFROM known", " AS context, true AS told\nFROM known"),
+    "stream_all_messages": vectors.ORACLE["topk_context"].replace(" AS context\nFROM cases", " AS context, true AS told\nFROM cases"),
     "kmeans_facts": "SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS costs_agree FROM embeddings",
     "pca_facts": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, "
     "true AS share_agrees FROM embeddings",

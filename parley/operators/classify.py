@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.clusters import features
+from parley.operators.similarity import usable
 from parley.session import stage
 
 
@@ -29,19 +30,25 @@ class Classifier:
     model: LogisticRegressionModel
 
     def predict(self, df: DataFrame, vec: str = "embedding") -> DataFrame:
-        """Add ``intent``, ``confidence`` and the ``probabilities`` map, to 4 places."""
+        """Add ``intent``, ``confidence`` and the ``probabilities`` map, to 4 places.
+
+        Rows without a vector, or with a NaN or null in it, stay and have none of the three.
+        """
+        known = usable(F.col(vec).cast("array<double>"))
+        zero = F.array_repeat(F.lit(0.0), self.model.numFeatures)
+        filled = F.when(known, F.col(vec).cast("array<double>")).otherwise(zero)
         shares = F.transform(vector_to_array("probability"), lambda p: F.round(p, 4))
         names = F.array(*[F.lit(name) for name in self.indexer.labels])
-        scored = self.model.transform(features(df, vec))
+        scored = self.model.transform(features(df.withColumn("_vector", filled), "_vector"))
         return (
             scored.withColumns(
                 {
-                    "intent": names[F.col("prediction").cast("int")],
-                    "confidence": F.array_max(shares),
-                    "probabilities": F.map_from_arrays(names, shares),
+                    "intent": F.when(known, names[F.col("prediction").cast("int")]),
+                    "confidence": F.when(known, F.array_max(shares)),
+                    "probabilities": F.when(known, F.map_from_arrays(names, shares)),
                 }
             )
-            .drop("features", "rawPrediction", "probability", "prediction")
+            .drop("_vector", "features", "rawPrediction", "probability", "prediction")
         )
 
 

@@ -39,6 +39,11 @@ def _whole(vec: F.Column) -> F.Column:
     return (F.size(F.array_compact(vec)) == F.size(vec)) & ~F.isnan(F.coalesce(F.array_max(vec), F.lit(0.0)))
 
 
+def usable(vec: F.Column) -> F.Column:
+    """Whether there is a vector, without NaN or null in it; never null."""
+    return vec.isNotNull() & F.coalesce(_whole(vec), F.lit(False))
+
+
 def dense(df: DataFrame, key: str, vec: str) -> DataFrame:
     """``(id, vec)`` rows; rows without a vector, or with a NaN or null in it, have no neighbours.
 

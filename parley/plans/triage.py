@@ -22,13 +22,22 @@ def triage_prompts(
     k: int = 3,
     exclude_self: bool = True,
 ) -> DataFrame:
-    """Messages with intent, confidence, past cases and the prompt built from them."""
+    """Messages with intent, confidence, past cases and the prompt built from them.
+
+    Every message has a row. One without a usable vector has no intent, no confidence and no
+    cases, and its prompt says so.
+    """
     found = retrieval.hits(corpus, messages, key, vec, k, exclude_self)
     classified = classifier.predict(messages, vec)
     rows = retrieval.with_context(classified, found, key)
     return rows.withColumn(
         "prompt",
-        retrieval.prompt(F.col(text), F.col("intent"), F.col("confidence"), F.col("context")),
+        retrieval.prompt(
+            F.coalesce(text, F.lit("")),
+            F.coalesce("intent", F.lit("unknown")),
+            F.coalesce("confidence", F.lit(0.0)),
+            F.col("context"),
+        ),
     )
 
 
