@@ -4,13 +4,18 @@ A page is parsed into text lines, one per block. Lines inside menus, headers, fo
 bars, notices, adverts, forms, comments and the like are dropped by the element, its role or
 the words of its class and id. Pages of a host are sorted by URL path; each is paired with the
 page before and the page after it, the lines of both are aligned by longest common subsequence,
-and shared lines are deleted. Lines inside an ``article`` or ``main`` element are what the page
-is about and are not deleted, even if another page has them too; a page that has such lines
-consists of them alone.
+and shared lines are deleted. Neighbours whose remaining lines are all the same, such as the
+variants of a path by their query, are copies: a run of copies counts as one page, is paired
+with the pages before and after the run, and all its pages lose the same lines. A page whose
+host has nothing but copies of it keeps all its lines. Copies that differ in a line are no copies.
+
+Lines inside an ``article`` or ``main`` element are what the page is about and are not deleted,
+even if another page has them too; a page that has such lines consists of them alone, so the
+markup decides there and the differences nothing.
 
 Only hashes of lines travel for the alignment. Pages are dealt by ranges of host and path, so
-a host of any size is spread; pairs across the seam of two ranges meet in a pass over the
-first and last page of every range.
+a host of any size is spread; pairs and runs across the seam of two ranges meet in a pass over
+the first and last page of every range.
 
 Rows: every input row gives one output row, repeated rows and null ids included. Null or empty
 markup gives an empty text. Pages without a URL have no host and no neighbour. Equal
@@ -208,13 +213,31 @@ def _hashes(lines: list[tuple[str, bool, bool]]) -> list[int]:
 
 
 PAGE = "host string, path string, key {kind}, digest string, lines array<bigint>, open array<int>"
+MEMBER, SHARED, END = "member", "shared", "end"  # kinds of rows of the first pass
+SPREAD = 16  # parts into which the pages of one run are dealt
+
+
+def _copies(left: dict, right: dict) -> bool:
+    """Whether two pages have the same open lines; pages without any are nobody's copy."""
+    if not left["open"] or len(left["open"]) != len(right["open"]):
+        return False
+    return all(left["lines"][i] == right["lines"][j] for i, j in zip(left["open"], right["open"]))
+
 
+def _met(left: dict, right: dict) -> Iterator[dict]:
+    """Which open lines, by their order among the open ones, two neighbours share."""
+    for own, places in zip((left, right), zip(*common(left["lines"], right["lines"]))):
+        places = set(places)
+        shared = [k for k, i in enumerate(own["open"]) if i in places]
+        if shared:
+            yield {"task": own["task"], "run": own["run"], "shared": shared}
 
-def _aligned(pages: DataFrame, schema: str, seams: bool) -> DataFrame:
-    """Shared open lines of pages with their neighbours in a sorted table.
 
-    Without ``seams`` the first and last page of every task come out too, with the number of
-    the task; with it, the input is these pages, and those of one task are no neighbours.
+def _runs(pages: DataFrame, schema: str) -> DataFrame:
+    """Runs of copies in a sorted table, and the lines shared at their seams.
+
+    Pages become members of runs, numbered within the task. The first and last page of every
+    task come out whole, for :func:`_across`.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -222,31 +245,68 @@ def _aligned(pages: DataFrame, schema: str, seams: bool) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = None if seams else TaskContext.get().partitionId()
-        before, first = None, True
+        task, number, before = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for part in split(batch):
                 out = []
                 for row in part.to_pylist():
-                    row = row if seams else row | {"task": task}
-                    if first and not seams:
-                        out.append(row | {"shared": None})
-                    first = False
-                    if before and row["host"] and before["host"] == row["host"]:
-                        if not seams or before["task"] != row["task"]:
-                            for own, places in zip((before, row), zip(*common(before["lines"], row["lines"]))):
-                                shared = sorted(set(places).intersection(own["open"]))
-                                if shared:
-                                    out.append(own | {"shared": shared})
+                    near = bool(before and row["host"] and before["host"] == row["host"])
+                    copy = near and _copies(before, row)
+                    number += before is not None and not copy
+                    row |= {"task": task, "run": number}
+                    if before is None:
+                        out.append(row | {"kind": END})
+                    if row["host"] and row["open"]:
+                        own = {c: row[c] for c in ("key", "digest", "task", "run")}
+                        out.append(own | {"kind": MEMBER})
+                    if near and not copy:
+                        out.extend(found | {"kind": SHARED} for found in _met(before, row))
                     before = row
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=target)
-        if before and not seams:
-            yield pa.RecordBatch.from_pylist([before | {"shared": None}], schema=target)
+        if before:
+            yield pa.RecordBatch.from_pylist([before | {"kind": END}], schema=target)
 
     return pages.mapInArrow(run, schema)
 
 
+def _across(ends: DataFrame) -> DataFrame:
+    """Runs that go on in the next task, and the lines shared at seams between tasks.
+
+    ``task, run, to_task, to_run`` name the run in which another begins; rows with ``shared``
+    belong to the run they name.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = "task int, run int, to_task int, to_run int, shared array<int>"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            for part in split(batch):
+                out = []
+                for row in part.to_pylist():
+                    own = row["task"], row["run"]
+                    row["own"], whole = own, own
+                    if before and before["own"] == own:
+                        whole = before["task"], before["run"]
+                    elif before and before["own"][0] != own[0] and row["host"] and before["host"] == row["host"]:
+                        if _copies(before, row):
+                            whole = before["task"], before["run"]
+                        else:
+                            out.extend(_met(before, row))
+                    row["task"], row["run"] = whole
+                    if whole != own:
+                        out.append(dict(zip(("task", "run", "to_task", "to_run"), (*own, *whole))))
+                    before = row
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=target)
+
+    return ends.mapInArrow(run, schema)
+
+
 def _parsed(source: DataFrame, kind: str) -> DataFrame:
     """Each page once: its lines' hashes, and the lines that make its text.
 
@@ -268,19 +328,33 @@ def _parsed(source: DataFrame, kind: str) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """``page, print, shared``: places of the open lines that a page shares with a neighbour."""
+    """``page, print, shared``: which of its open lines a page shares with a neighbour."""
     kind = pages.schema["key"].dataType.simpleString()
     order = ["host", "path", "key", "digest"]
-    schema = f"{PAGE.format(kind=kind)}, task int, shared array<int>"
+    schema = f"{PAGE.format(kind=kind)}, task int, run int, shared array<int>, kind string"
     slim = pages.select(*order, "lines", "open")
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stage(_aligned(ranged, schema, seams=False))
-    ends = found.where("shared is null").drop("shared").dropDuplicates([*order, "task"])
+    found = stage(_runs(ranged, schema))
+    ends = found.where(F.col("kind") == END).drop("shared", "kind").dropDuplicates([*order, "task", "run"])
     # two pages per task of the pass before, whatever the number of pages
-    across = _aligned(ends.coalesce(1).sortWithinPartitions(*order, "task"), schema, seams=True)
-    both = found.where("shared is not null").unionByName(across)
-    return both.groupBy(F.col("key").alias("page"), F.col("digest").alias("print")).agg(
-        F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")
+    across = stage(_across(ends.coalesce(1).sortWithinPartitions(*order, "task", "run")))
+    links = F.broadcast(across.where("shared is null").drop("shared"))
+
+    def whole(rows: DataFrame, *columns: str) -> DataFrame:
+        run = (F.coalesce(f"to_{c}", c).alias(c) for c in ("task", "run"))
+        return rows.join(links, ["task", "run"], "left").select(*run, *columns)
+
+    met = whole(found.where(F.col("kind") == SHARED), "shared").unionByName(
+        across.where("shared is not null").select("task", "run", "shared")
+    )
+    by_run = met.groupBy("task", "run").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+    # pages of one run meet it in several parts, so none gathers them all
+    dealt = by_run.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    members = whole(found.where(F.col("kind") == MEMBER), "key", "digest")
+    parted = members.withColumn("part", F.pmod(F.hash("key", "digest"), F.lit(SPREAD)))
+    joined = parted.join(dealt, ["task", "run", "part"])
+    return joined.select(F.col("key").alias("page"), F.col("digest").alias("print"), "shared").dropDuplicates(
+        ["page", "print"]
     )
 
 
@@ -294,8 +368,8 @@ def main_text(
     rows = stage(_parsed(source, source.schema["key"].dataType.simpleString()))
     shared = stage(shared_lines(rows))
     same = F.col("key").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("print"))
-    joined = rows.select("key", "digest", "url", "open", "parts").join(shared, same, "left")
-    own = F.filter("parts", lambda _, i: ~F.array_contains("shared", F.get("open", i)))
+    joined = rows.select("key", "digest", "url", "parts").join(shared, same, "left")
+    own = F.filter("parts", lambda _, i: ~F.array_contains("shared", i))
     left = F.when(F.col("shared").isNull(), F.col("parts")).otherwise(own)
     return joined.select(
         F.col("key").alias(id_col), "url", F.array_join(left, " ").alias("text")
