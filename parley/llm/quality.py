@@ -2,7 +2,8 @@
 
 Two logistic regressions, one for low quality and one for toxic text, read the presence of
 hashed words, word pairs and character n-grams. They learn from a bounded sample of labelled
-rows, part of which only calibrates the probabilities. Every text is scored in Arrow batches
+rows, part of which only calibrates the probabilities. The tasks count in how many rows of the
+sample each slot occurs; only the slots that a model weighs reach the driver. Every text is scored in Arrow batches
 and rejected when a probability passes its fixed threshold, or when it fails the counted rules.
 
 Rows: every input row gives one output row, repeated rows included. A null text has no words
@@ -19,19 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import ngrams
-from parley.llm.common import map_rows
+from parley.llm.common import map_rows, split
+from parley.session import stage
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
 WINDOW = 3
 SYMBOLS = b"#*$%&|<>"  # fixed value: characters counted as symbols
 BITS = 23
-LETTERS = range(4, 7)  # sizes of the character n-grams
-SAMPLE_ROWS = 4000  # labelled rows learned from
+LETTERS = range(3, 7)  # sizes of the character n-grams
+SAMPLE_ROWS = 6000  # labelled rows learned from
 FEW = 5  # rows of the sample that must hold a slot for it to count
 KEPT = 1000  # slots that a model weighs, those that part its classes best
 STEPS, RATE, DECAY = 150, 0.1, 1e-4
@@ -170,33 +173,84 @@ def unpacked(row: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(row), "<u4"), dtype=np.int64)
 
 
-def fit(packed_rows: list[bytes], y: np.ndarray) -> Model | None:
-    """Fit on two rows of three, calibrate on the third; rows are in sample order.
-
-    Rows stay packed and are opened one at a time.
-    """
+def taught(y: np.ndarray) -> np.ndarray | None:
+    """Which rows, in sample order, are learned from: two of three, if both parts have both classes."""
     learn = np.arange(len(y)) % 3 != 2
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
         return None
-    learned = [row for row, used in zip(packed_rows, learn) if used]
-    places = parting(learned, y[learn])
-    index = np.full(1 << BITS, -1, np.int16)  # there are fewer places than that holds
-    index[places] = np.arange(len(places))
-    columns, lengths = [], []
-    for row in learned:
-        own = index[unpacked(row)]
-        own = np.append(own[own >= 0], len(places))
-        columns.append(own)
-        lengths.append(len(own))
-    weights, bias = descend(np.concatenate(columns), np.array(lengths), y[learn], len(places))
+    return learn
+
+
+def columns_of(found: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the sorted places a row holds."""
+    return np.flatnonzero(np.isin(places, found))
+
+
+def solved(places: np.ndarray, rows: list[np.ndarray], y: np.ndarray, learn: np.ndarray) -> Model:
+    """Fit on the learned rows, each the columns it holds, and calibrate on the others."""
+    learned = [np.append(row, len(places)) for row, used in zip(rows, learn) if used]
+    lengths = np.array([len(row) for row in learned])
+    weights, bias = descend(np.concatenate(learned), lengths, y[learn], len(places))
     model = Model(places, weights.astype(np.float32), bias)
-    table = model.table()
-    held = [row for row, used in zip(packed_rows, learn) if not used]
-    margins = [model.margin(table, unpacked(row)) for row in held]
+    margins = [
+        bias + float(model.weights[row].sum(dtype=np.float64)) for row, used in zip(rows, learn) if not used
+    ]
     model.line = calibrate(np.array(margins), y[~learn])
     return model
 
 
+def fit(packed_rows: list[bytes], y: np.ndarray) -> Model | None:
+    """Fit on two rows of three, calibrate on the third; rows are in sample order.
+
+    Rows stay packed and are opened one at a time.
+    """
+    learn = taught(y)
+    if learn is None:
+        return None
+    places = parting([row for row, used in zip(packed_rows, learn) if used], y[learn])
+    return solved(places, [columns_of(unpacked(row), places) for row in packed_rows], y, learn)
+
+
+def _counted_slots(sample: DataFrame, classes: dict[int, int]) -> DataFrame:
+    """``slot, n_rows, low_quality, toxic``: learned rows that hold a slot, in all and by class.
+
+    ``classes`` holds, by the tag of each learned row, 2 for low quality plus 1 for toxic text.
+    """
+    target = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in split(batch):
+                pairs = zip(part["tag"].to_pylist(), part["slots"].to_pylist())
+                codes = [unpacked(row) * 4 + classes[tag] for tag, row in pairs if tag in classes]
+                if codes:
+                    code, n = np.unique(np.concatenate(codes), return_counts=True)
+                    columns = (code >> 2).astype(np.int32), (code & 3).astype(np.int32), n
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=target)
+
+    found = sample.select("tag", "slots").mapInArrow(run, "slot int, kind int, n bigint")
+    return (
+        found.groupBy("slot")
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.sum(F.when(F.col("kind") >= 2, F.col("n")).otherwise(0)).alias("low_quality"),
+            F.sum(F.when(F.col("kind") % 2 == 1, F.col("n")).otherwise(0)).alias("toxic"),
+        )
+        .where(F.col("n_rows") >= FEW)
+    )
+
+
+def _parting(counts: DataFrame, name: str, y: np.ndarray) -> np.ndarray:
+    """As :func:`parting`, from the counts of slots."""
+    share, both = float(y.mean()), F.col("n_rows")
+    spread = both * share * (1 - share) * (1 - both / len(y))
+    gap = F.col(name) - both * share
+    strength = F.when(spread > 0, gap * gap / F.greatest(spread, F.lit(1e-9))).otherwise(0.0)
+    ranked = counts.select("slot", strength.alias("strength")).where("strength > 0")
+    best = ranked.orderBy(F.desc("strength"), "slot").limit(KEPT).select("slot").toArrow()
+    return np.sort(best["slot"].to_numpy()).astype(np.int64)
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict[str, Model | None]:
@@ -221,14 +275,37 @@ def train(
         return work
 
     schema = "turn bigint, id string, slots binary, quality int, toxic int"
-    found = map_rows(picked, schema, make).toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: tuple(found[c][i].as_py() for c in ("turn", "id")))
-    rows = [found["slots"][i].as_py() for i in order]
-    good, bad = (np.array(found[c].to_pylist(), float)[order] for c in ("quality", "toxic"))
-    del found
-    if not rows:
-        return {"low_quality": None, "toxic": None}
-    return {"low_quality": fit(rows, 1.0 - (good > 0)), "toxic": fit(rows, 1.0 * (bad > 0))}
+    sample = stage(map_rows(picked, schema, make).withColumn("tag", F.monotonically_increasing_id()))
+    found = sample.select("turn", "id", F.md5("slots"), "tag", "quality", "toxic").toArrow()
+    rows = sorted(zip(*(column.to_pylist() for column in found.columns)))
+    tags = [row[3] for row in rows]
+    good, bad = (np.array([row[c] for row in rows], float) for c in (4, 5))
+    wanted = {"low_quality": 1.0 - (good > 0), "toxic": 1.0 * (bad > 0)}
+    learned = {name: taught(y) for name, y in wanted.items()}
+    names = [name for name, learn in learned.items() if learn is not None]
+    models: dict[str, Model | None] = dict.fromkeys(wanted)
+    if not names:
+        return models
+    kinds = (2 * wanted["low_quality"] + wanted["toxic"]).astype(int).tolist()
+    classes = {tag: kind for tag, kind, used in zip(tags, kinds, learned[names[0]]) if used}
+    counts = stage(_counted_slots(sample, classes))
+    places = {name: _parting(counts, name, wanted[name][learned[name]]) for name in names}
+
+    def make_held():
+        def work(rows):
+            for tag, row in zip(rows["tag"], rows["slots"]):
+                row = unpacked(row)
+                yield (tag, *(columns_of(row, places[name]).tolist() for name in names))
+
+        return work
+
+    kept = ", ".join(f"{name} array<int>" for name in names)
+    held = map_rows(sample.select("tag", "slots"), f"tag bigint, {kept}", make_held).toArrow()
+    at = {tag: i for i, tag in enumerate(held["tag"].to_pylist())}
+    for name in names:
+        own = [np.array(held[name][at[tag]].as_py(), np.int64) for tag in tags]
+        models[name] = solved(places[name], own, wanted[name], learned[name])
+    return models
 
 
 def score(
