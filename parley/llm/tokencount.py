@@ -12,7 +12,8 @@ A space that follows another character brings the transducer back to its start s
 piece holds one inside. A chunk of text is therefore a state map of three parts: the open head
 before its first such place, the count between the first and the last, and the open tail. Maps
 compose associatively, so chunks of one long text are read by different tasks and their maps
-are joined by a tree-shaped scan.
+are joined by a tree-shaped scan. A chunk without such a place is all open head, that is raw text;
+a run without spaces is therefore put together again and read by one task, however long it is.
 
 Rows: every input row gives one output row, repeated rows included. A null text counts as
 empty and has no tokens; a null id stays null. Other columns are ignored, whatever their names.
