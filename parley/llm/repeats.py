@@ -26,7 +26,9 @@ it has ``span`` bytes. A null id stays null. Other columns are ignored, whatever
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,10 @@ SEGMENT = 1 << 20  # places told apart by a key's low bits
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed values: odd multipliers of 64-bit mixers
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 STEPS = "array<struct<a:int,b:int>>"
+WORDS = 50  # words of a passage that is cut from a corpus
+CODE = 8  # letters that stand for a word, 6 bits each
+CODED_WORDS = 500_000  # words whose letters a task remembers
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -446,6 +452,16 @@ def report(
     )
 
 
+def _cuts(scan: DataFrame, facts: DataFrame) -> DataFrame:
+    """``digest, cut, copied``: what goes of each text, and whether it occurs twice as a whole."""
+    own = scan.where(F.size("cut") > 0).select("digest", "cut").dropDuplicates(["digest"])
+    return facts.join(own, "digest", "full").select(
+        "digest",
+        F.coalesce("all_cut", "cut", F.array().cast(STEPS)).alias("cut"),
+        F.col("copies").isNotNull().alias("copied"),
+    )
+
+
 def cut(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -457,13 +473,7 @@ def cut(
 
     A character of which only some bytes are removed goes as a whole; null texts stay null.
     """
-    scan, facts = analyse(docs, id_col, text_col, span, gram)
-    own = scan.where(F.size("cut") > 0).select("digest", "cut").dropDuplicates(["digest"])
-    facts = facts.join(own, "digest", "full").select(
-        "digest",
-        F.coalesce("all_cut", "cut", F.array().cast(STEPS)).alias("cut"),
-        F.col("copies").isNotNull().alias("copied"),
-    )
+    facts = _cuts(*analyse(docs, id_col, text_col, span, gram))
 
     @F.pandas_udf("string")
     def freed(texts: pd.Series, cuts: pd.Series, copied: pd.Series) -> pd.Series:
@@ -482,3 +492,84 @@ def cut(
         F.col("row").withField(text_col, freed(text, "cut", "copied")).alias("row")
     )
     return rows.select("row.*")
+
+
+class Coder:
+    """Texts as strings of ``CODE`` letters a word, so that runs of words are strings of bytes."""
+
+    def __init__(self):
+        self.known: dict[bytes, bytes] = {}
+
+    def code(self, text: str | None) -> str:
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        if len(self.known) > CODED_WORDS:
+            self.known.clear()
+        for word in set(words).difference(self.known):
+            digest = hashlib.blake2b(word, digest_size=CODE * 3 // 4).digest()
+            self.known[word] = base64.b64encode(digest)
+        return b"".join(map(self.known.__getitem__, words)).decode("ascii")
+
+
+def without_words(text: str, runs: list[tuple[int, int]]) -> str:
+    """The text without the given runs of words, each with the blanks after it."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    kept, at = [], 0
+    for first, after in runs:
+        kept.append(text[at : starts[first]])
+        at = starts[after]
+    return "".join(kept) + text[at:]
+
+
+def cut_words(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+) -> DataFrame:
+    """The documents, all columns, with texts freed of runs of ``words`` words that occur elsewhere.
+
+    Words are runs between ASCII blanks, compared as they are; the blanks between them do not
+    count. Every occurrence goes, in the same document too, as in :func:`report`. A word is
+    coded by ``CODE`` letters, so a run of words is a string of that many letters, and the
+    strings are found like passages of bytes. Texts of fewer words, and null texts, stay.
+    """
+    source = docs.select(docs[id_col].alias("key"), F.col(text_col).alias("text"))
+    kind = source.schema["key"].dataType.simpleString()
+
+    def make():
+        coder = Coder()
+
+        def work(rows):
+            for key, text in zip(rows["key"], rows["text"]):
+                yield key, coder.code(text)
+
+        return work
+
+    coded = map_rows(source, f"key {kind}, code string", make)
+    span = CODE * words
+    facts = _cuts(*analyse(coded, "key", "code", span, GRAM))
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        coder = Coder()
+        return texts.map(lambda t: hashlib.md5(coder.code(t).encode()).hexdigest())
+
+    @F.pandas_udf("string")
+    def freed(texts: pd.Series, cuts: pd.Series, copied: pd.Series) -> pd.Series:
+        def one(text, cut, twice):
+            if text is None or cut is None:
+                return text
+            # ends that agree by part of a word's code are no words
+            runs = [(-(-r["a"] // CODE), r["b"] // CODE) for r in cut]
+            if twice and len(found := text.encode("utf-8", "surrogatepass").split()) >= words:
+                runs = [(0, len(found))]
+            return without_words(text, [r for r in runs if r[1] > r[0]]) if runs else text
+
+        return pd.Series([one(*r) for r in zip(texts, cuts, copied)], dtype=object)
+
+    rows = docs.select(F.struct("*").alias("row"), named(docs[text_col]).alias("digest"))
+    text = F.col(f"row.{text_col}")
+    rows = rows.join(facts.hint("merge"), "digest", "left").select(
+        F.col("row").withField(text_col, freed(text, "cut", "copied")).alias("row")
+    )
+    return rows.select("row.*")

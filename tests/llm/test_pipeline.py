@@ -18,15 +18,20 @@ from parley.llm.queries import vocabulary
 SF = "/root/testdata/sf0.001"
 
 
-def removed(raws, span=400):
-    times = Counter(r[i : i + span] for r in raws for i in range(len(r) - span + 1))
+def removed(texts, words=50):
+    """Texts without the runs of words that occur twice, by counting all windows."""
+    spans = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    lists = [[m.group() for m in s] for s in spans]
+    times = Counter(tuple(w[i : i + words]) for w in lists for i in range(len(w) - words + 1))
     out = []
-    for r in raws:
-        gone = bytearray(len(r))
-        for i in range(len(r) - span + 1):
-            if times[r[i : i + span]] > 1:
-                gone[i : i + span] = b"\1" * span
-        out.append(bytes(b for b, g in zip(r, gone) if not g).decode("utf-8", "ignore"))
+    for text, span, own in zip(texts, spans, lists):
+        gone = bytearray(len(own))
+        for i in range(len(own) - words + 1):
+            if times[tuple(own[i : i + words])] > 1:
+                gone[i : i + words] = b"\1" * words
+        starts = [m.start() for m in span] + [len(text)]
+        left = [text[starts[i] : starts[i + 1]] for i in range(len(own)) if not gone[i]]
+        out.append(text[: starts[0]] + "".join(left))
     return out
 
 
@@ -50,7 +55,7 @@ def test_stages(spark):
             want = test_nearcopies.by_hand(texts, words=5)
             assert set(rows) == {key for key, _, _, kept in want if kept}
         elif name == "passage_dedup":
-            cut = removed([t.encode() for _, t in texts])
+            cut = removed([t for _, t in texts])
             assert {i: r.text for i, r in rows.items()} == {i: c for (i, _), c in zip(texts, cut)}
             assert all(r.n_chars == len(r.text) for r in rows.values())
         elif name == "decontamination":
@@ -92,3 +97,27 @@ def test_odd_rows(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} == {None, 2}
+
+
+def test_passages_of_just_over_and_under_50_words(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    shared, short = words("s", 51), words("t", 49)
+    texts = {
+        1: f"{words('a', 30)}\n{shared} {words('b', 20)}",
+        2: f"{shared}\n{words('c', 60)}",
+        3: f"{words('d', 60)} {shared.replace(' ', '  ')}",
+        4: f"{words('e', 60)} {short} {words('f', 9)}",
+        5: f"{words('g', 60)} {short}",
+        6: words("h", 200),
+        7: None,
+        8: "",
+    }
+    rows = [(i, t, "en", "s", 0) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.passage_dedup(spark, docs, SF).collect()}
+    assert out[1] == f"{words('a', 30)}\n{words('b', 20)}"
+    assert out[2] == words("c", 60)
+    assert out[3] == words("d", 60) + " "
+    assert all(out[i] == texts[i] for i in (4, 5, 6, 7, 8))
