@@ -1 +1 @@
-"""Training-data operators: ten methods over documents, pages, benchmark items and dialogues."""
+"""Training-data operators: thirteen methods over documents, pages, benchmark items and dialogues."""

@@ -1,11 +1,25 @@
-"""Registered queries of the ten operators, on the given tables, with production parameters."""
+"""Registered queries of the thirteen operators, on the given tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontaminate, dialogue, extract, language, nearcopies, quality, repeats, tokencount, warc
+from parley.llm import (
+    bpe,
+    decontaminate,
+    dialogue,
+    extract,
+    groupjoin,
+    language,
+    nearcopies,
+    prefixes,
+    quality,
+    repeats,
+    spelling,
+    tokencount,
+    warc,
+)
 from parley.llm.common import table
 
 MAX_TOKENS = 4096
@@ -63,6 +77,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return groupjoin.components_of(table(spark, folder, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(table(spark, folder, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -76,9 +102,15 @@ QUERIES = {
         op8_language_id,
         op9_chat_formatting,
         op10_quality_rules,
+        op11_ngram_join,
+        op12_prefix_trie,
+        op13_spelling_variants,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_minhash_dedup": nearcopies.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
+    "op11_ngram_join": groupjoin.ORACLE,
+    "op12_prefix_trie": prefixes.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
