@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from parley.catalog import sql
 from parley.catalog.labels import KEYWORDS
-from parley.operators import enrich, rules, tfidf
+from parley.operators import enrich, postings, rules, tfidf
 from parley.session import shared_dir
 from parley.sources import given
 from parley.sources.given import table
@@ -40,6 +40,17 @@ def tfidf_nn(spark, folder):
     )
 
 
+def tfidf_nn_blocks(spark, folder):
+    """The same by the inverted index, whose blocks are ruled out by upper bounds."""
+    docs = table(spark, folder, "documents")
+    vocabulary = tfidf.fit(docs)
+    rows = tfidf.vectorize(docs, "doc_id", "text", vocabulary)
+    queries = tfidf.vectorize(table(spark, folder, "benchmark"), "item_id", "text", vocabulary)
+    return postings.block_topk(rows, queries, 1).select(
+        F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "similarity"
+    )
+
+
 def letter_shares():
     """Stand-in for a user's embedding model: the share of each letter a to z."""
 
@@ -113,6 +124,7 @@ QUERIES = {
         tfidf_vocabulary,
         tfidf_weights,
         tfidf_nn,
+        tfidf_nn_blocks,
         embed_batch,
         parse_json,
         cache_misses,
@@ -184,3 +196,4 @@ SELECT tweet_id, message, '' AS intent_label, {sql.words('message')} AS word_cou
             ELSE {sql.quote(rules.SUPPORT_DEFAULT.note)} END AS rule_note
 FROM h""",
 }
+ORACLE["tfidf_nn_blocks"] = ORACLE["tfidf_nn"]

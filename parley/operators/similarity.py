@@ -2,11 +2,12 @@
 
 Two ways, both exact:
 
-* few queries: their matrix is broadcast after its size is checked, each task scores its
-  own part of the corpus by matrix products and keeps k rows per query;
+* few queries: they are broadcast after their size is checked, dense ones as a matrix, sparse
+  ones as postings; each task scores its own part of the corpus and keeps k rows per query;
 * many queries: both sides are cut into blocks that meet on a block key. Dense vectors
   are first grouped into cells around pivots, and the triangle inequality on angles rules
-  out the cells that cannot hold a better neighbour.
+  out the cells that cannot hold a better neighbour. Sparse rows are searched by
+  :mod:`parley.operators.postings`.
 
 Ties go to the lowest id. Similarities are rounded before they are ranked, so the order
 does not depend on the order of summation.
@@ -25,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.operators.postings import Postings, SparseRows, best_of, block_topk
 from parley.operators.sampling import exact_sample
 from parley.session import stage
 
@@ -73,55 +75,21 @@ def _list_lengths(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
 
-def _matrix(batch: pa.RecordBatch, width: int | None) -> np.ndarray:
-    """Rows of an Arrow batch as unit vectors, from ``vec`` or ``indices, values``."""
-    if width is None:
-        column = batch.column("vec")
-        lengths = _list_lengths(column)
-        if batch.num_rows and (lengths != lengths[0]).any():
-            other = batch.column("id").filter(pa.array(lengths != lengths[0]))[:5].to_pylist()
-            raise ValueError(f"vectors of different lengths, for example those of {other}")
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        return _unit_rows(flat.reshape(batch.num_rows, -1))
-    lengths = _list_lengths(batch.column("indices"))
-    out = np.zeros((batch.num_rows, width))
-    rows = np.repeat(np.arange(batch.num_rows), lengths)
-    columns = batch.column("indices").flatten().to_numpy(zero_copy_only=False)
-    out[rows, columns] = batch.column("values").flatten().to_numpy(zero_copy_only=False)
-    return _unit_rows(out)
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The ``vec`` rows of an Arrow batch as unit vectors."""
+    column = batch.column("vec")
+    lengths = _list_lengths(column)
+    if batch.num_rows and (lengths != lengths[0]).any():
+        other = batch.column("id").filter(pa.array(lengths != lengths[0]))[:5].to_pylist()
+        raise ValueError(f"vectors of different lengths, for example those of {other}")
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return _unit_rows(flat.reshape(batch.num_rows, -1))
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("id").to_numpy(zero_copy_only=False)
 
 
-def _best(
-    query_ids: np.ndarray,
-    queries: np.ndarray,
-    ids: np.ndarray,
-    rows: np.ndarray,
-    k: int,
-    exclude_self: bool,
-) -> pd.DataFrame:
-    """The k best rows of one block per query."""
-    order = np.argsort(ids, kind="stable")
-    ids, rows = ids[order], rows[order]
-    scores = np.round(queries @ rows.T, DIGITS) + 0.0
-    if exclude_self:
-        at = pd.Index(query_ids).get_indexer(ids)
-        scores[at[at >= 0], np.flatnonzero(at >= 0)] = -np.inf
-    every = np.arange(len(query_ids))
-    found = []
-    for _ in range(min(k, len(ids))):
-        spot = scores.argmax(axis=1)  # the first maximum, hence the lowest id
-        found.append((query_ids, ids[spot], scores[every, spot]))
-        scores[every, spot] = -np.inf
-    out = pd.concat(
-        [pd.DataFrame({"query_id": q, "id": i, "similarity": s}) for q, i, s in found]
-    )
-    return out[out["similarity"] > -np.inf]
-
-
 def _keep(found: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = found.sort_values(["similarity", "id"], ascending=[False, True], kind="stable")
     return ordered.groupby("query_id", sort=False).head(k)
@@ -195,7 +163,7 @@ def distinct_topk(
     found = (
         cell_topk(rows, one, few)
         if width is None
-        else _merge(_grid_search(rows, one, few, width, False), few)
+        else block_topk(rows, one, few)
     )
     held = found.select(F.col("query_id").alias("asked"), F.col("id").alias("lowest"), "similarity")
     near = held.join(named.select("lowest", "id"), "lowest").select("asked", "id", "similarity")
@@ -219,16 +187,22 @@ def _scan(
     if block.num_rows == 0:
         return corpus.sparkSession.createDataFrame([], schema)
     batch = block.combine_chunks().to_batches()[0]
-    shared = corpus.sparkSession.sparkContext.broadcast((_ids(batch), _matrix(batch, width)))
-    step = max(1, SCORE_CELLS // max(batch.num_rows, width or 1))
+    # sparse queries travel as postings, never as rows as wide as the vocabulary
+    kept = _matrix(batch) if width is None else Postings(SparseRows(batch))
+    shared = corpus.sparkSession.sparkContext.broadcast((_ids(batch), kept))
+    step = max(1, SCORE_CELLS // batch.num_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
+        query_ids, kept = shared.value
         best = None
         for part in batches:
             for start in range(0, part.num_rows, step):
                 rows = part.slice(start, step)
-                found = _best(query_ids, matrix, _ids(rows), _matrix(rows, width), k, exclude_self)
+                if width is None:
+                    scores = kept @ _matrix(rows).T
+                else:
+                    scores = kept.scores(SparseRows(rows), 0, rows.num_rows).T
+                found = best_of(query_ids, _ids(rows), scores, k, exclude_self)
                 best = found if best is None else _keep(pd.concat([best, found]), k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
@@ -236,19 +210,18 @@ def _scan(
     return corpus.mapInArrow(score, schema)
 
 
-def _block_kernel(k: int, width: int | None, exclude_self: bool):
+def _block_kernel(k: int, exclude_self: bool):
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        names = ["id", "vec"] if width is None else ["id", "indices", "values"]
-        a = pa.RecordBatch.from_pandas(left[names], preserve_index=False)
-        b = pa.RecordBatch.from_pandas(right[names], preserve_index=False)
-        queries, query_ids = _matrix(b, width), _ids(b)
-        step = max(1, SCORE_CELLS // max(len(query_ids), width or 1))
+        a = pa.RecordBatch.from_pandas(left[["id", "vec"]], preserve_index=False)
+        b = pa.RecordBatch.from_pandas(right[["id", "vec"]], preserve_index=False)
+        queries, query_ids = _matrix(b), _ids(b)
+        step = max(1, SCORE_CELLS // max(len(query_ids), 1))
         best = None
         for start in range(0, a.num_rows, step):
             rows = a.slice(start, step)
-            found = _best(query_ids, queries, _ids(rows), _matrix(rows, width), k, exclude_self)
+            found = best_of(query_ids, _ids(rows), queries @ _matrix(rows).T, k, exclude_self)
             best = found if best is None else _keep(pd.concat([best, found]), k)
         return best
 
@@ -263,36 +236,17 @@ def _every(blocks) -> F.Column:
     return F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
 
 
-def _meet(
-    corpus: DataFrame, queries: DataFrame, k: int, width: int | None, exclude_self: bool
-) -> DataFrame:
+def _meet(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     """Score blocks that share ``cell, cb, qb``; a group is one block of each side."""
     schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
     keys = ["cell", "cb", "qb"]
     return (
         corpus.groupBy(*keys)
         .cogroup(queries.groupBy(*keys))
-        .applyInPandas(_block_kernel(k, width, exclude_self), schema)
+        .applyInPandas(_block_kernel(k, exclude_self), schema)
     )
 
 
-def _grid_search(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    width: int | None,
-    exclude_self: bool,
-    rows_per_block: int = 4096,
-) -> DataFrame:
-    """Every block of one side meets every block of the other."""
-    corpus_blocks = F.lit(max(1, math.ceil(corpus.count() / rows_per_block)))
-    query_blocks = F.lit(max(1, math.ceil(queries.count() / rows_per_block)))
-    zero = F.lit(0).alias("cell")
-    left = corpus.select("*", zero, _block(corpus_blocks).alias("cb"), _every(query_blocks).alias("qb"))
-    right = queries.select("*", zero, _block(query_blocks).alias("qb"), _every(corpus_blocks).alias("cb"))
-    return _meet(left, right, k, width, exclude_self)
-
-
 def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
@@ -340,12 +294,12 @@ def cell_topk(
     if sample.num_rows == 0:
         schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
         return _merge(spark.createDataFrame([], schema), k)
-    pivots = spark.sparkContext.broadcast(_matrix(sample.to_batches()[0], None))
+    pivots = spark.sparkContext.broadcast(_matrix(sample.to_batches()[0]))
     n_cells = sample.num_rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = _angles(_matrix(batch, None), pivots.value)
+            angles = _angles(_matrix(batch), pivots.value)
             nearest = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -376,7 +330,7 @@ def cell_topk(
             for batch in batches:
                 for start in range(0, batch.num_rows, step):
                     rows = batch.slice(start, step)
-                    angles = _angles(_matrix(rows, None), pivots.value)
+                    angles = _angles(_matrix(rows), pivots.value)
                     bound = rows.column("bound").to_numpy(zero_copy_only=False) if far else None
                     at, cell = np.nonzero(_cells_to_search(angles, radius, size, k, bound))
                     yield pa.RecordBatch.from_arrays(
@@ -409,7 +363,7 @@ def cell_topk(
         right = probes.join(plan, "cell").select(
             "id", "vec", "cell", _block(F.col("qbs")).alias("qb"), _every(F.col("cbs")).alias("cb")
         )
-        return _meet(left, right, k, None, exclude_self)
+        return _meet(left, right, k, exclude_self)
 
     vectors = queries.select("id", "vec")
     near = stage(_merge(search(vectors.mapInArrow(probe(False), probed)), k).drop("rank"))
