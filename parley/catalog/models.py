@@ -28,6 +28,20 @@ def k_sweep(spark, folder):
     return clusters.sweep(_vectors(spark, folder), "vec_id")
 
 
+def k_sweep_facts(spark, folder):
+    """What holds for the best fit of every k: all rows placed, no cell empty, cost about the means."""
+    points = clusters.features(_vectors(spark, folder)).select("vec_id", "embedding", "features")
+    points = points.persist()
+    rows = []
+    for k, model in clusters.fit_many(points, range(3, 8), n_init=3).items():
+        placed = clusters.assign(points, model)
+        sizes = placed.groupBy("cluster").count().agg(F.sum("count").alias("n"), F.count("*").alias("cells")).first()
+        cost = clusters.inertia(placed, "cluster").first()["inertia"]
+        rows.append((k, sizes["n"], sizes["cells"], abs(cost - model.cost) < 1e-3 * model.cost))
+    points.unpersist()
+    return spark.createDataFrame(rows, "k bigint, n bigint, cells bigint, cost_agrees boolean")
+
+
 def silhouette_squared(spark, folder):
     found = clusters.squared_silhouette(_vectors(spark, folder), "label")
     return found.select(F.round("squared_silhouette", 6).alias("squared_silhouette"))
@@ -159,6 +173,7 @@ QUERIES = {
     for f in (
         kmeans_assign,
         k_sweep,
+        k_sweep_facts,
         stream_messages,
         stream_all_messages,
         kmeans_facts,
@@ -178,6 +193,8 @@ ORACLE = {
     ).replace(" AS context\nFROM known", " AS context, true AS told\nFROM known"),
     "stream_all_messages": vectors.ORACLE["topk_context"].replace(" AS context\nFROM cases", " AS context, true AS told\nFROM cases"),
     "kmeans_facts": "SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS costs_agree FROM embeddings",
+    "k_sweep_facts": "SELECT k, count(*) AS n, k AS cells, true AS cost_agrees "
+    "FROM embeddings, unnest(range(3, 8)) AS t(k) GROUP BY k",
     "pca_facts": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered, "
     "true AS share_agrees FROM embeddings",
     "probability_facts": "SELECT count(*) AS n, 0::BIGINT AS off_total, 0::BIGINT AS off_intent FROM embeddings",

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,50 +17,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import vectors as vx
+from parley.operators.kmeans import Fit, cell_of, fit_runs
 from parley.operators.sampling import exact_sample
 from parley.session import stage
 
 
 def features(df: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Add the unit vector as an ML vector column ``features``."""
-    return df.withColumn("features", array_to_vector(vx.unit(F.col(vec))))
+    """Add the unit vector as an ML vector column ``features``; a zero vector stays zero."""
+    raw = df.withColumn("_raw", array_to_vector(vx.as_doubles(F.col(vec))))
+    scaled = Normalizer(p=2.0, inputCol="_raw", outputCol="_unit").transform(raw)
+    return scaled.withColumn("features", F.col("_unit")).drop("_raw", "_unit")
 
 
 def fit_many(
-    df: DataFrame,
-    ks: Sequence[int],
-    seed: int = 42,
-    n_init: int = 10,
-    max_iter: int = 300,
-    parallelism: int = 10,
-) -> dict[int, KMeansModel]:
-    """Per k the best of ``n_init`` seeded fits by training cost.
-
-    The fits are independent jobs, so several run on the cluster at once.
-    """
-
-    def one(task: tuple[int, int]) -> KMeansModel:
-        k, start = task
-        return KMeans(
-            k=k, seed=start, maxIter=max_iter, featuresCol="features", solver="block"
-        ).fit(df)
-
-    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPool(min(parallelism, len(tasks))) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(one), tasks, chunksize=1)
-    best: dict[int, KMeansModel] = {}
-    for (k, _), model in zip(tasks, models):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
+    df: DataFrame, ks: Sequence[int], seed: int = 42, n_init: int = 10, max_iter: int = 300
+) -> dict[int, Fit]:
+    """Per k the best of ``n_init`` seeded runs by cost; all runs share every pass over the rows."""
+    runs = [(k, seed + i) for k in ks for i in range(n_init)]
+    best: dict[int, Fit] = {}
+    for found in fit_runs(df, runs, max_iter=max_iter):
+        if found.k not in best or found.cost < best[found.k].cost:
+            best[found.k] = found
     return best
 
 
-def fit_kmeans(df: DataFrame, k: int = 7, **options) -> KMeansModel:
+def fit_kmeans(df: DataFrame, k: int = 7, **options) -> Fit:
     return fit_many(df, [k], **options)[k]
 
 
-def assign(df: DataFrame, model: KMeansModel, column: str = "cluster") -> DataFrame:
-    return model.setPredictionCol(column).transform(df)
+def assign(df: DataFrame, model: Fit, column: str = "cluster") -> DataFrame:
+    return df.withColumn(column, cell_of("features", model))
 
 
 def cluster(df: DataFrame, vec: str = "embedding", k: int = 7, **options) -> DataFrame:
@@ -98,7 +82,7 @@ def sweep(
         labelled = labelled.withColumn(vec, vector_to_array("features"))
         for k, model in models.items():
             labelled = assign(labelled, model, f"k{k}")
-        costs = [(k, float(m.summary.trainingCost)) for k, m in models.items()]
+        costs = [(k, float(m.cost)) for k, m in models.items()]
         scores = {
             r["labeling"]: (r["silhouette"], r["n"])
             for r in silhouette(labelled, key, vec, [f"k{k}" for k in ks]).collect()
