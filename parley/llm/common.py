@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,45 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 * 1024 * 1024  # text that one yielded Arrow batch holds at most, but one row
 
 
+class Known(dict):
+    """Answers that are kept, of two generations of at most ``size`` each.
+
+    A full generation becomes the old one, and that one goes; what is asked for again moves on.
+    Answers to keys that ``keeps`` turns down are worked out each time.
+    """
+
+    def __init__(self, size: int, compute: Callable, keeps: Callable[[Hashable], bool] | None = None):
+        super().__init__()
+        self.size, self.compute, self.keeps, self.old = size, compute, keeps, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if self.keeps is not None and not self.keeps(key):
+                return value
+        self.learnt(key, value)
+        return value
+
+    def learnt(self, key, value) -> None:
+        """Keep an answer that was found elsewhere."""
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def worker_kept(name: str, make: Callable):
+    """What the Python worker keeps from task to task under a name, made at its first use.
+
+    Task functions travel with this package by value, so that its own globals end with a task.
+    """
+    shelf = vars(sys.modules.setdefault("_parley_kept", types.ModuleType("_parley_kept")))
+    if name not in shelf:
+        shelf[name] = make()
+    return shelf[name]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

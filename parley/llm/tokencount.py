@@ -12,7 +12,7 @@ A space that follows another character brings the transducer back to its start s
 piece holds one inside. A chunk of text is therefore a state map of three parts: the open head
 before its first such place, the count between the first and the last, and the open tail. Maps
 compose associatively, so chunks of one long text are read by different tasks and their maps
-are joined by a tree-shaped scan. A chunk without such a place is all open head, that is raw text;
+are joined by a tree-shaped scan. What a worker has compiled it keeps from task to task. A chunk without such a place is all open head, that is raw text;
 a run without spaces is therefore put together again and read by one task, however long it is.
 
 Rows: every input row gives one output row, repeated rows included. A null text counts as
@@ -28,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import map_rows, text_bytes
+from parley.llm.common import Known, map_rows, text_bytes, worker_kept
 
 CHUNK = 1 << 16  # characters of one chunk of a long text
-CACHED_SEGMENTS = 300_000  # segments whose counts a task remembers
+CACHED_SEGMENTS = 300_000  # segments whose counts a worker remembers, in two generations
 CACHED_SEGMENT = 64  # longest segment that is remembered
-CACHED_STATES = 400_000  # compiled transitions, and checked pairs, a task holds
+CACHED_STATES = 400_000  # states a worker holds, and transitions and checked pairs, in two generations
+STRETCH = 1 << 16  # characters after which a long segment looks at the number of states
 LETTER_BITS = 21
 SPACE = "▁"  # fixed value: the vocabulary's sign for a space
+LINE = "\n"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-_SHARED: dict[str, Transducer] = {}
 Map = tuple[str, int, str] | tuple[str, None, None]  # head, count, tail; no boundary: head only
 
 
@@ -68,22 +69,25 @@ class Transducer:
             for letter in piece:
                 node = node.setdefault(letter, {})
             node[""] = piece
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.growth = Known(len(self.scores) + 1, self._grown)
+        self.pairs = Known(CACHED_STATES, self._stand)
         self.forget()
-        self.known: dict[str, int] = {}
+        short = CACHED_SEGMENT.__ge__
+        self.known = Known(CACHED_SEGMENTS, self.run, lambda text: short(len(text)))
+        self.words = Known(CACHED_SEGMENTS, self._word, lambda text: short(len(text)))
+        # a line break is no piece, and nothing merges with its byte
+        self.breaks = LINE not in self.tree
 
     @classmethod
     def shared(cls, path: str) -> Transducer:
-        """One transducer for all groups of a task."""
-        if path not in _SHARED:
-            _SHARED[path] = cls(path)
-        return _SHARED[path]
+        """One transducer for all tasks of a worker."""
+        return worker_kept(f"transducer {path}", lambda: cls(path))
 
     def forget(self) -> None:
         """Drop the compiled states; state 0 is the start."""
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.steps: dict[int, int] = {}  # state and letter: next state and change, packed
+        self.steps = Known(CACHED_STATES, self._step)  # state and letter: next state and change, packed
         self.start = self._number(((self.tree, None, 0),))
 
     def _number(self, state: tuple) -> int:
@@ -124,15 +128,43 @@ class Transducer:
             offer(before[left])
         return [p for p in parts if p is not None]
 
-    def _fit(self, last: str | None, piece: str) -> bool:
-        if last is None:
+    def _grown(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """Scores of the merges that make a piece, in their order, and its outer parts before each."""
+        parts, scores, firsts, lasts = list(piece), [], [piece[0]], [piece[-1]]
+        while len(parts) > 1:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        return scores, firsts, lasts
+
+    def _stand(self, pair: tuple[str | None, str]) -> bool:
+        """Whether two pieces may stand side by side: no merge across the seam comes first.
+
+        Until one does, either piece grows as it does alone, so only its outer parts matter.
+        """
+        left, right = pair
+        if left is None:
             return True
-        fit = self.pairs.get((last, piece))
-        if fit is None:
-            if len(self.pairs) >= CACHED_STATES:
-                self.pairs.clear()
-            fit = self.pairs[last, piece] = self.merge(last + piece) == [last, piece]
-        return fit
+        (scores, _, lasts), (others, firsts, _) = self.growth[left], self.growth[right]
+        i, j, n, m, look = 0, 0, len(scores), len(others), self.scores.get
+        while True:
+            across = look(lasts[i] + firsts[j])
+            mine = scores[i] if i < n else None
+            other = others[j] if j < m else None
+            if across is not None and (mine is None or across > mine) and (other is None or across >= other):
+                return False
+            if mine is not None and (other is None or mine >= other):
+                i += 1
+            elif other is not None:
+                j += 1
+            else:
+                return True
 
     def _compile(self, state: int, letter: str) -> tuple[int, int]:
         """The transition of a state on a letter: next state, change of the count."""
@@ -146,7 +178,7 @@ class Transducer:
                 continue
             grown.append((node, before, fewer))
             piece = node.get("")
-            if change is None and piece is not None and self._fit(before, piece):
+            if change is None and piece is not None and self.pairs[before, piece]:
                 last, change = piece, 1 - fewer
         live = [
             (node, before, fewer + change)
@@ -155,32 +187,33 @@ class Transducer:
         ]
         return self._number((*live, (self.tree, last, 0))), change
 
+    def _step(self, packed: int) -> int:
+        state, letter = packed >> LETTER_BITS, packed & (1 << LETTER_BITS) - 1
+        after, change = self._compile(state, chr(letter))
+        return after << 8 | change + 128
+
     def run(self, text: str) -> int:
         """Tokens of a text read from the start state."""
         state, total = self.start, 0
-        for letter in map(ord, text):
-            step = self.steps.get(state << LETTER_BITS | letter)
-            if step is None:
-                if len(self.steps) >= CACHED_STATES:
-                    open_state = self.states[state]
-                    self.forget()
-                    state = self._number(open_state)
-                after, change = self._compile(state, chr(letter))
-                step = self.steps[state << LETTER_BITS | letter] = after << 8 | change + 128
-            state = step >> 8
-            total += (step & 255) - 128
+        for start in range(0, len(text), STRETCH):
+            if len(self.states) >= CACHED_STATES:
+                open_state = self.states[state]
+                self.forget()
+                state = self._number(open_state)
+            steps = self.steps
+            for letter in map(ord, text[start : start + STRETCH]):
+                step = steps[state << LETTER_BITS | letter]
+                state = step >> 8
+                total += (step & 255) - 128
         return total
 
     def segment(self, text: str) -> int:
         """Tokens of a run of spaces with the characters up to the next space."""
-        count = self.known.get(text)
-        if count is None:
-            count = self.run(text)
-            if len(text) <= CACHED_SEGMENT:
-                if len(self.known) >= CACHED_SEGMENTS:
-                    self.known.clear()
-                self.known[text] = count
-        return count
+        return self.known[text]
+
+    def _word(self, word: str) -> int:
+        """Tokens of what lies between two spaces, with the first of them; none before a line break."""
+        return self.run(word if word.startswith(LINE) else SPACE + word)
 
     def chunk(self, text: str) -> Map:
         """The state map of a piece of spaced text; cut anywhere."""
@@ -227,7 +260,10 @@ class Transducer:
         """Tokens of a whole text."""
         if not text:
             return 0
-        return sum(map(self.segment, SEGMENT.findall(spaced(text))))
+        if text[0] == " " or text[0] == LINE or "  " in text or SPACE in text or not self.breaks:
+            return sum(map(self.known.__getitem__, SEGMENT.findall(spaced(text))))
+        # single spaces: words stand alone, and so do the starts of lines
+        return sum(map(self.words.__getitem__, text.replace(LINE, " " + LINE).split(" ")))
 
 
 def spaced(text: str) -> str:
@@ -237,7 +273,7 @@ def spaced(text: str) -> str:
 
 def _short(source: DataFrame, path: str, kind: str) -> DataFrame:
     def make():
-        counter = Transducer(path)
+        counter = Transducer.shared(path)
 
         def work(rows):
             for key, size, text in zip(rows["key"], rows["n_bytes"], rows["text"]):
@@ -262,7 +298,7 @@ def _long(source: DataFrame, path: str, kind: str, chunk: int) -> DataFrame:
         return work
 
     def make_maps():
-        counter = Transducer(path)
+        counter = Transducer.shared(path)
 
         def work(rows):
             *ids, parts = (rows[c] for c in ("key", "name", "n_bytes", "i", "part"))
