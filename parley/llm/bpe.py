@@ -2,8 +2,11 @@
 
 A word's part boundaries and the ranks of its adjacent pairs lie side by side in two short
 lists. The least rank is found by a scan, its boundary deleted, and the two neighbouring ranks
-are looked up again, until no pair has a rank. Words beyond ``SCAN_PARTS`` parts, where
-repeated scans would cost the square of the length, take the same merges from a heap.
+are looked up again, until no pair has a rank. The different short words of a batch that are not
+known yet are merged together: the rows of one table are the rank arrays of words of one length, and
+every round scans, deletes and looks up in all rows. Words beyond ``SCAN_PARTS`` parts, where
+repeated scans would cost the square of the length, take the same merges from a heap. A worker keeps
+the vocabulary and the ids of the words it met last from task to task.
 
 Rows: every input row gives one output row, repeated rows included. A null text counts as
 empty; a null id stays null. Columns other than id and text are ignored, whatever their names.
@@ -14,17 +17,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable
 from struct import pack
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.common import map_rows, text_bytes
+from parley.llm.common import Known, map_rows, text_bytes, worker_kept
 
 SCAN_PARTS = 256  # longest word, in bytes, that is merged by scans
-CACHED_WORDS = 400_000  # words whose ids a task remembers
+ROW_PARTS = 24  # longest word, in bytes, that is merged in a table
+CACHED_WORDS = 400_000  # words whose ids a worker remembers, in two generations
 CACHED_BYTES = 64  # longest word that is remembered
 #: The pattern that cuts text into words, as the vocabulary file's kind has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,7 +70,15 @@ class Codec:
             if self.added
             else None
         )
-        self.known: dict[str, bytes] = _Known(self.word)
+        self.known = Known(CACHED_WORDS, self.word, lambda word: len(word) <= CACHED_BYTES)
+        pairs = np.array(sorted(self.ranks), np.int64)
+        self.pairs = np.append(pairs, NEVER)
+        self.found = np.array([*(self.ranks[p] for p in pairs.tolist()), NEVER], np.int64)
+
+    @classmethod
+    def shared(cls, path: str) -> Codec:
+        """One codec for all tasks of a worker."""
+        return worker_kept(f"codec {path}", lambda: cls(path))
 
     def word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
@@ -89,6 +100,62 @@ class Codec:
                 ranks[at - 1] = look(ids[at - 1] << SHIFT | merged, NEVER)
         return ids
 
+    def _looked_up(self, pairs: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.found[at], NEVER)
+
+    def table(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of one length in bytes, merged row by row at once."""
+        size = len(words[0])
+        letters = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), size)
+        ids = np.array(self.first, np.int64)[letters]
+        ranks = self._looked_up(ids[:, :-1] << SHIFT | ids[:, 1:])
+        out = np.zeros((len(words), size), "<u4")
+        counts = np.full(len(words), size)
+        rows = np.arange(len(words))
+        while size > 1:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            done = best == NEVER
+            if done.any():
+                out[rows[done], :size] = ids[done]
+                counts[rows[done]] = size
+                live = ~done
+                rows, ids, ranks, at, best = rows[live], ids[live], ranks[live], at[live], best[live]
+            if not len(rows):
+                break
+            every = np.arange(len(rows))
+            ids[every, at] = best & BELOW
+            # the part after the merged one goes, and so does the rank of the merged pair
+            size -= 1
+            keep = np.arange(size)[None, :]
+            ids = np.take_along_axis(ids, keep + (keep > at[:, None]), 1)
+            if size > 1:
+                keep = keep[:, :-1]
+                ranks = np.take_along_axis(ranks, keep + (keep >= at[:, None]), 1)
+                for place, inside in ((at, at < size - 1), (at - 1, at > 0)):
+                    row, i = every[inside], place[inside]
+                    ranks[row, i] = self._looked_up(ids[row, i] << SHIFT | ids[row, i + 1])
+        else:
+            out[rows, :size] = ids
+            counts[rows] = size
+        return [row[: 4 * n] for row, n in zip(map(bytes, out), counts.tolist())]
+
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts; the ids of short ones are known from now on."""
+        parts = [self.words.findall(text) for text in texts]
+        known, old = self.known, self.known.old
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in set().union(*parts):
+            if word not in known and word not in old:
+                raw = word.encode("utf-8", "surrogatepass")
+                if 1 < len(raw) <= ROW_PARTS:
+                    by_size.setdefault(len(raw), []).append((word, raw))
+        for pairs in by_size.values():
+            for (word, _), ids in zip(pairs, self.table([raw for _, raw in pairs])):
+                known.learnt(word, ids)
+        return parts
+
     def _heap(self, ids: list[int]) -> list[int]:
         size = len(ids)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
@@ -116,18 +183,24 @@ class Codec:
                 offer(before[left])
         return [i for i in ids if i >= 0]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text; strings of added tokens in it become those tokens."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; strings of added tokens in them become those tokens."""
         look = self.known.__getitem__
-        if self.specials is None or not self.specials.search(text):
-            return b"".join(map(look, self.words.findall(text)))
-        parts = []
-        for piece in self.specials.split(text):
-            if piece in self.added:
-                parts.append(np.array([self.added[piece]], "<u4").tobytes())
-            elif piece:
-                parts.extend(map(look, self.words.findall(piece)))
-        return b"".join(parts)
+        if self.specials is None:
+            return [b"".join(map(look, words)) for words in self.learn(texts)]
+        split = [self.specials.split(text) for text in texts]
+        words = iter(self.learn([piece for pieces in split for piece in pieces if piece not in self.added]))
+        return [
+            b"".join(
+                pack("<I", self.added[piece]) if piece in self.added else b"".join(map(look, next(words)))
+                for piece in pieces
+            )
+            for pieces in split
+        ]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; broken UTF-8 becomes replacement characters."""
@@ -135,31 +208,15 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, numbers)).decode("utf-8", "replace")
 
 
-class _Known(dict):
-    """Remembers the short words; starts anew when full, so its memory is bounded."""
-
-    def __init__(self, compute: Callable[[str], bytes]):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.compute(word)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids array<int>``: the ids of every text."""
 
     def make():
-        codec = Codec(path)
+        codec = Codec.shared(path)
 
         def work(rows):
-            for key, text in zip(rows["key"], rows["text"]):
-                yield key, np.frombuffer(codec.encode(text), "<u4").tolist()
+            for key, ids in zip(rows["key"], codec.encode_all(rows["text"])):
+                yield key, np.frombuffer(ids, "<u4").tolist()
 
         return work
 
@@ -172,7 +229,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id, text``: the text of every row of ids; null ids give a null text."""
 
     def make():
-        codec = Codec(path)
+        codec = Codec.shared(path)
 
         def work(rows):
             for key, ids in zip(rows["key"], rows["ids"]):
@@ -194,11 +251,10 @@ def round_trip(
     """
 
     def make():
-        codec = Codec(path)
+        codec = Codec.shared(path)
 
         def work(rows):
-            for key, text in zip(rows["key"], rows["text"]):
-                ids = codec.encode(text)
+            for key, ids in zip(rows["key"], codec.encode_all(rows["text"])):
                 back = codec.decode(ids).encode("utf-8", "surrogatepass")
                 yield (
                     key,
