@@ -10,7 +10,7 @@ from parley.catalog import sql
 from parley.functions import text as tx
 from parley.operators import evaluate, profile, quality, rules, sampling, tfidf, threads
 from parley.session import shared_dir
-from parley.sources import given, sinks, tables
+from parley.sources import arrays, given, positions, ranges, sinks, tables
 from parley.sources.given import table
 
 
@@ -113,6 +113,26 @@ def csv_round_trip(spark, folder):
     return tables.read_csv(spark, path, turns.schema)
 
 
+def csv_ranges(spark, folder):
+    """The same file read by byte ranges, whose quote states a prefix sum gives."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    path = f"{shared_dir(spark)}/csv_{uuid.uuid4().hex}"
+    sinks.write_csv(turns, path, bom=True)
+    return ranges.read_csv(spark, path, turns.schema)
+
+
+def array_positions(spark, folder):
+    """Vectors written as array files in the order of their ids, and set beside the ids by position."""
+    vectors = table(spark, folder, "embeddings")
+    path = f"{shared_dir(spark)}/arrays_{uuid.uuid4().hex}"
+    arrays.write_arrays(vectors, "vec_id", "embedding", path, file_rows=1000)
+    ids = positions.numbered(vectors.select("vec_id"), "vec_id")
+    rows = positions.beside(ids, arrays.read_arrays(spark, path))
+    return rows.select("vec_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
+        "value", F.round("value", 4)
+    )
+
+
 def failures_fallback(spark, folder):
     """Nothing is graded wrong, so the rows with the lowest grades stand in."""
     good = table(spark, folder, "labels").where("quality = 1").select(
@@ -209,6 +229,8 @@ QUERIES = {
         top_sources,
         crosstab_margins,
         csv_round_trip,
+        csv_ranges,
+        array_positions,
         failures_fallback,
         stop_words,
         crosstab_with_nulls,
@@ -320,6 +342,9 @@ FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""",
     "count_by_two": f"WITH {sql.MESSAGES} SELECT cluster, intent_label, count(*) AS n "
     "FROM messages WHERE cluster IS NOT NULL AND intent_label IS NOT NULL GROUP BY ALL",
     "csv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
+    "csv_ranges": "SELECT conv_id, turn, role, text FROM conversations",
+    "array_positions": "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, "
+    "round(unnest(embedding)::DOUBLE, 4) AS value FROM embeddings",
     "failures_fallback": "SELECT doc_id, 'fully_correct' AS accuracy, 'correct_escalation' AS escalation "
     "FROM labels WHERE quality = 1 ORDER BY doc_id LIMIT 5",
     "stop_words": f"""

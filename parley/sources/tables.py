@@ -12,8 +12,8 @@ from parley import schemas
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Quoted, possibly multi-line CSV. Columns are matched to the header by position.
 
-    A multi-line file cannot be split, so stage large inputs with :func:`stage_parquet`
-    once and let later jobs read that.
+    Here one task reads a whole file; :func:`parley.sources.ranges.read_csv` reads a large one by
+    many tasks.
     """
     return (
         spark.read.schema(schema)
@@ -50,7 +50,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Vectors are matched to rows by key, never by position."""
+    """Vectors matched to rows by key; :func:`parley.sources.positions.beside` matches by position."""
     return rows.join(vectors, key)
 
 
