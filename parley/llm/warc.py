@@ -10,10 +10,14 @@ metadata records name the response they belong to (``WARC-Concurrent-To``), dire
 one record between, or are named by it; the transaction is put together by joins on these
 identifiers, with headers only, and one nested row per capture comes out.
 
-Rows: every page row with an id gives one capture. A null payload counts as empty, a null URL
-as an empty target. Rows whose id is null cannot be named in an archive and are left out. Rows that
-repeat an id are one capture, that with the greatest payload digest and URL. Equal
-payloads are told by SHA-1 and length. Columns other than id, url and payload are ignored.
+Rows: every page row gives one capture, rows without an id and rows that repeat an id too. Records are
+named by id, URL, payload digest and, among equal rows, a number; the id itself, null included, stands in the
+metadata. A null payload counts as empty, a null URL as an empty target. Of equal payloads the row with the
+largest id is the response (a null id is the least; of equal ids the greatest URL). Equal payloads are told by
+SHA-1 and length. Columns other than id, url and payload are ignored. An empty table gives an empty result.
+
+Files are bounded by bytes, since one task reads a file: rows are written by classes of payload size, of the large
+ones few to a file.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from parley.llm.common import map_rows
 from parley.session import shared_dir, stage
 
 LINE = "\r\n"
-FILE_CAPTURES = 2000  # captures of one archive file at most
+FILE_BYTES = 1 << 26  # payload bytes of one archive file at most, but for a single page
+SMALL = 1 << 15  # payload bytes of the first class of pages; each further class has four times more
 DATE = "2024-01-01T00:00:00Z"  # records get one date, so that archives are reproducible
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPREAD = 16  # parts into which the rows of one payload are dealt
@@ -54,24 +59,44 @@ def record(headers: dict[str, str], block: str) -> str:
 
 
 def originals(slim: DataFrame, min_bytes: int) -> DataFrame:
-    """Which captures revisit another: ``key, original``, the largest key of equal payloads."""
+    """Which captures revisit another: ``name, original``, the largest key of equal payloads."""
+    order = F.struct("key", "url", (-F.col("copy")).alias("turn"), "name")
     repeated = (
         slim.where(F.col("size") >= min_bytes)
         .groupBy("sha", "size")
-        .agg(F.max("key").alias("original"), F.count("*").alias("n"))
+        .agg(F.max(order).alias("top"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .select("sha", "size", F.col("top.name").alias("original"))
     )
     # rows of one payload meet it in several parts, so none gathers them all
     dealt = repeated.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    parted = slim.withColumn("part", F.pmod(F.hash("key"), F.lit(SPREAD)))
+    parted = slim.withColumn("part", F.pmod(F.hash("name"), F.lit(SPREAD)))
     return (
         parted.join(dealt, ["sha", "size", "part"])
-        .where("key <> original")
-        .select("key", "original")
+        .where("name <> original")
+        .select("name", "original")
     )
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with ``name``, different for all rows that differ in key, URL, digest or copy."""
+    key = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit(""))
+    return rows.withColumn("name", F.sha1(F.to_json(F.struct(key.alias("k"), "url", "sha", "copy"))))
+
+
+def _copies(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Equal rows told apart by ``copy``: one of them is kept and repeated with its numbers."""
+    met = rows.alias("r").join(
+        repeated.alias("m"),
+        F.expr("r.key <=> m.key and r.url = m.url and r.sha = m.sha and r.size = m.size"),
+        "left",
+    ).select("r.*", "m.n")
+    once = met.where("n is null").drop("n").withColumn("copy", F.lit(0))
+    many = met.where("n is not null").dropDuplicates(["key", "url", "sha", "size"])
+    every = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy")
+    return once.unionByName(many.select(*rows.columns, every))
+
+
 def write(
     pages: DataFrame,
     path: str,
@@ -85,53 +110,51 @@ def write(
         pages[id_col].alias("key"),
         F.coalesce(pages[url_col], F.lit("")).alias("url"),
         F.coalesce(pages[payload_col], F.lit("")).alias("payload"),
-    ).where("key is not null")
-    prints = source.select("key", "url", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size"))
-    slim = stage(
-        prints.groupBy("key").agg(
-            F.max(F.struct("sha", "url", "size")).alias("best"), F.count("*").alias("n")
-        ).select("key", "best.*", "n")
     )
-    repeated = slim.where("n > 1").select("key", F.struct("sha", "url").alias("best"))
-    if not repeated.isEmpty():
-        own = F.struct(F.sha1("payload").alias("sha"), "url")
-        source = (
-            source.join(stage(repeated), "key", "left")
-            .where(F.col("best").isNull() | (own == F.col("best")))
-            .dropDuplicates(["key"])
-        )
+    source = source.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
+    facts = source.groupBy("key", "url", "sha", "size").agg(F.count("*").alias("n"))
+    facts = stage(facts)
+    every = F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy")
+    slim = stage(_named(facts.select("key", "url", "sha", "size", every)))
+    repeated = facts.where("n > 1")
+    source = source.withColumn("copy", F.lit(0)) if repeated.isEmpty() else _copies(source, repeated)
     revisits = stage(originals(slim, min_bytes))
-    captures = source.select("key", "url", "payload").join(revisits, "key", "left")
+    captures = _named(source).select("key", "url", "payload", "size", "name").join(revisits, "name", "left")
 
     def make():
         def work(rows):
-            for key, url, payload, original in zip(
-                *(rows[c] for c in ("key", "url", "payload", "original"))
+            for name, key, url, payload, original in zip(
+                *(rows[c] for c in ("name", "key", "url", "payload", "original"))
             ):
-                yield from ((r,) for r in capture(key, url, payload, original))
+                yield from ((r,) for r in capture(name, key, url, payload, original))
 
         return work
 
-    (
-        map_rows(captures, "value string", make)
-        .write.option("lineSep", LINE)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", 3 * FILE_CAPTURES)
-        .text(path)
-    )
+    # class c holds payloads below SMALL * 4 ** c bytes; a size needs a handful of classes
+    bits = F.greatest(F.ceil(F.log2((F.col("size") + 1) / SMALL) / 2), F.lit(0)).cast("int")
+    classes = [row["c"] for row in slim.select(bits.alias("c")).distinct().collect()]
+    for c in sorted(classes) or [0]:
+        most = max(1, FILE_BYTES // (SMALL << 2 * c))
+        (
+            map_rows(captures.where(bits == c).drop("size"), "value string", make)
+            .write.option("lineSep", LINE)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", 3 * most)
+            .text(f"{path}/class-{c}")
+        )
 
 
-def capture(key: object, url: str, payload: str, original: object) -> Iterator[str]:
-    """The three records of one capture."""
+def capture(name: str, key: object, url: str, payload: str, original: str | None) -> Iterator[str]:
+    """The three records of one capture, named after it; ``original`` names the one it revisits."""
     raw = payload.encode("utf-8", "surrogatepass")
     shared = {"WARC-Date": DATE, "WARC-Target-URI": url}
-    name = identifier("response", key)
+    own = identifier("response", name)
     host, _, rest = url.partition("://")[2].partition("/")
     yield record(
         {
             "WARC-Type": "request",
-            "WARC-Record-ID": identifier("request", key),
-            "WARC-Concurrent-To": name,
+            "WARC-Record-ID": identifier("request", name),
+            "WARC-Concurrent-To": own,
             **shared,
             "Content-Type": "application/http;msgtype=request",
         },
@@ -142,7 +165,7 @@ def capture(key: object, url: str, payload: str, original: object) -> Iterator[s
     )
     headers = {
         "WARC-Type": "response" if original is None else "revisit",
-        "WARC-Record-ID": name,
+        "WARC-Record-ID": own,
         **shared,
         "WARC-Payload-Digest": "sha1:" + digest(raw),
         "Content-Type": "application/http;msgtype=response",
@@ -156,12 +179,12 @@ def capture(key: object, url: str, payload: str, original: object) -> Iterator[s
     yield record(
         {
             "WARC-Type": "metadata",
-            "WARC-Record-ID": identifier("metadata", key),
-            "WARC-Concurrent-To": identifier("request", key),
+            "WARC-Record-ID": identifier("metadata", name),
+            "WARC-Concurrent-To": identifier("request", name),
             **shared,
             "Content-Type": "application/warc-fields",
         },
-        f"page-id: {quote_plus(str(key))}{LINE}",
+        f"page-id: {quote_plus(str(key))}{LINE}" if key is not None else f"page-id-missing: true{LINE}",
     )
 
 
@@ -208,7 +231,7 @@ def http_payload(block: bytes) -> tuple[bytes, bytes]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; the block of responses only as size and digest of the payload."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
 
     def make():
         def work(rows):
@@ -290,7 +313,9 @@ def resolve(captures: DataFrame) -> DataFrame:
             "refers_to": F.col("response.refers_to"),
         }
     )
-    page = F.url_decode(F.regexp_extract("metadata.head", r"(?m)^page-id: (.*?)\r?$", 1))
+    line = r"(?m)^page-id: (.*?)\r?$"
+    told = F.regexp_like("metadata.head", F.lit(line))
+    page = F.when(told, F.url_decode(F.regexp_extract("metadata.head", line, 1)))
     own = own.withColumn("page", page)
     seen = own.where("refers_to is not null").select(F.col("refers_to").alias("capture_id"))
     targets = own.join(seen.distinct(), "capture_id", "left_semi").select(

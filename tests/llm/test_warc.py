@@ -67,10 +67,37 @@ def test_transactions_are_whole(spark):
 
 
 def test_null_and_repeated_ids(spark):
-    rows = [*PAGES, (None, "http://n/", "x"), (1, "http://a.example/x", "<p>one</p>"), (4, "http://z/", "")]
+    """A record and a row for every page row; the largest id, then the greatest URL, is the response."""
+    rows = [
+        *PAGES, (None, "http://n/", "x"), (None, "http://n/", "x"), (None, "http://m/", "<p>one</p>"), (None, None, None),
+        (3, "http://a.example/x", "<p>one</p>"), (4, "http://z/", ""), (20, "u", "twice"), (20, "u", "twice"), (20, "u", "other"),
+    ]
     got = warc.captures(frame(spark, rows)).select(*COLUMNS, "url").collect()
-    assert sorted(tuple(r)[:5] for r in got) == wanted(PAGES)
-    assert {r.url for r in got if r.page_id == 4} == {"http://z/"}
+    assert len(got) == len(rows)
+    assert sorted((str(r.page_id), r.payload_digest) for r in got) == sorted((str(i), sha(h or "")) for i, _, h in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.payload_digest, []).append(r)
+    for digest, own in by.items():
+        ids = [r.page_id for r in own if r.page_id is not None]
+        (answer,) = [r for r in own if r.record_type == "response"]
+        assert answer.page_id == max(ids, default=None) and answer.refers_to is None
+        assert all(r.record_type == "revisit" and r.refers_to == answer.page_id for r in own if r is not answer)
+    assert [r.url for r in by[sha("<p>one</p>")] if r.record_type == "response"] == ["http://b.example/"]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    rows = [(i, "u", chr(97 + i % 26) * (i * 37 % 900)) for i in range(150)] + [(1000 + i, "u", str(i) * 9000) for i in range(10)]
+    place = str(tmp_path / "out")
+    warc.write(frame(spark, rows).coalesce(1), place)
+    sizes = [len(warc.unpacked(p.read_bytes())) for p in (tmp_path / "out").rglob("*.gz")]
+    assert len(sizes) > 8 and max(sizes) < 40_000 + 150 * 1200
+    big = [s for s in sizes if s > 30_000]
+    assert all(s < 90_000 for s in big)
+    answers = warc.read(spark, place).where("record_type in ('response', 'revisit')")
+    assert answers.count() == 160
 
 
 def test_no_pages(spark):
