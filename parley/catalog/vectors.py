@@ -77,6 +77,12 @@ def silhouette_exact(spark, folder):
     return clusters.silhouette(_vectors(spark, folder), "vec_id", "embedding", ["label"])
 
 
+def silhouette_estimate(spark, folder):
+    """The estimate on at most 1,000 rows per label, which sample every label of these tables whole."""
+    found = clusters.silhouette_estimate(_vectors(spark, folder), "vec_id", "embedding", "label")
+    return found.select("labeling", "n", "silhouette", (F.col("low") == F.col("high")).alias("no_margin"))
+
+
 def class_weights(spark, folder):
     found = classify.class_weights(_vectors(spark, folder), "label")
     return found.withColumn("weight", F.round("weight", 6))
@@ -163,6 +169,7 @@ QUERIES = {
         inertia,
         representatives,
         silhouette_exact,
+        silhouette_estimate,
         class_weights,
         reply_corpus,
         retrieved_cases,
@@ -252,3 +259,4 @@ SELECT c.conversation_id,
 FROM cases c LEFT JOIN hits h ON h.query_id = c.conversation_id AND h.rank = 1
      LEFT JOIN contexts x ON x.query_id = c.conversation_id""",
 }
+ORACLE["silhouette_estimate"] = f"SELECT *, true AS no_margin FROM ({ORACLE['silhouette_exact']})"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ from parley.operators.kmeans import Fit, cell_of, fit_runs
 from parley.operators.sampling import exact_sample
 from parley.session import stage
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+SCORE_CELLS = 4_000_000  # distances held at once by one task
+
 
 def features(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """Add the unit vector as an ML vector column ``features``; a zero vector stays zero."""
@@ -214,6 +217,86 @@ def silhouette(
     )
 
 
+def silhouette_estimate(
+    df: DataFrame,
+    key: str,
+    vec: str,
+    label: str,
+    per_label: int = 1000,
+    delta: float = 0.01,
+    seed: int = 42,
+) -> DataFrame:
+    """``(labeling, n, silhouette, low, high)`` in one pass: distances to sampled rows only.
+
+    Every row meets at most ``per_label`` rows of each label, drawn by a hash of key and seed, so the work grows
+    with the rows. Distances of unit vectors lie in [0, 2]; by the Hoeffding-Serfling bound all mean
+    distances of all rows lie within their margins at once but for a chance of ``delta``, and the exact
+    silhouette then lies between ``low`` and ``high``. Labels that are sampled whole have no margin. The
+    samples are broadcast; if they exceed ``BROADCAST_BYTES``, fewer rows per label are drawn.
+    """
+    rows = df.select(F.col(key).alias("id"), vx.unit(F.col(vec)).alias("vec"), F.col(label).cast("int").alias("own"))
+    rows = rows.where("own is not null and vec is not null")
+    facts = rows.groupBy("own").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"))
+    sizes = {r["own"]: (r["n"], r["width"]) for r in facts.toLocalIterator()}  # one row per label
+    schema = "labeling string, n bigint, silhouette double, low double, high double"
+    if not sizes:
+        return df.sparkSession.createDataFrame([], schema)
+    most = BROADCAST_BYTES // (8 * len(sizes) * max(width for _, width in sizes.values()))
+    if most < 2:
+        raise ValueError(f"{len(sizes)} labels are too many for samples of {BROADCAST_BYTES} bytes")
+    turn = F.row_number().over(W.partitionBy("own").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    drawn = rows.withColumn("turn", turn).where(F.col("turn") <= min(per_label, most)).drop("turn").toPandas()
+    names = np.array(sorted(sizes))
+    code = np.searchsorted(names, drawn["own"].to_numpy())
+    one_hot = np.zeros((len(drawn), len(names)))
+    one_hot[np.arange(len(drawn)), code] = 1.0
+    total = np.array([sizes[name][0] for name in names], float)
+    held, n = one_hot.sum(0), total.sum()
+    spread = np.log(2 * n * len(names) / delta) / (2 * held)
+    margin = 2 * np.sqrt(np.maximum(1 - (held - 1) / total, 0) * spread) * (held < total)
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.vstack(drawn["vec"].to_list()), pd.Index(drawn["id"]), names, one_hot, held, total, margin)
+    )
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, ids, names, one_hot, held, total, margin = shared.value
+        squares = (sample * sample).sum(1)[None, :]
+        for batch in batches:
+            step = max(1, SCORE_CELLS // len(sample))
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
+                x = np.vstack(part["vec"].to_list())
+                gaps = np.sqrt(np.maximum((x * x).sum(1)[:, None] + squares - 2 * (x @ sample.T), 0.0))
+                at = ids.get_indexer(part["id"])
+                gaps[np.flatnonzero(at >= 0), at[at >= 0]] = 0.0
+                sums, own = gaps @ one_hot, np.searchsorted(names, part["own"].to_numpy())
+                every = np.arange(len(part))
+                others = np.maximum(held[own] - (at >= 0), 1)
+                a, apart = sums[every, own] / others, margin[own]
+                means = sums / held
+                means[every, own] = np.inf
+
+                def value(a, b):
+                    a, b = np.maximum(a, 0.0), np.maximum(b, 0.0)
+                    top = np.maximum(a, b)
+                    return np.where(top > 0, (b - a) / np.where(top > 0, top, 1.0), 0.0)
+
+                alone = (total[own] == 1) | np.isinf(means).all(1)
+                found = {
+                    "silhouette": value(a, means.min(1, initial=2.0)),
+                    "low": value(a + apart, (means - margin).min(1, initial=2.0)),
+                    "high": value(a - apart, (means + margin).min(1, initial=2.0)),
+                }
+                yield pd.DataFrame({k: np.where(alone, 0.0, v) for k, v in found.items()})
+
+    values = rows.mapInPandas(scored, "silhouette double, low double, high double")
+    return values.agg(
+        F.lit(label).alias("labeling"),
+        F.count("*").alias("n"),
+        *[F.round(F.avg(c), 6).alias(c) for c in ("silhouette", "low", "high")],
+    )
+
+
 def squared_silhouette(df: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
     """Silhouette on squared distances: linear in the rows, a different number."""
     points = features(df, vec).withColumn("_label", F.col(label).cast("double"))

@@ -61,3 +61,29 @@ def test_few_and_equal_rows(spark):
     assert {r["cluster"] for r in clusters.assign(frame, fit).collect()} == {0}
     with pytest.raises(ValueError):
         kmeans.fit_runs(frame.limit(0), [(2, 1)])
+
+
+def test_silhouette_estimate_holds_the_exact_one(spark, cloud):
+    x, frame = cloud
+    rows = frame.selectExpr("id", "v", "CAST(id DIV 60 AS INT) AS l", "CAST(id % 3 AS INT) AS other")
+    for label in ("l", "other"):
+        exact = clusters.silhouette(rows, "id", "v", [label]).first()["silhouette"]
+        whole = clusters.silhouette_estimate(rows, "id", "v", label).first()
+        assert whole["n"] == 240 and whole["silhouette"] == pytest.approx(exact, abs=2e-6)
+        assert whole["low"] == whole["silhouette"] == whole["high"]
+        for seed in range(3):
+            part = clusters.silhouette_estimate(rows, "id", "v", label, per_label=40, seed=seed).first()
+            assert part["low"] <= exact <= part["high"] and part["low"] < part["high"]
+            assert part["silhouette"] == pytest.approx(exact, abs=0.1)
+
+
+def test_silhouette_estimate_of_few_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [1.0, 1.0], None)],
+        "id long, v array<double>, l int",
+    )
+    exact = clusters.silhouette(rows.where("id < 4"), "id", "v", ["l"]).first()["silhouette"]
+    assert clusters.silhouette_estimate(rows, "id", "v", "l").first()["silhouette"] == pytest.approx(exact)
+    assert clusters.silhouette_estimate(rows.limit(0), "id", "v", "l").count() == 0
+    one = clusters.silhouette_estimate(rows.where("l = 1 and id < 4"), "id", "v", "l").first()
+    assert one["silhouette"] == 0.0 == clusters.silhouette(rows.where("l = 1 and id < 4"), "id", "v", ["l"]).first()["silhouette"]
