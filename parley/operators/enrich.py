@@ -22,6 +22,9 @@ RAW_ANSWERS = T.StructType(
     ]
 )
 
+BROADCAST_KEYS = 500_000  # keys of requests that are sent to the answers
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def embed(
     df: DataFrame, text: str, make_model: Callable, out: str = "embedding", batch_size: int = 128
@@ -71,14 +74,35 @@ def embed_missing(
     return df.join(vectors, same, "left").drop("_key", "_print")
 
 
+def _few(asked: DataFrame, key: str) -> DataFrame:
+    """The keys, marked for a broadcast if both their number and their bytes are checked to be few."""
+    size = asked.limit(BROADCAST_KEYS + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes")
+    )
+    found = size.first()
+    if found["n"] <= BROADCAST_KEYS and found["bytes"] <= BROADCAST_BYTES:
+        return F.broadcast(asked)
+    return asked
+
+
+def answered(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The different keys of the requests that the table of answers holds.
+
+    For a small set of requests their keys go to the answers, which are read where they lie: the history
+    is not shuffled. A large set meets it by a shuffle.
+    """
+    asked = requests.select(key).distinct()
+    return known.select(key).join(_few(asked, key), key, "left_semi").distinct()
+
+
 def cached(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return requests.join(known.select(key), key, "left_semi")
+    return requests.join(answered(requests, known, key), key, "left_semi")
 
 
 def uncached(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Requests without an answer, one per key, so that no key is sent twice."""
     others = [c for c in requests.columns if c != key]
-    return keep_first(requests.join(known.select(key), key, "left_anti"), key, *others)
+    return keep_first(requests.join(answered(requests, known, key), key, "left_anti"), key, *others)
 
 
 def ask(requests: DataFrame, call: Callable[[dict], str]) -> DataFrame:
@@ -128,7 +152,7 @@ def answers(
         unread = F.col("error").isNull() & parse_answer(F.col("raw"), schema).isNull()
         fresh = fresh.withColumn("error", F.when(unread, "unreadable answer").otherwise(F.col("error")))
     append_keyed(fresh, path)
-    table = read_keyed(spark, path, RAW_ANSWERS).join(wanted, "key", "left_semi")
+    table = read_keyed(spark, path, RAW_ANSWERS).join(_few(wanted, "key"), "key", "left_semi")
     return keep_first(table, "key", F.col("error").isNotNull(), "raw")
 
 

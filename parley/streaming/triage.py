@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from parley.functions import text as tx
 from parley.operators import rules
+from parley.operators.enrich import answers
 from parley.operators.systems import keyword_decision
 
 
@@ -80,3 +81,27 @@ def write_batches(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def answer_batches(
+    messages: DataFrame,
+    sink: str,
+    checkpoint: str,
+    store: str,
+    call: Callable[[dict], str],
+    key: str,
+    text: str,
+    schema: StructType | None = None,
+) -> StreamingQuery:
+    """Answers of a user's model to incoming messages, batch by batch: ``key, raw, error``.
+
+    A batch writes its answers to the keyed table ``store`` before it writes its rows and commits, so a
+    batch that fails in between and runs again finds them there, and no message is sent twice. A message that
+    comes again, in the same batch or a later one, has its first answer.
+    """
+
+    def answer(batch: DataFrame) -> DataFrame:
+        requests = batch.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+        return answers(requests.where("key is not null"), store, call, schema=schema)
+
+    return write_batches(messages, sink, checkpoint, answer)
