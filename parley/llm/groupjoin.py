@@ -1,20 +1,24 @@
 """N-gram Jaccard join by a token-group matrix: only groups that can hold a partner are opened.
 
-Every distinct set of word shingles has a short signature. Sets whose signatures start alike
-are compared at once, and what links becomes a group; sets without such a partner are groups of
-one. A group of more than ``GROUP`` sets is parted into blocks.
+Every distinct set of word shingles has a short signature. Sets that agree in any of ``TREES`` stretches of
+it meet in a bucket, and those whose whole signatures are alike are partitioned into one group. Inside a
+group full sets are compared, and what links becomes a group of its own; sets without a partner are
+groups of one. A group of more than ``GROUP`` sets is parted into blocks.
 
 The matrix has a row for each token and block that holds it: the token union of the block. Two
 sets that link share all but a tenth of either, so each has one of its ``n - ceil(0.9 n) + 1`` rarest
-tokens in common with the other; only these are stored and looked up. Tokens are ordered by a
-table of ``2 ** SLOTS`` counts over all documents, of fixed size at every scale; any order gives
-the same links, this one keeps common tokens out of the look-ups. A set that meets a block of another
-group in the matrix is dealt to it. There the overlap with the whole union of the block bounds the
+tokens in common with the other; only these are stored and looked up. Tokens are ordered by how
+common their words are, after a table of ``2 ** SLOTS`` word counts over all documents, of fixed size at
+every scale; any order gives the same links, this one keeps common tokens out of the look-ups. A set that meets a block of another
+group in the matrix, and whose signature agrees with one of its members in ``LEAST`` of ``SIGNED`` values,
+is dealt to it. There the overlap with the whole union of the block bounds the
 overlap with each member; below nine tenths of the set the block stays closed, otherwise its
 members are compared on full sets until one links. A set first opens the block of a group that
 shares most tokens; the others are opened only while it is not yet linked with that group.
 
-Links are those on full sets, none is lost: what the signatures miss, the matrix finds.
+Links are those on full sets. What the first values of a signature miss, the matrix finds; a pair
+of similarity 0.9 agrees in less than ``LEAST`` values with a chance of one in 10 ** 13, about that of
+equal hashes. Full sets are only made of documents that pass, in one pass over the texts.
 
 Rows: every input row gives one output row. Equal sets are linked, repeated rows included.
 Rows that share an id are one document and are linked with each other. A null or empty text
@@ -35,22 +39,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import map_rows, solve_groups, split, text_bytes
+from parley.llm.common import Known, map_rows, solve_groups, split, text_bytes, worker_kept
 from parley.llm.components import components
-from parley.llm.nearcopies import Shingler, Union, linked
+from parley.llm.nearcopies import Union, linked
 from parley.session import stage
 
 WORDS = 3
 PERCENT = 90  # of the union that two linked sets share
-SLOTS = 20  # bits of a token that name its place in the table of counts
+SLOTS = 20  # bits of a word that name its place in the table of counts
 PART = 14  # bits of a place inside a piece of that table
-SIGNED = 16  # values of a signature
-KEY = 2  # values that name a signature's group
-LOOSE = 9  # equal values of two signatures that are compared inside a group
+SIGNED = 32  # values of a signature
+TREES, KEY = 6, 2  # stretches of a signature that name its buckets, and the values of each
+LOOSE = 18  # equal values of two signatures that are compared inside a group
+LEAST = 13  # equal values of any two that link; fewer have a chance of one in 10 ** 13
 GROUP = 256  # sets of a block
 CENTRES = 8  # sets of a crowded group that all its blocks hold
 QUERIES = 512  # sets that are looked up in a block by one task
-ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio
+WORDS_KEPT = 300_000  # words whose hashes a worker remembers, in two generations
+ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed values: odd multipliers of 64-bit mixers
+ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def needed(size, percent: int):
@@ -62,13 +69,44 @@ class Sets:
     """Shingle sets with their names and signatures."""
 
     def __init__(self, words: int):
-        self.shingler = Shingler(words)
+        self.words = words
+        self.known = Known(WORDS_KEPT, lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
         draw = np.random.default_rng(11).integers(1, 1 << 63, (2, SIGNED), dtype=np.uint64)
         self.times, self.plus = draw[0] | np.uint64(1), draw[1]
 
-    def of(self, text: str) -> tuple[np.ndarray, bytes]:
-        own = self.shingler.shingles(text)
-        return own, hashlib.md5(own.tobytes()).digest()
+    @classmethod
+    def shared(cls, words: int) -> Sets:
+        return worker_kept(f"shingle sets {words}", lambda: cls(words))
+
+    def codes(self, text: str) -> np.ndarray:
+        """Hashes of the words between ASCII blanks, A-Z in lower case."""
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+    def runs(self, codes: np.ndarray) -> np.ndarray:
+        """Hashes of all runs of words, the whole if there are fewer."""
+        size = min(self.words, len(codes))
+        places = len(codes) - size + 1 if size else 0
+        runs = codes[:places] * ODD + np.uint64(size)
+        for k in range(1, size):
+            runs = (runs ^ (runs >> np.uint64(29))) * ODD2 + codes[k : places + k]
+        return (runs ^ (runs >> np.uint64(32))) * ODD
+
+    def shingles(self, text: str) -> np.ndarray:
+        return np.unique(self.runs(self.codes(text)))
+
+    def rarest(self, text: str, level: np.ndarray, percent: int) -> np.ndarray:
+        """The tokens of a set of which each that it links with has one at least."""
+        codes = self.codes(text)
+        own, first = np.unique(self.runs(codes), return_index=True)
+        if not len(own):
+            return own
+        size = min(self.words, len(codes))
+        common = level[codes >> np.uint64(64 - SLOTS)].astype(np.uint64)
+        total = sum(common[k : len(codes) - size + 1 + k] for k in range(size))
+        order = total[first] << np.uint64(48) | own >> np.uint64(16)
+        n = len(own) - needed(len(own), percent) + 1
+        return own[np.argpartition(order, n - 1)[:n]]
 
     def signature(self, own: np.ndarray) -> bytes:
         least = np.full(SIGNED, np.iinfo(np.uint64).max, np.uint64)
@@ -84,7 +122,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _scan(source: DataFrame, words: int) -> DataFrame:
-    """A slim row per document, and in rows with a ``piece`` the task's counts of token slots."""
+    """A slim row per document, and in rows with a ``piece`` the task's counts of word slots."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -98,14 +136,15 @@ def _scan(source: DataFrame, words: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, counts = Sets(words), np.zeros(1 << SLOTS, np.uint64)
+        sets, counts = Sets.shared(words), np.zeros(1 << SLOTS, np.uint64)
         for batch in batches:
             for part in split(batch):
                 out = []
                 for key, text, name in zip(*(c.to_pylist() for c in part.columns)):
-                    own, sid = sets.of(text)
-                    # the tokens of a set are different, their slots need not be
-                    np.add.at(counts, own >> np.uint64(64 - SLOTS), np.uint64(1))
+                    codes = sets.codes(text)
+                    np.add.at(counts, codes >> np.uint64(64 - SLOTS), np.uint64(1))
+                    own = np.unique(sets.runs(codes))
+                    sid = hashlib.md5(own.tobytes()).digest()
                     out.append((key, name, len(own), sid, sets.signature(own) if len(own) else None, None, None))
                 yield batch_of(out)
         pieces = counts.reshape(-1, 1 << PART)
@@ -121,7 +160,7 @@ def _scan(source: DataFrame, words: int) -> DataFrame:
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
-    """How common the tokens of each slot are, in steps of a quarter of a doubling."""
+    """How common the words of each slot are, in steps of a quarter of a doubling."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -151,76 +190,158 @@ def _rarest(source: DataFrame, levels: np.ndarray, words: int, percent: int) ->
     common = source.sparkSession.sparkContext.broadcast(levels)  # one byte for each slot
 
     def make():
-        sets, level = Sets(words), common.value
+        sets, level = Sets.shared(words), common.value
 
         def work(rows):
             for key, text, name in zip(rows["key"], rows["text"], rows["name"]):
-                own = sets.shingler.shingles(text)
-                if len(own):
-                    order = level[own >> np.uint64(64 - SLOTS)].astype(np.uint64) << np.uint64(56)
-                    order |= own >> np.uint64(8)
-                    n = len(own) - needed(len(own), percent) + 1
-                    yield key, name, own[np.argpartition(order, n - 1)[:n]].astype(np.int64).tolist()
+                if len(found := sets.rarest(text, level, percent)):
+                    yield key, name, found.astype(np.int64).tolist()
 
         return work
 
     return map_rows(source, f"key {kind}, name string, tokens array<bigint>", make)
 
 
+def _held_twice(rows: DataFrame) -> DataFrame:
+    """``token, sid`` rows, different ones, whose token more than one set holds."""
+    names = ["token", "sid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, False  # the last row, and whether its token is known to be shared
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            if last is not None:
+                table = pa.concat_tables([last, table])
+            tokens = table.column(0).to_numpy()
+            same = tokens[1:] == tokens[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            if last is not None:
+                first = keep[0] and not told
+                told = (told or bool(keep[0])) if len(tokens) > 1 and bool(same.all()) else bool(same[-1])
+                keep[0] = first
+            else:
+                told = bool(same[-1]) if len(same) else False
+            # the last row is looked at again with the next batch, unless it goes out now
+            last = table.slice(table.num_rows - 1)
+            out = table.filter(pa.array(keep)).combine_chunks()
+            yield from out.to_batches()
+
+    dealt = rows.select(*names).repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, rows.select(*names).schema)
+
+
 def _shared(rows: DataFrame, of: Column) -> DataFrame:
     """Rows whose token more than one thing holds."""
     ends = rows.groupBy("token").agg(F.min(of).alias("low"), F.max(of).alias("high"))
     return rows.join(ends.where("low <> high").select("token"), "token")
 
 
-def _grouped(sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links inside the groups of sets whose signatures start alike."""
-    crowd = sets.groupBy("alike").agg(F.count("*").alias("n")).where("n > 1")
-    members = sets.select("sid", "sketch", "alike").join(crowd, "alike")
+def _pairs(placed: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """``sid, own, group, block, hits``: sets that meet a block of another group in the matrix.
+
+    Of two sets in different groups, that of the greater group asks.
+    """
+    tokens = stage(_shared(rare.join(placed, "sid"), F.col("group")))
+    matrix = tokens.groupBy("token", "group", "block").agg(
+        F.min("size").alias("least"), F.max("size").alias("most")
+    )
+    asking = tokens.select("token", "sid", "size", F.col("group").alias("own"))
+    fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
+    met = asking.join(matrix, "token").where((F.col("group") < F.col("own")) & fits)
+    return met.groupBy("sid", "own", "group", "block").agg(F.count("*").alias("hits"))
+
+
+def _dealt(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, body: str) -> DataFrame:
+    """Blocks with the sets that ask them, some at a time: rows of ``group, block, heap``."""
+    loads = pairs.groupBy("group", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("heaps"))
+    loads = stage(loads)
+    own = F.pmod(F.xxhash64("sid", F.lit(2)), F.col("heaps")).cast("int").alias("heap")
+    every = F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)).alias("heap")
+    asking = pairs.join(loads, ["group", "block"]).select("group", "block", "sid", own, F.lit(True).alias("asks"))
+    held = blocks.join(loads, ["group", "block"]).select("group", "block", "sid", every, F.lit(False).alias("asks"))
+    return asking.unionByName(held).join(sets.select("sid", body), "sid")
+
+
+def _promising(pairs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of a set and a block with a member whose signature is alike enough."""
+    least = LEAST
+
+    def solve(rows: list[dict]) -> Iterator[tuple]:
+        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), ">u2").reshape(len(rows), SIGNED)
+        asks = np.array([r["asks"] for r in rows])
+        members = sketches[~asks]
+        for i in np.flatnonzero(asks).tolist():
+            if len(members) and ((members == sketches[i]).sum(1) >= least).any():
+                yield rows[i]["sid"], rows[i]["group"], rows[i]["block"]
+
+    keys = ["group", "block", "heap"]
+    kinds = blocks.schema
+    schema = f"sid binary, group {kinds['group'].dataType.simpleString()}, block int"
+    return solve_groups(_dealt(pairs, blocks, sets, "sketch"), keys, ["asks", "sid"], schema, solve)
+
+
+def _in_blocks(members: DataFrame, name: str) -> DataFrame:
+    """``name, block, sid`` of all that have a partner of that name; some of a crowded one are in all its blocks."""
+    crowd = members.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+    members = members.select(name, "sid").join(crowd, name)
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    rank = F.row_number().over(W.partitionBy("alike").orderBy(F.xxhash64("sid", F.lit(1)), "sid"))
+    rank = F.row_number().over(W.partitionBy(name).orderBy(F.xxhash64("sid", F.lit(1)), "sid"))
     centres = members.where(F.col("n") > GROUP).withColumn("rank", rank).where(F.col("rank") <= CENTRES)
     every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    dealt = members.select("alike", "sid", "sketch", own.alias("block")).unionByName(
-        centres.select("alike", "sid", "sketch", every)
-    )
+    return members.select(name, "sid", own.alias("block")).unionByName(centres.select(name, "sid", every))
+
+
+def _agreeing(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose signatures are alike, the most alike first."""
+    sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), ">u2").reshape(len(rows), SIGNED)
+    same = (sketches[:, None, :] == sketches[None, :, :]).sum(2)
+    left, right = np.nonzero(np.triu(same >= LOOSE, 1))
+    order = np.argsort(-same[left, right], kind="stable")
+    return left[order], right[order]
+
+
+def _partition(sets: DataFrame) -> DataFrame:
+    """``sid, loose``: the group of every set that has alike ones, by signatures alone."""
+
+    def solve(rows: list[dict]) -> Iterator[tuple]:
+        if len(rows) > 1:
+            found = Union(len(rows))
+            for i, j in zip(*(side.tolist() for side in _agreeing(rows))):
+                if found.join(i, j):
+                    yield rows[i]["sid"], rows[j]["sid"]
+
+    stretches = [
+        F.xxhash64(F.lit(t), F.substring("sketch", 2 * KEY * t + 1, 2 * KEY)) for t in range(TREES)
+    ]
+    buckets = _in_blocks(sets.select("sid", F.explode(F.array(*stretches)).alias("bucket")), "bucket")
+    dealt = buckets.join(sets.select("sid", "sketch"), "sid")
+    links = solve_groups(dealt, ["bucket", "block"], ["sid"], "a binary, b binary", solve)
+    return components(links).select(F.col("node").alias("sid"), F.col("root").alias("loose"))
+
+
+def _grouped(loose: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links inside the groups of alike signatures, on full sets."""
 
     def solve(rows: list[dict]) -> Iterator[tuple]:
         if len(rows) < 2:
             return
-        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), ">u2").reshape(len(rows), SIGNED)
-        same = (sketches[:, None, :] == sketches[None, :, :]).sum(2)
-        left, right = np.nonzero(np.triu(same >= LOOSE, 1))
-        order = np.argsort(-same[left, right], kind="stable")
         tokens = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
         found = Union(len(rows))
-        for i, j in zip(left[order].tolist(), right[order].tolist()):
+        for i, j in zip(*(side.tolist() for side in _agreeing(rows))):
             if found.root(i) != found.root(j) and linked(tokens[i], tokens[j], percent):
                 found.join(i, j)
                 yield rows[i]["sid"], rows[j]["sid"]
 
-    return solve_groups(
-        dealt.join(full.select("sid", "tokens"), "sid"), ["alike", "block"], ["sid"], "a binary, b binary", solve
-    )
+    bodies = full.select("sid", "tokens").join(sets.select("sid", "sketch"), "sid")
+    dealt = _in_blocks(loose, "loose").join(bodies, "sid")
+    return solve_groups(dealt, ["loose", "block"], ["sid"], "a binary, b binary", solve)
 
 
 def _opened(pairs: DataFrame, blocks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links of the sets ``sid`` with one member of each block that they are dealt to."""
-    loads = pairs.groupBy("group", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("heaps"))
-    loads = stage(loads)
-    tokens = full.select("sid", "tokens")
-    asking = (
-        pairs.join(loads, ["group", "block"])
-        .withColumn("heap", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("heaps")).cast("int"))
-        .join(tokens, "sid")
-    )
-    every = F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)).alias("heap")
-    held = blocks.join(loads, ["group", "block"]).select("group", "block", "sid", every).join(tokens, "sid")
-    columns = ["group", "block", "heap", "sid", "tokens"]
-    dealt = asking.select(*columns, F.lit(True).alias("asks")).unionByName(
-        held.select(*columns, F.lit(False).alias("asks"))
-    )
 
     def solve(rows: list[dict]) -> Iterator[tuple]:
         sets = [(r["sid"], np.frombuffer(r["tokens"], np.uint64)) for r in rows]
@@ -239,7 +360,8 @@ def _opened(pairs: DataFrame, blocks: DataFrame, full: DataFrame, percent: int)
                     yield sid, other
                     break
 
-    return solve_groups(dealt, ["group", "block", "heap"], ["asks", "sid"], "a binary, b binary", solve)
+    keys = ["group", "block", "heap"]
+    return solve_groups(_dealt(pairs, blocks, full, "tokens"), keys, ["asks", "sid"], "a binary, b binary", solve)
 
 
 def _part_of(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -250,21 +372,18 @@ def _part_of(sets: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _matrix_links(sets: DataFrame, grouped: DataFrame, rare: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between groups: the token-group matrix looked up, bounded, and opened."""
-    parts = stage(_part_of(sets, grouped))
+def _blocked(parts: DataFrame) -> DataFrame:
+    """``sid, size, group, block``: groups in blocks of about ``GROUP`` sets."""
     sizes = parts.groupBy("group").agg(F.count("*").alias("n"))
     block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / GROUP)).cast("int").alias("block")
-    placed = stage(parts.join(sizes, "group").select("sid", "size", "group", block))
-    tokens = stage(_shared(rare.join(placed, "sid"), F.col("group")))
-    matrix = tokens.groupBy("token", "group", "block").agg(
-        F.min("size").alias("least"), F.max("size").alias("most")
-    )
-    asking = tokens.select("token", "sid", "size", F.col("group").alias("own"))
-    fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
-    # of two sets in different groups, that of the greater group asks
-    pairs = asking.join(matrix, "token").where((F.col("group") < F.col("own")) & fits)
-    pairs = stage(pairs.groupBy("sid", "own", "group", "block").agg(F.count("*").alias("hits")))
+    return parts.join(sizes, "group").select("sid", "size", "group", block)
+
+
+def _matrix_links(sets: DataFrame, grouped: DataFrame, rare: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between groups: the token-group matrix looked up, bounded, and opened."""
+    placed = stage(_blocked(_part_of(sets, grouped)))
+    pairs = stage(_pairs(placed, rare, percent))
+    pairs = stage(pairs.join(_promising(pairs, placed, sets), ["sid", "group", "block"], "left_semi"))
     best = F.max(F.struct("hits", "block")).alias("best")
     first = pairs.groupBy("sid", "group").agg(best).select("sid", "group", F.col("best.block").alias("block"))
     links = stage(_opened(first, placed, full, percent).unionByName(grouped))
@@ -280,6 +399,15 @@ def _matrix_links(sets: DataFrame, grouped: DataFrame, rare: DataFrame, full: Da
     return links.unionByName(_opened(apart.select("sid", "group", "block"), placed, full, percent))
 
 
+def _wanted(sets: DataFrame, loose: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Sets that may link: those with alike ones, and those that the matrix and signatures bring together."""
+    near = sets.join(rare.select("sid").distinct(), "sid", "left_semi").join(loose, "sid", "left")
+    placed = stage(_blocked(near.select("sid", "size", F.coalesce("loose", "sid").alias("group"))))
+    promising = stage(_promising(_pairs(placed, rare, percent), placed, sets))
+    met = placed.join(promising.select("group", "block").distinct(), ["group", "block"], "left_semi")
+    return loose.select("sid").unionByName(promising.select("sid")).unionByName(met.select("sid")).distinct()
+
+
 def components_of(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -293,30 +421,34 @@ def components_of(
     rows = scan.where("piece is null").select("key", "name", "size", "sid", "sketch")
     levels = _levels(scan)
     first = F.min(F.struct("key", "name", "sketch", "size")).alias("first")
-    alike = F.xxhash64(F.substring("sketch", 1, 2 * KEY)).alias("alike")
     sets = rows.where("size > 0 and key is not null").groupBy("sid").agg(first)
-    sets = stage(sets.select("sid", "first.*").withColumn("alike", alike))
+    sets = stage(sets.select("sid", "first.*"))
+    loose = stage(_partition(sets))
     named = sets.select("sid", "key", "name")
     rare = _rarest(source, levels, words, percent).join(named, ["key", "name"])
+    # rows that repeat an id and its text give a set once more
+    again = rows.where("size > 0").groupBy("key", "name").agg(F.count("*").alias("times")).where("times > 1")
     rare = rare.select("sid", F.explode("tokens").alias("token"))
-    rare = stage(_shared(rare, F.col("sid")))
-    crowd = sets.groupBy("alike").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = sets.join(crowd, "alike", "left_semi").select("sid").unionByName(rare.select("sid")).distinct()
+    if not again.isEmpty():
+        rare = rare.distinct()
+    rare = stage(_held_twice(rare))
+    wanted_sets = stage(_wanted(sets, loose, rare, percent))
 
     def make():
-        shingler = Shingler(words)
+        sets = Sets.shared(words)
 
         def work(batch):
             for sid, text in zip(batch["sid"], batch["text"]):
-                yield sid, shingler.shingles(text).tobytes()
+                yield sid, sets.shingles(text).tobytes()
 
         return work
 
-    # one plan for every size; rows that repeat an id and its text give a set once more, to no harm
-    texts = named.join(wanted, "sid").hint("merge").join(source, ["key", "name"])
+    # one plan for every size
+    texts = named.join(wanted_sets, "sid").hint("merge").join(source, ["key", "name"])
     full = stage(map_rows(texts.select("sid", "text"), "sid binary, tokens binary", make))
-    grouped = stage(_grouped(sets, full, percent))
-    links = _matrix_links(sets, grouped, rare, full, percent)
+    grouped = stage(_grouped(loose, sets, full, percent))
+    near = stage(sets.join(wanted_sets, "sid", "left_semi"))
+    links = _matrix_links(near, grouped, rare.join(wanted_sets, "sid", "left_semi"), full, percent)
     # rows that share an id are one document
     held = rows.where("size > 0 and key is not null")
     again = held.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")

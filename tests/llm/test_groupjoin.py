@@ -102,9 +102,10 @@ def test_links_that_signatures_miss(spark, monkeypatch):
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = list(enumerate(variants(rnd, base, 150, 7)))
-    monkeypatch.setattr(groupjoin, "KEY", 8)  # hardly any two signatures start alike
+    monkeypatch.setattr(groupjoin, "TREES", 1)
+    monkeypatch.setattr(groupjoin, "KEY", 8)  # hardly any two signatures meet in a bucket
     check(spark, rows)
-    monkeypatch.setattr(groupjoin, "LOOSE", 17)  # nothing is linked inside a group
+    monkeypatch.setattr(groupjoin, "LOOSE", 33)  # nothing is linked inside a group
     check(spark, rows)
 
 
