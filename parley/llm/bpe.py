@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -27,8 +28,9 @@ from parley.llm.common import Known, map_rows, text_bytes, worker_kept
 
 SCAN_PARTS = 256  # longest word, in bytes, that is merged by scans
 ROW_PARTS = 24  # longest word, in bytes, that is merged in a table
-CACHED_WORDS = 400_000  # words whose ids a worker remembers, in two generations
+CACHED_WORDS = 300_000  # words whose ids a worker remembers, in two generations
 CACHED_BYTES = 64  # longest word that is remembered
+SLICE = 1 << 18  # characters of texts whose words are looked at together
 #: The pattern that cuts text into words, as the vocabulary file's kind has it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHIFT = 24  # a pair is one number, left id above right id; so are a rank and the merged id
@@ -48,7 +50,7 @@ def byte_letters() -> dict[int, str]:
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
@@ -70,15 +72,15 @@ class Codec:
             if self.added
             else None
         )
-        self.known = Known(CACHED_WORDS, self.word, lambda word: len(word) <= CACHED_BYTES)
+        self.known = Known(cached, self.word, lambda word: len(word) <= CACHED_BYTES)
         pairs = np.array(sorted(self.ranks), np.int64)
         self.pairs = np.append(pairs, NEVER)
         self.found = np.array([*(self.ranks[p] for p in pairs.tolist()), NEVER], np.int64)
 
     @classmethod
-    def shared(cls, path: str) -> Codec:
+    def shared(cls, path: str, cached: int = CACHED_WORDS) -> Codec:
         """One codec for all tasks of a worker."""
-        return worker_kept(f"codec {path}", lambda: cls(path))
+        return worker_kept(f"codec {cached} {path}", lambda: cls(path, cached))
 
     def word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
@@ -183,8 +185,18 @@ class Codec:
                 offer(before[left])
         return [i for i in ids if i >= 0]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; strings of added tokens in them become those tokens."""
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of whole texts, in slices of bounded size; strings of added tokens become those tokens."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= SLICE:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         look = self.known.__getitem__
         if self.specials is None:
             return [b"".join(map(look, words)) for words in self.learn(texts)]
@@ -200,7 +212,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of one text."""
-        return self.encode_all([text])[0]
+        return self._encoded([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; broken UTF-8 becomes replacement characters."""
@@ -243,15 +255,19 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """Encode every text and decode the ids again, in one pass that keeps digests only.
 
-    ``id, n_tokens, ids_sha256, decoded_sha256``; see the module for nulls and repeated rows.
+    ``cached_words`` bounds the words a worker remembers, and changes no result. ``id, n_tokens, ids_sha256, decoded_sha256``; see the module for nulls and repeated rows.
     """
 
     def make():
-        codec = Codec.shared(path)
+        codec = Codec.shared(path, cached_words)
 
         def work(rows):
             for key, ids in zip(rows["key"], codec.encode_all(rows["text"])):

@@ -49,7 +49,7 @@ MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 STEPS = "array<struct<a:int,b:int>>"
 WORDS = 50  # words of a passage that is cut from a corpus
 CODE = 8  # letters that stand for a word, 6 bits each
-CODED_WORDS = 500_000  # words whose letters a task remembers
+CODED_WORDS = 200_000  # words whose letters a task remembers
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
