@@ -260,14 +260,16 @@ def round_trip(
     id_col: str = "doc_id",
     text_col: str = "text",
     cached_words: int = CACHED_WORDS,
+    kept: bool = True,
 ) -> DataFrame:
     """Encode every text and decode the ids again, in one pass that keeps digests only.
 
-    ``cached_words`` bounds the words a worker remembers, and changes no result. ``id, n_tokens, ids_sha256, decoded_sha256``; see the module for nulls and repeated rows.
+    ``cached_words`` bounds the words a worker remembers, and ``kept`` says whether it does so from task
+    to task; neither changes a result. ``id, n_tokens, ids_sha256, decoded_sha256``; see the module for nulls and repeated rows.
     """
 
     def make():
-        codec = Codec.shared(path, cached_words)
+        codec = Codec.shared(path, cached_words) if kept else Codec(path, cached_words)
 
         def work(rows):
             for key, ids in zip(rows["key"], codec.encode_all(rows["text"])):
