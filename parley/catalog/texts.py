@@ -112,7 +112,7 @@ def stream_answers(spark, folder):
     schema = table(spark, folder, "documents").schema
     place = f"{shared_dir(spark)}/stream_answers_{uuid.uuid4().hex}"
     for turn in ("first", "again"):
-        stream = triage.read_messages(spark, folder, schema, "documents.parquet")
+        stream = triage.read_table(spark, f"{folder}/documents.parquet", schema)
         triage.answer_batches(
             stream, f"{place}/{turn}", f"{place}/state_{turn}", f"{place}/answers", answer_length, "doc_id", "text"
         ).awaitTermination()
@@ -124,7 +124,7 @@ def stream_answers(spark, folder):
 def stream_triage(spark, folder):
     """Customer turns read as a file stream, scored, and written batch by batch."""
     schema = table(spark, folder, "conversations").schema
-    stream = triage.read_messages(spark, folder, schema, "conversations.parquet")
+    stream = triage.read_table(spark, f"{folder}/conversations.parquet", schema)
     inbound = given.as_tweets(stream).where("inbound")
     scored = triage.score(inbound, "tweet_id", "text", KEYWORDS)
     place = f"{shared_dir(spark)}/stream_triage_{uuid.uuid4().hex}"

@@ -145,7 +145,7 @@ def stream_retrieval(spark, folder):
     """Vectors read as a file stream; each micro-batch looks up its nearest stored vectors."""
     stored = _vectors(spark, folder)
     corpus = similarity.dense(stored, "vec_id", "embedding")
-    stream = triage.read_messages(spark, folder, stored.schema, "embeddings.parquet")
+    stream = triage.read_table(spark, f"{folder}/embeddings.parquet", stored.schema)
 
     def look_up(batch):
         queries = similarity.dense(batch, "vec_id", "embedding")

@@ -27,6 +27,13 @@ def read_messages(
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files."""
+    # as a pattern, since a plain path that names a file is taken for a folder
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{{{name}}}")
+
+
 def score(
     messages: DataFrame,
     key: str,
