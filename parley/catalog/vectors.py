@@ -10,7 +10,7 @@ from parley.catalog import sql
 from parley.functions import text as tx
 from parley.functions import vectors as vx
 from parley.operators import classify, clusters, retrieval, similarity
-from parley.session import shared_dir
+from parley.session import shared_dir, stage
 from parley.sources import given
 from parley.sources.given import table
 from parley.streaming import triage
@@ -127,7 +127,7 @@ def prompt_text(spark, folder):
     known = cases(spark, folder).select(
         "conversation_id", "first_customer_text_clean", "intent_label"
     )
-    hits = _hits(spark, folder)
+    hits = stage(_hits(spark, folder))
     best = hits.where("rank = 1").select(F.col("query_id").alias("conversation_id"), "similarity")
     rows = retrieval.with_context(known.join(best, "conversation_id", "left"), hits)
     return rows.select(

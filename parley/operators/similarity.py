@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from parley.operators.best import Best, margin_of
 from parley.operators.postings import Postings, SparseRows, best_of, block_topk
 from parley.operators.sampling import exact_sample
 from parley.session import stage
@@ -33,7 +35,7 @@ from parley.session import stage
 DIGITS = 6
 BROADCAST_BYTES = 64 * 1024 * 1024
 SCORE_CELLS = 4_000_000  # scores held at once by one task
-PROBE_ROWS = 16_384  # most rows one Arrow batch of cell searches may hold
+PROBE_ROWS = 16_384  # queries that a task places at once
 
 
 def _whole(vec: F.Column) -> F.Column:
@@ -158,7 +160,7 @@ def distinct_topk(
     named = stage(named.withColumn("lowest", F.min("id").over(W.partitionBy("name"))))
     asked = stage(queries.withColumn("name", name))
     first = F.row_number().over(W.partitionBy("name").orderBy("id"))
-    one = asked.withColumn("turn", first).where("turn = 1").select(F.col("name").alias("id"), *kind)
+    one = stage(asked.withColumn("turn", first).where("turn = 1").select(F.col("name").alias("id"), *kind))
     rows = named.where("turn = 1").select("id", *kind)
     found = (
         cell_topk(rows, one, few)
@@ -194,14 +196,17 @@ def _scan(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, kept = shared.value
+        if width is None:
+            near = Best(query_ids, k, exclude_self)
+            for part in batches:
+                _offer(near, kept, np.arange(len(kept)), _matrix(part), _ids(part))
+            yield from near.table(to_arrow_schema(schema)).to_batches()
+            return
         best = None
         for part in batches:
             for start in range(0, part.num_rows, step):
                 rows = part.slice(start, step)
-                if width is None:
-                    scores = kept @ _matrix(rows).T
-                else:
-                    scores = kept.scores(SparseRows(rows), 0, rows.num_rows).T
+                scores = kept.scores(SparseRows(rows), 0, rows.num_rows).T
                 found = best_of(query_ids, _ids(rows), scores, k, exclude_self)
                 best = found if best is None else _keep(pd.concat([best, found]), k)
         if best is not None:
@@ -210,22 +215,27 @@ def _scan(
     return corpus.mapInArrow(score, schema)
 
 
-def _block_kernel(k: int, exclude_self: bool):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        a = pa.RecordBatch.from_pandas(left[["id", "vec"]], preserve_index=False)
-        b = pa.RecordBatch.from_pandas(right[["id", "vec"]], preserve_index=False)
-        queries, query_ids = _matrix(b), _ids(b)
-        step = max(1, SCORE_CELLS // max(len(query_ids), 1))
-        best = None
-        for start in range(0, a.num_rows, step):
-            rows = a.slice(start, step)
-            found = best_of(query_ids, _ids(rows), queries @ _matrix(rows).T, k, exclude_self)
-            best = found if best is None else _keep(pd.concat([best, found]), k)
-        return best
-
-    return kernel
+def _offer(best: Best, queries: np.ndarray, places: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+    """Offer rows to the queries at some places, a tile of scores at a time."""
+    if not len(rows):
+        return
+    margin = margin_of(rows.shape[1])
+    across = min(len(ids), math.isqrt(SCORE_CELLS))
+    down = max(1, SCORE_CELLS // across)
+    for start in range(0, len(places), down):
+        some = places[start : start + down]
+        asked = queries[some]
+        short = asked.astype("float32")
+        for first in range(0, len(ids), across):
+            held = rows[first : first + across]
+            best.offer(
+                some,
+                ids[first : first + across],
+                short @ held.astype("float32").T,
+                margin,
+                lambda at, to: np.einsum("ij,ij->i", asked[at], held[to]),
+                lambda: asked @ held.T,
+            )
 
 
 def _block(blocks) -> F.Column:
@@ -236,15 +246,50 @@ def _every(blocks) -> F.Column:
     return F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
 
 
-def _meet(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """Score blocks that share ``cell, cb, qb``; a group is one block of each side."""
-    schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
-    keys = ["cell", "cb", "qb"]
-    return (
-        corpus.groupBy(*keys)
-        .cogroup(queries.groupBy(*keys))
-        .applyInPandas(_block_kernel(k, exclude_self), schema)
-    )
+def _heaps(size: np.ndarray, rows_per_block: int) -> list[tuple[int, int, int, int]]:
+    """``(first cell, last cell, first heap, heaps)``: cells side by side, as many as make one block of
+    rows, lie in one heap; a cell of more rows is dealt to heaps of its own."""
+    out, heap, first, held = [], 0, 0, 0
+    for cell, n in enumerate(size.tolist()):
+        if held and held + n > rows_per_block:
+            out.append((first, cell, heap, 1))
+            heap, first, held = heap + 1, cell, 0
+        held += n
+        if held > rows_per_block:
+            own = math.ceil(held / rows_per_block)
+            out.append((first, cell + 1, heap, own))
+            heap, first, held = heap + own, cell + 1, 0
+    if first < len(size):
+        out.append((first, len(size), heap, 1))
+    return out
+
+
+def _cell_kernel(first_cell: dict[int, int], k: int, exclude_self: bool, schema: pa.Schema):
+    """The k best rows of a heap for each query, which looks only into the cells it names."""
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        held, asking = (side.combine_chunks().to_batches()[0] for side in (left, right))
+        cells = held.column("cell").to_numpy()
+        order = np.argsort(cells, kind="stable")
+        cells, rows, ids = cells[order], _matrix(held)[order], _ids(held)[order]
+        queries = _matrix(asking)
+        marks = np.frombuffer(b"".join(asking.column("cells").to_pylist()), dtype="uint8")
+        wanted = np.unpackbits(marks.reshape(len(queries), -1), axis=1).astype(bool)
+        least = asking.column("least").to_numpy(zero_copy_only=False)
+        best = Best(_ids(asking), k, exclude_self, least)
+        names, starts = np.unique(cells, return_index=True)
+        ends, start = np.append(starts[1:], len(cells)), 0
+        wanted = wanted[:, names - first_cell[held.column("heap")[0].as_py()]]
+        for i, end in enumerate(ends):
+            # neighbouring cells that the same queries search are one product
+            if i + 1 == len(ends) or (wanted[:, i] != wanted[:, i + 1]).any():
+                _offer(best, queries, np.flatnonzero(wanted[:, i]), rows[start:end], ids[start:end])
+                start = end
+        return best.table(schema)
+
+    return kernel
 
 
 def _angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -276,15 +321,16 @@ def cell_topk(
     k: int = 3,
     exclude_self: bool = False,
     cells: int | None = None,
-    rows_per_block: int = 4096,
+    rows_per_block: int = 32_768,
     seed: int = 42,
 ) -> DataFrame:
     """Exact top-k of dense vectors for query sets of any size.
 
     Each corpus row joins the cell of its nearest pivot. A query first searches the cells
     nearest to it, which bounds its k-th similarity, and then only the cells whose nearest
-    possible member lies within that bound. A full cell is cut into blocks, so no task ever
-    holds a whole cell. ``cells`` defaults to the square root of the corpus size; only the
+    possible member lies within that bound. Cells side by side share a heap of about
+    ``rows_per_block`` rows, a query goes once to every heap that holds cells it searches, with their
+    names, and a full cell is dealt to several heaps, so a task holds one block of either side. ``cells`` defaults to the square root of the corpus size; only the
     size of the pivots, which every task holds, bounds it.
     """
     spark = corpus.sparkSession
@@ -321,10 +367,12 @@ def cell_topk(
     for row in stats:
         radius[row["cell"]], size[row["cell"]] = row["radius"], row["n"]
 
-    step = max(1, PROBE_ROWS // n_cells)
+    step = max(1, min(PROBE_ROWS, SCORE_CELLS // n_cells))
+    heaps = _heaps(size, rows_per_block)
+    first_cell = {heap: first for first, _, start, n in heaps for heap in range(start, start + n)}
 
     def probe(far: bool):
-        """Cells to search per query: the nearest ones, or the others within its bound."""
+        """A row per query and heap that holds cells to search: the nearest ones, or the others within its bound."""
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -332,48 +380,66 @@ def cell_topk(
                     rows = batch.slice(start, step)
                     angles = _angles(_matrix(rows), pivots.value)
                     bound = rows.column("bound").to_numpy(zero_copy_only=False) if far else None
-                    at, cell = np.nonzero(_cells_to_search(angles, radius, size, k, bound))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            rows.column("id").take(pa.array(at)),
-                            rows.column("vec").take(pa.array(at)),
-                            pa.array(cell.astype("int32")),
-                        ],
-                        names=["id", "vec", "cell"],
-                    )
+                    wanted = _cells_to_search(angles, radius, size, k, bound)
+                    for first, last, heap, n in heaps:
+                        at = np.flatnonzero(wanted[:, first:last].any(axis=1))
+                        if not len(at):
+                            continue
+                        marks = np.packbits(wanted[at, first:last], axis=1)
+                        marks = pa.array([mark.tobytes() for mark in marks], pa.binary())
+                        taken = [rows.column(name).take(pa.array(at)) for name in ("id", "vec", "least")]
+                        for own in range(heap, heap + n):
+                            yield pa.RecordBatch.from_arrays(
+                                [*taken, marks, pa.array(np.full(len(at), own, dtype="int32"))],
+                                names=["id", "vec", "least", "cells", "heap"],
+                            )
 
         return assign
 
-    probed = T.StructType([*queries.select("id", "vec").schema.fields, T.StructField("cell", T.IntegerType())])
+    probed = T.StructType(
+        [
+            *queries.select("id", "vec").schema.fields,
+            T.StructField("least", T.DoubleType()),
+            T.StructField("cells", T.BinaryType()),
+            T.StructField("heap", T.IntegerType()),
+        ]
+    )
+    # one row per cell
+    ranges = spark.createDataFrame(
+        [(cell, heap, n) for first, last, heap, n in heaps for cell in range(first, last)],
+        "cell int, start int, heaps int",
+    )
+    in_heaps = placed.join(F.broadcast(ranges), "cell").withColumn("heap", F.col("start") + _block(F.col("heaps")))
+    schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
+    kernel = _cell_kernel(first_cell, k, exclude_self, to_arrow_schema(schema))
 
     def search(probes: DataFrame) -> DataFrame:
-        counts = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
+        counts = probes.groupBy("heap").count().collect()
         plan = spark.createDataFrame(
-            [
-                (c, math.ceil(int(size[c]) / rows_per_block), math.ceil(n / rows_per_block))
-                for c, n in counts.items()
-            ],
-            "cell int, cbs int, qbs int",
+            [(r["heap"], math.ceil(r["count"] / rows_per_block)) for r in counts], "heap int, qbs int"
         )
-        # At most one row per cell, so the broadcast is bounded by ``cells``.
+        # At most one row per heap, and no more heaps than cells and full blocks.
         plan = F.broadcast(plan)
-        left = placed.join(plan, "cell").select(
-            "id", "vec", "cell", _block(F.col("cbs")).alias("cb"), _every(F.col("qbs")).alias("qb")
-        )
-        right = probes.join(plan, "cell").select(
-            "id", "vec", "cell", _block(F.col("qbs")).alias("qb"), _every(F.col("cbs")).alias("cb")
+        left = in_heaps.join(plan, "heap").select("heap", _every(F.col("qbs")).alias("qb"), "id", "vec", "cell")
+        right = probes.join(plan, "heap").select(
+            "heap", _block(F.col("qbs")).alias("qb"), "id", "vec", "least", "cells"
         )
-        return _meet(left, right, k, exclude_self)
+        return left.groupBy("heap", "qb").cogroup(right.groupBy("heap", "qb")).applyInArrow(kernel, schema)
 
-    vectors = queries.select("id", "vec")
+    vectors = queries.select("id", "vec", F.lit(-math.inf).alias("least"))
     near = stage(_merge(search(vectors.mapInArrow(probe(False), probed)), k).drop("rank"))
+    full = F.count("*") >= k
     bounds = near.groupBy(F.col("query_id").alias("id")).agg(
-        F.when(F.count("*") >= k, F.acos(F.greatest(F.min("similarity") - 2 * 10.0**-DIGITS, F.lit(-1.0))))
+        F.when(full, F.acos(F.greatest(F.min("similarity") - 2 * 10.0**-DIGITS, F.lit(-1.0))))
         .otherwise(math.pi)
-        .alias("bound")
+        .alias("bound"),
+        F.when(full, F.min("similarity")).alias("least"),
     )
-    bounded = vectors.join(bounds, "id", "left").select(
-        "id", "vec", F.coalesce("bound", F.lit(math.pi)).alias("bound")
+    bounded = vectors.drop("least").join(bounds, "id", "left").select(
+        "id",
+        "vec",
+        F.coalesce("bound", F.lit(math.pi)).alias("bound"),
+        F.coalesce("least", F.lit(-math.inf)).alias("least"),
     )
-    more = search(bounded.mapInArrow(probe(True), probed))
+    more = search(stage(bounded).mapInArrow(probe(True), probed))
     return _merge(near.unionByName(more), k)
