@@ -113,3 +113,30 @@ def test_rows_of_a_silhouette_travel_a_few_times(cloud):
     import inspect
 
     assert 615_384 / inspect.signature(clusters.silhouette).parameters["rows_per_block"].default < 20
+
+
+def test_steps_read_even_blocks_of_kept_rows(spark, cloud, monkeypatch):
+    """One partition of vectors is dealt to all cores, as plain doubles, and kept while runs move."""
+    x, frame = cloud
+    monkeypatch.setattr(kmeans, "BLOCK_BYTES", 8 * 4 * 7)  # seven rows in a block
+    seen, plain = [], kmeans.step
+    monkeypatch.setattr(kmeans, "step", lambda points, centers: seen.append(points) or plain(points, centers))
+    fit = kmeans.fit_runs(frame.coalesce(1), [(4, 1)])[0]
+    blocks = seen[0]
+    assert all(points is blocks for points in seen) and not blocks.frame.is_cached
+    parts = [sum(len(r["x"]) for r in part) // 32 for part in blocks.frame.select("x").rdd.glom().collect()]
+    assert len(parts) == blocks.parts == spark.sparkContext.defaultParallelism
+    assert sum(parts) == 240 and max(parts) < 80
+    sample = np.array([r["v"] for r in frame.selectExpr("v", "xxhash64(v) AS h").orderBy("h").collect()])
+    assert np.allclose(fit.centers, lloyd(x, kmeans.starts(sample, 4, 1))[0])
+
+
+def test_blocks_beyond_the_heaps(spark, cloud):
+    x, frame = cloud
+    points = frame.selectExpr("v AS x")
+    centers = [np.eye(3, x.shape[1]), np.eye(4, x.shape[1]) * 3]
+    plain, blocks = kmeans.step(points, centers), kmeans.in_blocks(points, x.shape[1])
+    many = kmeans.Blocks(blocks.frame.repartition(20), 20)
+    for got in (kmeans.step(blocks, centers), kmeans.step(many, centers)):
+        for (sums, counts, cost), (own_sums, own_counts, own_cost) in zip(plain, got):
+            assert np.allclose(sums, own_sums) and np.array_equal(counts, own_counts) and np.isclose(cost, own_cost)
