@@ -19,13 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import ngrams
-from parley.llm.common import map_rows, split
+from parley.llm.common import give_back, map_batches, map_rows, split
 from parley.session import stage
 
 MIN_WORDS = 50
@@ -101,14 +100,14 @@ class Model:
     line: tuple[float, float] = (1.0, 0.0)
 
     def table(self) -> np.ndarray:
-        """Weights of all slots; each task lays it out once."""
-        table = np.zeros(1 << BITS, np.float32)
-        table[self.places] = self.weights
+        """Which slots are weighed, a byte each; each task lays it out once."""
+        table = np.zeros(1 << BITS, bool)
+        table[self.places] = True
         return table
 
     def margin(self, table: np.ndarray, found: np.ndarray) -> float:
-        held = np.unique(found[table[found] != 0])
-        return self.bias + float(table[held].sum(dtype=np.float64))
+        held = np.unique(found[table[found]])
+        return self.bias + float(self.weights[np.searchsorted(self.places, held)].sum(dtype=np.float64))
 
     def probability(self, margin: float) -> float:
         return float(sigmoid(self.line[0] * margin + self.line[1]))
@@ -222,13 +221,13 @@ def _counted_slots(sample: DataFrame, classes: dict[int, int]) -> DataFrame:
         for batch in batches:
             for part in split(batch):
                 pairs = zip(part["tag"].to_pylist(), part["slots"].to_pylist())
-                codes = [unpacked(row) * 4 + classes[tag] for tag, row in pairs if tag in classes]
+                codes = [(unpacked(row) * 4 + classes[tag]).astype(np.int32) for tag, row in pairs if tag in classes]
                 if codes:
                     code, n = np.unique(np.concatenate(codes), return_counts=True)
                     columns = (code >> 2).astype(np.int32), (code & 3).astype(np.int32), n
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=target)
 
-    found = sample.select("tag", "slots").mapInArrow(run, "slot int, kind int, n bigint")
+    found = map_batches(sample.select("tag", "slots"), run, "slot int, kind int, n bigint")
     return (
         found.groupBy("slot")
         .agg(
@@ -368,11 +367,13 @@ def keep(
     """The documents that pass, all columns; judged where they lie, without a shuffle."""
     models = train(docs, labels, id_col, text_col)
 
-    @F.pandas_udf("boolean")
-    def passed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def passed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = {name: model.table() for name, model in models.items() if model}
         for texts in batches:
-            yield pd.Series([passes(t, models, tables) for t in texts], dtype=bool)
+            parts = split(pa.RecordBatch.from_arrays([texts], names=["text"]))
+            yield pa.array([passes(t, models, tables) for part in parts for t in part[0].to_pylist()], pa.bool_())
+        give_back()
 
     return docs.where(passed(docs[text_col]))
 
