@@ -2,23 +2,23 @@
 
 Every distinct set of word shingles has a short signature. Sets that agree in any of ``TREES`` stretches of
 it meet in a bucket, and those whose whole signatures are alike are partitioned into one group. Inside a
-group full sets are compared, and what links becomes a group of its own; sets without a partner are
-groups of one. A group of more than ``GROUP`` sets is parted into blocks.
-
-The matrix has a row for each token and block that holds it: the token union of the block. Two
-sets that link share all but a tenth of either, so each has one of its ``n - ceil(0.9 n) + 1`` rarest
-tokens in common with the other; only these are stored and looked up. Tokens are ordered by how
-common their words are, after a table of ``2 ** SLOTS`` word counts over all documents, of fixed size at
-every scale; any order gives the same links, this one keeps common tokens out of the look-ups. A set that meets a block of another
-group in the matrix, and whose signature agrees with one of its members in ``LEAST`` of ``SIGNED`` values,
-is dealt to it. There the overlap with the whole union of the block bounds the
-overlap with each member; below nine tenths of the set the block stays closed, otherwise its
-members are compared on full sets until one links. A set first opens the block of a group that
-shares most tokens; the others are opened only while it is not yet linked with that group.
-
-Links are those on full sets. What the first values of a signature miss, the matrix finds; a pair
-of similarity 0.9 agrees in less than ``LEAST`` values with a chance of one in 10 ** 13, about that of
-equal hashes. Full sets are only made of documents that pass, in one pass over the texts.
+group full sets are compared, and what links becomes a part of the group; sets without a partner are
+parts of one. A group is cut into blocks of about ``GROUP`` sets: a large part has blocks of its own,
+small parts lie in blocks together.
+
+The matrix has a row for each bundle of tokens and block that holds it. A set is cut into bundles by
+the hashes of its tokens, one more than there are tokens by which two sets of its size may differ and
+still link; so two that link have at least one whole bundle in common. The number of bundles follows from
+a class of sizes: a set has the bundles of each class that a partner no smaller can be of. About nine tokens
+make a bundle, so a passage or line that many sets share brings hardly any two of them together;
+bundles that one part alone holds are not stored. A set that meets a block of the
+matrix with another part in it is dealt to it. There the overlap with the whole union of the block bounds the
+overlap with each member; below nine tenths of the set the block stays closed, otherwise the overlaps
+with all members are counted from the union's tokens and their holders, on full sets.
+
+Links are those on full sets, and the matrix alone finds all of them; signatures only decide which
+sets are compared first. Full sets are only made of documents that share a bundle, in a second pass over
+their texts.
 
 Rows: every input row gives one output row. Equal sets are linked, repeated rows included.
 Rows that share an id are one document and are linked with each other. A null or empty text
@@ -30,7 +30,7 @@ are ignored, whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.llm.common import Known, map_rows, solve_groups, split, text_bytes, worker_kept
+from parley.llm.common import Known, map_batches, map_rows, solve_groups, text_bytes, worker_kept
 from parley.llm.components import components
 from parley.llm.nearcopies import Union, linked
 from parley.session import stage
 
 WORDS = 3
 PERCENT = 90  # of the union that two linked sets share
-SLOTS = 20  # bits of a word that name its place in the table of counts
-PART = 14  # bits of a place inside a piece of that table
 SIGNED = 32  # values of a signature
 TREES, KEY = 6, 2  # stretches of a signature that name its buckets, and the values of each
 LOOSE = 18  # equal values of two signatures that are compared inside a group
-LEAST = 13  # equal values of any two that link; fewer have a chance of one in 10 ** 13
 GROUP = 256  # sets of a block
+CLASS = 5, 4  # the ratio of the least sizes of neighbouring classes
 CENTRES = 8  # sets of a crowded group that all its blocks hold
 QUERIES = 512  # sets that are looked up in a block by one task
 WORDS_KEPT = 300_000  # words whose hashes a worker remembers, in two generations
@@ -65,6 +63,17 @@ def needed(size, percent: int):
     return (percent * size + 99) // 100
 
 
+def classes() -> list[int]:
+    """The least size of each class of sizes."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, least[-1] * CLASS[0] // CLASS[1]))
+    return least
+
+
+LEAST_SIZES = classes()
+
+
 class Sets:
     """Shingle sets with their names and signatures."""
 
@@ -73,6 +82,7 @@ class Sets:
         self.known = Known(WORDS_KEPT, lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
         draw = np.random.default_rng(11).integers(1, 1 << 63, (2, SIGNED), dtype=np.uint64)
         self.times, self.plus = draw[0] | np.uint64(1), draw[1]
+        self.known_edges: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def shared(cls, words: int) -> Sets:
@@ -95,18 +105,27 @@ class Sets:
     def shingles(self, text: str) -> np.ndarray:
         return np.unique(self.runs(self.codes(text)))
 
-    def rarest(self, text: str, level: np.ndarray, percent: int) -> np.ndarray:
-        """The tokens of a set of which each that it links with has one at least."""
-        codes = self.codes(text)
-        own, first = np.unique(self.runs(codes), return_index=True)
-        if not len(own):
-            return own
-        size = min(self.words, len(codes))
-        common = level[codes >> np.uint64(64 - SLOTS)].astype(np.uint64)
-        total = sum(common[k : len(codes) - size + 1 + k] for k in range(size))
-        order = total[first] << np.uint64(48) | own >> np.uint64(16)
-        n = len(own) - needed(len(own), percent) + 1
-        return own[np.argpartition(order, n - 1)[:n]]
+    def edges(self, number: int, percent: int) -> np.ndarray:
+        """Least tokens of the bundles of a class: one more than the tokens by which two that link differ."""
+        known = self.known_edges.get((number, percent))
+        if known is None:
+            most = LEAST_SIZES[number + 1] - 1
+            count = (100 - percent) * 2 * most // (100 + percent) + 1
+            known = np.array([(j << 64) // count for j in range(count)], np.uint64)
+            self.known_edges[number, percent] = known
+        return known
+
+    def bundles(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """Hashes of the bundles of a set; any that it links with has one of them at least."""
+        first = bisect_right(LEAST_SIZES, len(own)) - 1
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((own ^ (own >> np.uint64(29))) * ODD2)))
+        out = []
+        for number in range(first, bisect_right(LEAST_SIZES, 100 * len(own) // percent)):
+            edges = self.edges(number, percent)
+            at = np.append(np.searchsorted(own, edges), len(own))
+            out.append((np.diff(sums[at]) ^ (edges + np.uint64(number))) * ODD)
+        keys = np.concatenate(out)
+        return keys ^ (keys >> np.uint64(32))
 
     def signature(self, own: np.ndarray) -> bytes:
         least = np.full(SIGNED, np.iinfo(np.uint64).max, np.uint64)
@@ -121,85 +140,27 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("key"), text.alias("text"), F.md5(text).alias("name"))
 
 
-def _scan(source: DataFrame, words: int) -> DataFrame:
-    """A slim row per document, and in rows with a ``piece`` the task's counts of word slots."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = source.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, name string, size bigint, sid binary, sketch binary, piece int, counts binary"
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, counts = Sets.shared(words), np.zeros(1 << SLOTS, np.uint64)
-        for batch in batches:
-            for part in split(batch):
-                out = []
-                for key, text, name in zip(*(c.to_pylist() for c in part.columns)):
-                    codes = sets.codes(text)
-                    np.add.at(counts, codes >> np.uint64(64 - SLOTS), np.uint64(1))
-                    own = np.unique(sets.runs(codes))
-                    sid = hashlib.md5(own.tobytes()).digest()
-                    out.append((key, name, len(own), sid, sets.signature(own) if len(own) else None, None, None))
-                yield batch_of(out)
-        pieces = counts.reshape(-1, 1 << PART)
-        out = [
-            (None, None, None, None, None, i, zlib.compress(piece.tobytes(), 1))
-            for i, piece in enumerate(pieces)
-            if piece.any()
-        ]
-        if out:
-            yield batch_of(out)
-
-    return source.mapInArrow(run, schema)
-
-
-def _levels(scan: DataFrame) -> np.ndarray:
-    """How common the words of each slot are, in steps of a quarter of a doubling."""
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(zlib.decompress(counts), np.uint64)
-                sums[piece] = sums[piece] + own if piece in sums else own
-        if sums:
-            columns = [pa.array(sums, pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()])]
-            yield pa.RecordBatch.from_arrays(columns, names=["piece", "counts"])
-
-    pieces = scan.where("piece is not null").select("piece", "counts")
-    schema = "piece int, counts binary"
-    # first by piece and task, so that no task adds up the pieces of all tasks
-    dealt = pieces.withColumn("heap", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(32)))
-    dealt = dealt.repartition("piece", "heap").select("piece", "counts").mapInArrow(added, schema)
-    dealt = dealt.repartition("piece").mapInArrow(added, schema)
-    total = np.zeros((1 << (SLOTS - PART), 1 << PART), np.uint64)
-    for row in dealt.toLocalIterator():  # as many rows as the table has pieces
-        total[row["piece"]] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    return np.minimum(4 * np.log2(total.ravel().astype(float) + 1), 255).astype(np.uint8)
-
-
-def _rarest(source: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """The tokens of every document of which a linked one has one at least."""
+def _scan(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """A slim row per document, with the bundles of its set."""
     kind = source.schema["key"].dataType.simpleString()
-    common = source.sparkSession.sparkContext.broadcast(levels)  # one byte for each slot
 
     def make():
-        sets, level = Sets.shared(words), common.value
+        sets = Sets.shared(words)
 
         def work(rows):
             for key, text, name in zip(rows["key"], rows["text"], rows["name"]):
-                if len(found := sets.rarest(text, level, percent)):
-                    yield key, name, found.astype(np.int64).tolist()
+                own = sets.shingles(text)
+                sid = hashlib.md5(own.tobytes()).digest()
+                if len(own):
+                    bundles = sets.bundles(own, percent).astype(np.int64)
+                    yield key, name, len(own), sid, sets.signature(own), bundles
+                else:
+                    yield key, name, 0, sid, None, None
 
         return work
 
-    return map_rows(source, f"key {kind}, name string, tokens array<bigint>", make)
+    schema = f"key {kind}, name string, size bigint, sid binary, sketch binary, bundles array<bigint>"
+    return map_rows(source, schema, make)
 
 
 def _held_twice(rows: DataFrame) -> DataFrame:
@@ -229,7 +190,7 @@ def _held_twice(rows: DataFrame) -> DataFrame:
             yield from out.to_batches()
 
     dealt = rows.select(*names).repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, rows.select(*names).schema)
+    return map_batches(dealt, run, rows.select(*names).schema)
 
 
 def _shared(rows: DataFrame, of: Column) -> DataFrame:
@@ -238,22 +199,23 @@ def _shared(rows: DataFrame, of: Column) -> DataFrame:
     return rows.join(ends.where("low <> high").select("token"), "token")
 
 
-def _pairs(placed: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """``sid, own, group, block, hits``: sets that meet a block of another group in the matrix.
+def _pairs(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """``sid, group, block``: sets that meet a block with sets of another part in the matrix.
 
-    Of two sets in different groups, that of the greater group asks.
+    Of two sets in different blocks, that of the greater block asks.
     """
-    tokens = stage(_shared(rare.join(placed, "sid"), F.col("group")))
+    tokens = stage(_shared(held.join(placed, "sid"), F.col("part")))
     matrix = tokens.groupBy("token", "group", "block").agg(
-        F.min("size").alias("least"), F.max("size").alias("most")
+        F.min("size").alias("least"), F.max("size").alias("most"), F.min("part").alias("low"), F.max("part").alias("high")
     )
-    asking = tokens.select("token", "sid", "size", F.col("group").alias("own"))
+    asking = tokens.select("token", "sid", "size", "part", F.struct("group", "block").alias("own"))
     fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
-    met = asking.join(matrix, "token").where((F.col("group") < F.col("own")) & fits)
-    return met.groupBy("sid", "own", "group", "block").agg(F.count("*").alias("hits"))
+    apart = (F.col("low") != F.col("part")) | (F.col("high") != F.col("part"))
+    met = asking.join(matrix, "token").where((F.struct("group", "block") <= F.col("own")) & apart & fits)
+    return met.select("sid", "group", "block").distinct()
 
 
-def _dealt(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, body: str) -> DataFrame:
+def _dealt(pairs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks with the sets that ask them, some at a time: rows of ``group, block, heap``."""
     loads = pairs.groupBy("group", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("heaps"))
     loads = stage(loads)
@@ -261,25 +223,7 @@ def _dealt(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, body: str) -> D
     every = F.explode(F.sequence(F.lit(0), F.col("heaps") - 1)).alias("heap")
     asking = pairs.join(loads, ["group", "block"]).select("group", "block", "sid", own, F.lit(True).alias("asks"))
     held = blocks.join(loads, ["group", "block"]).select("group", "block", "sid", every, F.lit(False).alias("asks"))
-    return asking.unionByName(held).join(sets.select("sid", body), "sid")
-
-
-def _promising(pairs: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of a set and a block with a member whose signature is alike enough."""
-    least = LEAST
-
-    def solve(rows: list[dict]) -> Iterator[tuple]:
-        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), ">u2").reshape(len(rows), SIGNED)
-        asks = np.array([r["asks"] for r in rows])
-        members = sketches[~asks]
-        for i in np.flatnonzero(asks).tolist():
-            if len(members) and ((members == sketches[i]).sum(1) >= least).any():
-                yield rows[i]["sid"], rows[i]["group"], rows[i]["block"]
-
-    keys = ["group", "block", "heap"]
-    kinds = blocks.schema
-    schema = f"sid binary, group {kinds['group'].dataType.simpleString()}, block int"
-    return solve_groups(_dealt(pairs, blocks, sets, "sketch"), keys, ["asks", "sid"], schema, solve)
+    return asking.unionByName(held).join(sets, "sid")
 
 
 def _in_blocks(members: DataFrame, name: str) -> DataFrame:
@@ -341,27 +285,41 @@ def _grouped(loose: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -
 
 
 def _opened(pairs: DataFrame, blocks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links of the sets ``sid`` with one member of each block that they are dealt to."""
+    """Links of the sets ``sid`` with the blocks that they are dealt to, enough to join what links.
+
+    Sets of one ``part``, if full sets come with it, are linked already.
+    """
 
     def solve(rows: list[dict]) -> Iterator[tuple]:
-        sets = [(r["sid"], np.frombuffer(r["tokens"], np.uint64)) for r in rows]
-        members = [s for s, r in zip(sets, rows) if not r["asks"]]
+        sets = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+        members = [i for i, r in enumerate(rows) if not r["asks"]]
         if not members:
             return
-        union = np.unique(np.concatenate([own for _, own in members]))
-        for (sid, own), row in zip(sets, rows):
-            if not row["asks"]:
+        _, part = np.unique([bytes(r.get("part", r["sid"])).hex() for r in rows], return_inverse=True)
+        part = part.tolist()
+        found = Union(len(rows))
+        sizes = np.array([len(sets[i]) for i in members])
+        tokens = np.concatenate([sets[i] for i in members])
+        order = np.argsort(tokens, kind="stable")
+        holder = np.repeat(np.arange(len(members)), sizes)[order]
+        union, first, times = np.unique(tokens[order], return_index=True, return_counts=True)
+        for i, own in enumerate(sets):
+            if not rows[i]["asks"]:
                 continue
             at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-            if (union[at] == own).sum() < needed(len(own), percent):
+            at = at[union[at] == own]
+            if len(at) < needed(len(own), percent):
                 continue  # no member can share enough: the block stays closed
-            for other, tokens in members:
-                if linked(own, tokens, percent):
-                    yield sid, other
-                    break
+            held = times[at]
+            spots = np.repeat(first[at] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+            common = np.bincount(holder[spots], minlength=len(members))
+            near = 100 * common >= percent * (len(own) + sizes - common)
+            for k in np.flatnonzero(near).tolist():
+                if found.join(part[i], part[members[k]]):
+                    yield rows[i]["sid"], rows[members[k]]["sid"]
 
     keys = ["group", "block", "heap"]
-    return solve_groups(_dealt(pairs, blocks, full, "tokens"), keys, ["asks", "sid"], "a binary, b binary", solve)
+    return solve_groups(_dealt(pairs, blocks, full), keys, ["asks", "sid"], "a binary, b binary", solve)
 
 
 def _part_of(sets: DataFrame, links: DataFrame) -> DataFrame:
@@ -373,39 +331,25 @@ def _part_of(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocked(parts: DataFrame) -> DataFrame:
-    """``sid, size, group, block``: groups in blocks of about ``GROUP`` sets."""
-    sizes = parts.groupBy("group").agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / GROUP)).cast("int").alias("block")
-    return parts.join(sizes, "group").select("sid", "size", "group", block)
-
-
-def _matrix_links(sets: DataFrame, grouped: DataFrame, rare: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between groups: the token-group matrix looked up, bounded, and opened."""
-    placed = stage(_blocked(_part_of(sets, grouped)))
-    pairs = stage(_pairs(placed, rare, percent))
-    pairs = stage(pairs.join(_promising(pairs, placed, sets), ["sid", "group", "block"], "left_semi"))
-    best = F.max(F.struct("hits", "block")).alias("best")
-    first = pairs.groupBy("sid", "group").agg(best).select("sid", "group", F.col("best.block").alias("block"))
-    links = stage(_opened(first, placed, full, percent).unionByName(grouped))
-    rest = pairs.join(first, ["sid", "group", "block"], "left_anti")
-    if rest.isEmpty():
-        return links
-    now = components(links)
-    own = now.select(F.col("node").alias("own"), F.col("root").alias("own_root"))
-    other = now.select(F.col("node").alias("group"), F.col("root").alias("group_root"))
-    apart = rest.join(own, "own", "left").join(other, "group", "left").where(
-        F.coalesce("own_root", "own") != F.coalesce("group_root", "group")
-    )
-    return links.unionByName(_opened(apart.select("sid", "group", "block"), placed, full, percent))
-
-
-def _wanted(sets: DataFrame, loose: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Sets that may link: those with alike ones, and those that the matrix and signatures bring together."""
-    near = sets.join(rare.select("sid").distinct(), "sid", "left_semi").join(loose, "sid", "left")
-    placed = stage(_blocked(near.select("sid", "size", F.coalesce("loose", "sid").alias("group"))))
-    promising = stage(_promising(_pairs(placed, rare, percent), placed, sets))
-    met = placed.join(promising.select("group", "block").distinct(), ["group", "block"], "left_semi")
-    return loose.select("sid").unionByName(promising.select("sid")).unionByName(met.select("sid")).distinct()
+    """``sid, size, part, group, block``: groups in blocks of about ``GROUP`` sets, small parts together."""
+    sizes = parts.groupBy("group", "part").agg(F.count("*").alias("n"))
+    small = F.col("n") <= GROUP // 4
+    rest = sizes.where(small).groupBy("group").agg(F.sum("n").alias("rest"))
+    sizes = sizes.join(rest, "group", "left")
+    shared = F.xxhash64(F.pmod(F.xxhash64("part"), F.ceil(F.col("rest") / GROUP)))
+    own = F.xxhash64("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("n") / GROUP)))
+    block = F.when(small, shared).otherwise(own).alias("block")
+    return parts.join(sizes, ["group", "part"]).select("sid", "size", "part", "group", block)
+
+
+def _matrix_links(sets: DataFrame, loose: DataFrame, grouped: DataFrame, held: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between parts: the token-group matrix looked up, bounded, and opened."""
+    parts = _part_of(sets, grouped).withColumnRenamed("group", "part").join(loose, "sid", "left")
+    parts = parts.select("sid", "size", "part", F.coalesce("loose", "sid").alias("group"))
+    placed = stage(_blocked(stage(parts)))
+    pairs = stage(_pairs(placed, held, percent))
+    bodies = full.join(placed.select("sid", "part"), "sid")
+    return _opened(pairs, placed, bodies, percent).unionByName(grouped)
 
 
 def components_of(
@@ -417,22 +361,22 @@ def components_of(
 ) -> DataFrame:
     """``id, n_shingles, component_id`` of every document: the least id that links reach."""
     source = _source(docs, id_col, text_col)
-    scan = stage(_scan(source, words))
-    rows = scan.where("piece is null").select("key", "name", "size", "sid", "sketch")
-    levels = _levels(scan)
+    scan = stage(_scan(source, words, percent))
+    rows = scan.select("key", "name", "size", "sid", "sketch")
     first = F.min(F.struct("key", "name", "sketch", "size")).alias("first")
     sets = rows.where("size > 0 and key is not null").groupBy("sid").agg(first)
     sets = stage(sets.select("sid", "first.*"))
-    loose = stage(_partition(sets))
     named = sets.select("sid", "key", "name")
-    rare = _rarest(source, levels, words, percent).join(named, ["key", "name"])
     # rows that repeat an id and its text give a set once more
     again = rows.where("size > 0").groupBy("key", "name").agg(F.count("*").alias("times")).where("times > 1")
-    rare = rare.select("sid", F.explode("tokens").alias("token"))
+    held = scan.where("size > 0").select("key", "name", "bundles").join(named, ["key", "name"])
+    held = held.select("sid", F.explode("bundles").alias("token"))
     if not again.isEmpty():
-        rare = rare.distinct()
-    rare = stage(_held_twice(rare))
-    wanted_sets = stage(_wanted(sets, loose, rare, percent))
+        held = held.distinct()
+    held = stage(_held_twice(held))
+    wanted_sets = stage(held.select("sid").distinct())
+    near = stage(sets.join(wanted_sets, "sid", "left_semi"))
+    loose = stage(_partition(near))
 
     def make():
         sets = Sets.shared(words)
@@ -446,9 +390,8 @@ def components_of(
     # one plan for every size
     texts = named.join(wanted_sets, "sid").hint("merge").join(source, ["key", "name"])
     full = stage(map_rows(texts.select("sid", "text"), "sid binary, tokens binary", make))
-    grouped = stage(_grouped(loose, sets, full, percent))
-    near = stage(sets.join(wanted_sets, "sid", "left_semi"))
-    links = _matrix_links(near, grouped, rare.join(wanted_sets, "sid", "left_semi"), full, percent)
+    grouped = stage(_grouped(loose, near, full, percent))
+    links = _matrix_links(near, loose, grouped, held, full, percent)
     # rows that share an id are one document
     held = rows.where("size > 0 and key is not null")
     again = held.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")

@@ -145,3 +145,38 @@ def test_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = groupjoin.components_of(docs).collect()
     assert sorted((tuple(r) for r in got), key=str) == by_hand([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def counted_pairs(spark, monkeypatch, rows):
+    """Pairs of a set and a block that the matrix brings together, the result being checked too."""
+    counts, pairs = [], groupjoin._pairs
+
+    def counting(*args):
+        found = pairs(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(groupjoin, "_pairs", counting)
+    check(spark, rows)
+    return sum(counts)
+
+
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    passage = " ".join(f"rare{i}" for i in range(40))
+    rows = [(i, " ".join(f"c{rnd.randrange(50)}" for _ in range(200)) + " " + passage) for i in range(60)]
+    assert counted_pairs(spark, monkeypatch, rows) < 60
+
+
+def test_linked_sets_share_a_bundle():
+    rnd, sets = np.random.default_rng(10), groupjoin.Sets(3)
+    for n in [*range(1, 60), 145, 399, 1000, 5000]:
+        for percent in (90, 60):
+            own = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            least = groupjoin.needed(n, percent)
+            other = np.sort(rnd.permutation(own)[:least])  # a part of the set, as small as links allow
+            assert np.intersect1d(sets.bundles(own, percent), sets.bundles(other, percent)).size
+            gone = n * (100 - percent) // (100 + percent) // 2 * 2
+            swapped = rnd.integers(0, 1 << 64, gone // 2, dtype=np.uint64)
+            other = np.unique(np.concatenate((rnd.permutation(own)[gone // 2 :], swapped)))
+            assert np.intersect1d(sets.bundles(own, percent), sets.bundles(other, percent)).size
