@@ -119,3 +119,16 @@ def test_columns_sorted_as_by_hand():
             )
         ]
         assert [a for x, y in got[i] for a in range(x, y + 1)] == want
+
+
+def test_passing_copies_are_removed(spark, monkeypatch):
+    from pathlib import Path
+
+    from parley import session
+
+    monkeypatch.setattr(repeats, "BLOCK", 5)
+    folder = Path(session.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("stage-*"))
+    rows = corpus(12, 60)
+    check(spark, rows, 24, 8)
+    assert len(set(folder.glob("stage-*")) - before) == 2  # the slim rows and what is removed
